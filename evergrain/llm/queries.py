@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, warc
+from . import bpe, langid, lattice, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -21,6 +21,14 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return bpe.encode(docs, _tokenizer("byte_bpe_50k.tiktoken"), _pattern(), with_ids=False)
@@ -31,6 +39,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice": op1_lattice,
+    "op3_langid": op3_langid,
     "op5_bpe": op5_bpe,
     "op10_warc": op10_warc,
 }
