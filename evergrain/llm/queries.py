@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lattice, warc
+from . import bpe, langid, lattice, mixture, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -29,6 +29,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return bpe.encode(docs, _tokenizer("byte_bpe_50k.tiktoken"), _pattern(), with_ids=False)
@@ -41,6 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
     "op3_langid": op3_langid,
+    "op4_mixture": op4_mixture,
     "op5_bpe": op5_bpe,
     "op10_warc": op10_warc,
 }
