@@ -150,7 +150,7 @@ def sample(docs: DataFrame, train, per_lang: int, max_langs: int) -> list[tuple[
     merged = Window.partitionBy("lang").orderBy("mix", "doc_id")
     ids = (
         own.filter(F.col("lang").isin(langs))
-        .select("lang", "doc_id", mix.alias("mix"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(64)).alias("salt"))
+        .select("lang", "doc_id", mix.alias("mix"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(16)).alias("salt"))
         .withColumn("r", F.row_number().over(salted))
         .filter(F.col("r") <= per_lang)
         .withColumn("r", F.row_number().over(merged))
