@@ -15,7 +15,7 @@ are predicted alike; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,37 +162,42 @@ def sample(docs: DataFrame, train, per_lang: int, max_langs: int) -> list[tuple[
     return [(r.lang, r.text.encode()) for r in got.orderBy("doc_id", "lang").collect()]
 
 
+def label(model: Model | None, texts: Iterable[bytes]) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and gap of each text; some texts at a time are read as one array."""
+    import regex
+
+    letter = regex.compile(r"\p{L}")
+    lang, score, gap = [], [], []
+    todo: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush():
+        best, top, far = model.decode(model.margins([x for _, x in todo]))
+        for (i, _), b, t, g in zip(todo, best, top, far, strict=True):
+            lang[i], score[i], gap[i] = model.langs[b], float(t), float(g)
+        todo.clear()
+
+    for i, raw in enumerate(texts):
+        lang.append("und")
+        score.append(0.0)
+        gap.append(0.0)
+        if model is not None and letter.search(raw.decode("utf-8", "replace")):
+            todo.append((i, folded(raw)))
+            size += len(raw)
+            if size > 1 << 19:
+                flush()
+                size = 0
+    if todo:
+        flush()
+    return lang, score, gap
+
+
 def predict(docs: DataFrame, model: Model | None, held, min_gap: float) -> DataFrame:
     """One row per row of docs; no shuffle. The model's size is fixed by BITS and the number of bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        letter = regex.compile(r"\p{L}")
         for batch in batches:
-            text = batch.column("text")
-            n = len(text)
-            lang, score, gap = ["und"] * n, [0.0] * n, [0.0] * n
-            todo: list[tuple[int, bytes]] = []
-            size = 0
-
-            def flush(todo=todo, lang=lang, score=score, gap=gap):
-                best, top, far = model.decode(model.margins([x for _, x in todo]))
-                for (i, _), b, t, g in zip(todo, best, top, far, strict=True):
-                    lang[i], score[i], gap[i] = model.langs[b], float(t), float(g)
-                todo.clear()
-
-            for i in range(n):
-                raw = text[i].as_py()
-                if model is None or not letter.search(raw.decode("utf-8", "replace")):
-                    continue
-                todo.append((i, folded(raw)))
-                size += len(raw)
-                if size > 1 << 19:
-                    flush()
-                    size = 0
-            if todo:
-                flush()
+            lang, score, gap = label(model, (x.as_py() for x in batch.column("text")))
             low = [x == "und" or g < min_gap for x, g in zip(lang, gap, strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": lang, "score": score, "ambiguous": low})
 
@@ -204,3 +209,23 @@ def identify(docs: DataFrame, per_lang: int = 300, max_langs: int = 64, min_gap:
     """Fit on labelled rows outside the held-out fold, predict all rows."""
     held = held_out("doc_id", 4)
     return predict(docs, fit(sample(docs, ~held, per_lang, max_langs)), held, min_gap)
+
+
+def identified(docs: DataFrame, **parameters) -> DataFrame:
+    """Rows of docs, unchanged, whose language is known: neither ``und`` nor ambiguous. Takes what identify() takes."""
+    min_gap = parameters.pop("min_gap", 0.05)
+    held = held_out("doc_id", 4)
+    model = fit(sample(docs, ~held, parameters.pop("per_lang", 300), parameters.pop("max_langs", 64)))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(len(names))
+            for lo in range(0, len(text), 256):
+                lang, _, gap = label(model, [x.as_py() for x in text.slice(lo, 256)])
+                good = [x != "und" and g >= min_gap for x, g in zip(lang, gap, strict=True)]
+                part = batch.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays(part.columns[: len(names)], names=names).filter(pa.array(good))
+
+    clear = docs.select(*[F.col(f"`{c}`") for c in names], utf8("text").alias("_text_bytes"))
+    return clear.mapInArrow(run, docs.schema)

@@ -6,23 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lattice, mixture, warc
+from . import bpe, jaccard, langid, lattice, mixture, warc
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _pattern() -> str:
+def pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
 
 
 def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("piece_bpe_32k.model"))
+    return lattice.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("piece_bpe_32k.model"))
+
+
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +39,7 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return bpe.encode(docs, _tokenizer("byte_bpe_50k.tiktoken"), _pattern(), with_ids=False)
+    return bpe.encode(docs, tokenizer("byte_bpe_50k.tiktoken"), pattern(), with_ids=False)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +48,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
+    "op2_jaccard": op2_jaccard,
     "op3_langid": op3_langid,
     "op4_mixture": op4_mixture,
     "op5_bpe": op5_bpe,
