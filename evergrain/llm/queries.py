@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, langid, lattice, mixture, warc
+from . import bpe, impact, jaccard, langid, lattice, mixture, quantise, warc
 
 
 def tokenizer(name: str) -> str:
@@ -42,6 +42,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer("byte_bpe_50k.tiktoken"), pattern(), with_ids=False)
 
 
+def op6_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantise.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -52,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op4_mixture": op4_mixture,
     "op5_bpe": op5_bpe,
+    "op6_quantise": op6_quantise,
+    "op7_impact": op7_impact,
     "op10_warc": op10_warc,
 }
 
