@@ -32,7 +32,7 @@ from .shingles import Hasher
 
 TOKEN_BITS = 48
 #: Tokens that a task holds before it passes them on; members of a group; queries that one task asks of a group.
-BLOCK, GROUP, QUERIES = 2_000_000, 256, 2048
+BLOCK, GROUP, QUERIES = 2_000_000, 256, 512
 
 
 def pack(a: np.ndarray) -> bytes:
