@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, impact, jaccard, langid, lattice, mainpage, mixture, quantise, warc
+from . import bpe, impact, jaccard, langid, lattice, licences, mainpage, mixture, quantise, warc
 
 
 def tokenizer(name: str) -> str:
@@ -50,6 +50,10 @@ def op7_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpage.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_quantise": op6_quantise,
     "op7_impact": op7_impact,
+    "op8_licences": op8_licences,
     "op9_mainpage": op9_mainpage,
     "op10_warc": op10_warc,
 }
