@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Characters of a chunk, of what it shares with the next; pieces that a task remembers; characters that the pattern looks ahead.
 CHUNK, OVERLAP, MEMO, LOOK = 1 << 18, 1 << 10, 200_000, 3
@@ -124,7 +126,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
                 cols["ids"] = pa.array(out["ids"], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(cols)
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return own.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
@@ -137,4 +139,4 @@ def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
             raw = [codec.decode(np.array(x.as_py() or [], dtype="<u4")) for x in batch.column("ids")]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "raw": pa.array(raw, pa.binary())})
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")
+    return bounded(rows).select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import keep, scan_parts, utf8
+from .shared import bounded, keep, scan_parts, utf8
 from .shingles import Hasher
 
 TOKEN_BITS = 48
 #: Tokens that a task holds before it passes them on; members of a group; queries that one task asks of a group.
-BLOCK, GROUP, QUERIES = 2_000_000, 256, 512
+BLOCK, GROUP, QUERIES = 1_000_000, 256, 512
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -321,8 +321,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    bits = max(2, (scan_parts(docs) - 1).bit_length() + 1)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
+    bits = max(2, (scan_parts(docs) - 1).bit_length() + 2)
+    own = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     posted = own.mapInArrow(_postings(width, bits), _POSTED).repartition("key").sortWithinPartitions("key")
     shared = keep(posted.mapInArrow(_share(1 << bits), _SHARED), "jac-shared")
     sets = keep(shared.filter("bucket is not null").select("bucket", "n", "tokens", "counts", "names", "sizes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_eligible(percent), "name long, size long, prefix int, tokens array<long>"), "jac-sets")

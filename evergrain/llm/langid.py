@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import held_out, utf8
+from .shared import bounded, held_out, utf8
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 BITS, NGRAMS = 15, (1, 2, 3)
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, model: Model | None, held, min_gap: float) -> DataF
             low = [x == "und" or g < min_gap for x, g in zip(lang, gap, strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": lang, "score": score, "ambiguous": low})
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), utf8("text").alias("text"))
+    own = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), utf8("text").alias("text"))
     return own.mapInArrow(run, SCHEMA)
 
 
@@ -227,5 +227,5 @@ def identified(docs: DataFrame, **parameters) -> DataFrame:
                 part = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays(part.columns[: len(names)], names=names).filter(pa.array(good))
 
-    clear = docs.select(*[F.col(f"`{c}`") for c in names], utf8("text").alias("_text_bytes"))
+    clear = bounded(docs).select(*[F.col(f"`{c}`") for c in names], utf8("text").alias("_text_bytes"))
     return clear.mapInArrow(run, docs.schema)

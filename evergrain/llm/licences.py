@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .licence_texts import TEMPLATES
-from .shared import utf8
+from .shared import bounded, utf8
 from .shingles import Hasher
 
 SCHEMA = "doc_id long, n_found long, licences string, best string, score double"
@@ -113,4 +113,4 @@ def scan(docs: DataFrame, least: float = 0.85, templates: dict[tuple[str, str],
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, SCHEMA)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boost import Boosted
+from .shared import bounded
 
 #: HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -377,7 +378,7 @@ def train(seen: list[str], made: int, seed: int = 5) -> Boosted:
 
 def main_text(pages: DataFrame, made: int = 400, seen: int = 60, batch: int = 200) -> DataFrame:
     """page_id, url, text, n_chars of every row; no shuffle beside the sample's."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    own = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     few = own.filter(F.lower("html").rlike("<(article|main)[ >]")).orderBy(F.xxhash64("page_id", "url"), "html").limit(seen).select("html").collect()
     model = train([r.html for r in few], made)
 

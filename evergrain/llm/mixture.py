@@ -148,7 +148,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, b
         .withColumn("room", F.when(F.col("upto") > F.col("target"), F.col("target") - F.col("upto") + F.col("words")))
     )
     draws = keep(draws.select("source", "block", "draw", "room"), "mix-draws")
-    runs = split(draws.groupBy("source").agg(F.count(F.lit(1)).alias("quota")), shards, seed).withColumnRenamed("source", "r_source")
+    quotas = draws.groupBy("source").agg(F.count(F.lit(1)).alias("quota"))
+    runs = keep(split(quotas, shards, seed), "mix-runs").withColumnRenamed("source", "r_source")
     dealt = draws.join(runs, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("draw") >= F.col("first")) & (F.col("draw") < F.col("last")))
     taken = dealt.groupBy(F.col("source").alias("t_source"), F.col("block").alias("t_block")).agg(
         F.sort_array(F.collect_list(F.when(F.col("room").isNull(), F.col("shard")))).alias("shards"),

@@ -32,6 +32,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that Python workers get at a time, where the session sets nothing: bounds memory whatever the texts' length.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded in bytes, not in rows alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def utf8(name: str) -> Column:
     """A text column as UTF-8 bytes; null becomes empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

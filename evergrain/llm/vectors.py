@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded
+
 
 def clean(rows: DataFrame, zero: bool) -> DataFrame:
     """vec_id, label, dim and raw (the components as doubles, binary); raw is null where the vector is null or empty, or
@@ -27,7 +29,7 @@ def clean(rows: DataFrame, zero: bool) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "label": batch.column("label"), "dim": pa.array([None if r is None else len(r) // 8 for r in raw], pa.int32()), "raw": pa.array(raw, pa.binary())})
 
     label = F.col("label").cast("string") if "label" in rows.columns else F.lit(None).cast("string")
-    own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    own = bounded(rows).select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     return own.mapInArrow(run, "vec_id long, label string, dim int, raw binary")
 
 

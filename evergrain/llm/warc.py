@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import bounded, keep
 
 SLICE = 1 << 16
 ARCHIVE_SCHEMA = "archive string, content binary"
@@ -36,7 +36,7 @@ DATE = "2000-01-01T00:00:00Z"
 
 def decide(pages: DataFrame, dedup_from: int = 1000) -> DataFrame:
     """page_id, url, html, digest, refers_to: which rows are revisits and of which page."""
-    own = pages.select(
+    own = bounded(pages).select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"),
