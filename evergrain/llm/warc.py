@@ -17,7 +17,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,7 +79,10 @@ def record(page_id, url, html: bytes, digest: str, refers_to) -> bytes:
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
     ]
     if url is not None:
-        lines.append("WARC-Target-URI: " + quote(url, safe="%/:=&?~#+!$,;'@()*[]"))
+        plain = url == url.strip() and url.isprintable()
+        lines.append("WARC-Target-URI: " + (url if plain else quote(url)))
+        if not plain:  # a header line can't hold it as it is
+            lines.append("Original-URL: " + base64.b64encode(url.encode()).decode())
     if refers_to is not None:
         lines += [
             f"WARC-Refers-To: {_urn(refers_to)}",
@@ -158,9 +161,11 @@ def facts(raw: bytes) -> dict:
     size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
     kind, digest = fields["warc-type"], fields["warc-payload-digest"]
     url = fields.get("warc-target-uri")
+    if "original-url" in fields:
+        url = base64.b64decode(fields["original-url"]).decode()
     return {
         "page_id": _page(fields["warc-record-id"]),
-        "url": None if url is None else unquote(url) if "%" in url else url,
+        "url": url,
         "payload_bytes": size,
         "payload_digest": base64.b32decode(digest.partition(":")[2]).hex(),
         "record_type": kind,
