@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON with sorted keys, no spaces, ASCII only. Floats, duplicate keys and trailing text give null."""
     import json
@@ -29,13 +30,13 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_utf8(raw: pd.Series) -> pd.Series:
     """Bytes as text; every malformed run becomes U+FFFD as in Python's errors=replace."""
     return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def decode_vlq(text: pd.Series) -> pd.Series:
     """Numbers of a base64 VLQ segment; null for a malformed one."""
     digits = {c: k for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")}
@@ -64,7 +65,7 @@ def environment_digest(key: bytes):
     if len(key) < 16:
         raise ValueError("the key is too short")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def digest(names: pd.Series) -> pd.Series:
         import hmac
 
@@ -83,7 +84,10 @@ def environment_digest(key: bytes):
     return digest
 
 
-@F.pandas_udf("array<struct<old_start:int,old_count:int,new_start:int,new_count:int>>")
+_HUNK = T.StructType([T.StructField(n, T.IntegerType()) for n in ("old_start", "old_count", "new_start", "new_count")])
+
+
+@F.pandas_udf(T.ArrayType(_HUNK))
 def line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Hunks between two texts by lines; starts are 1-based."""
     import difflib

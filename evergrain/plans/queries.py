@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import digest, text
+from ..functions import digest, exact, text
 from ..operators import coverage, graph, intervals, joins, report, search, sequence
 from ..sources.tables import micros, table
+from ..streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -568,3 +569,76 @@ def longest_prefix_root(spark, d):
     roots = u.filter(F.size(F.split("u", "/")) >= 2).select(F.substring_index("u", "/", 2).alias("root")).distinct()
     best = joins.longest_prefix(u.select("u").distinct(), roots, "u", "root")
     return u.join(best, "u", "left").select("page_id", "root")
+
+
+@query("""
+    SELECT e.event_id, coalesce(CASE WHEN e.event_id % 10 = 0 THEN 'edited' END, e.event_type) AS event_type, e.event_id % 10 = 0 AS advisory FROM events e
+""")
+def overlay_view(spark, d):
+    base = table(spark, d, "events").select("event_id", "event_type")
+    return streams.overlay(base, base.filter("event_id % 10 = 0").withColumn("event_type", F.lit("edited")), "event_id")
+
+
+@query("""
+    WITH f AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS i FROM f)
+    SELECT user_id, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS n FROM g GROUP BY user_id, i
+""")
+def session_windows(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    w = streams.sessions(e, "user_id", "ts", "30 minutes", "1 hour")
+    return w.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("""
+    SELECT event_id, '{"event_type":"' || event_type || '","user_id":' || user_id || '}' AS canonical FROM events
+""")
+def canonical_rows(spark, d):
+    e = table(spark, d, "events").select("event_id", F.to_json(F.struct("user_id", "event_type")).alias("j"))
+    return e.select("event_id", exact.canonical_json("j").alias("canonical"))
+
+
+@query("""
+    SELECT source, count(*) AS n, CASE WHEN bool_or(lang = 'en') AND bool_or(lang = 'de') THEN 'mixed' WHEN bool_or(lang = 'de') THEN 'de' ELSE 'other' END AS worst FROM documents GROUP BY source
+""")
+def worst_state(spark, d):
+    docs = table(spark, d, "documents").groupBy("source")
+    both = F.bool_or(F.col("lang") == "en") & F.bool_or(F.col("lang") == "de")
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.when(both, "mixed").when(F.bool_or(F.col("lang") == "de"), "de").otherwise("other").alias("worst"))
+
+
+@query("""
+    SELECT n_regionkey, CAST(sum(n_nationkey) AS BIGINT) AS total, count(*) AS n FROM nation GROUP BY n_regionkey
+    UNION ALL SELECT NULL, CAST(sum(n_nationkey) AS BIGINT), count(*) FROM nation
+""")
+def grand_totals(spark, d):
+    return table(spark, d, "nation").rollup("n_regionkey").agg(F.sum("n_nationkey").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    SELECT part_no, count(*) AS n FROM (SELECT CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2)) AS INTEGER) % 10 AS part_no FROM documents) GROUP BY part_no
+""")
+def split_by_hash(spark, d):
+    byte = F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 2), 16, 10).cast("int")
+    return table(spark, d, "documents").select((byte % 10).alias("part_no")).groupBy("part_no").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, min(value) AS v FROM events GROUP BY 1, 2), m AS (SELECT *, min(v) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM d)
+    SELECT user_id, count(*) AS rounds, count(CASE WHEN best IS NULL OR v < best THEN 1 END) AS improved FROM m GROUP BY user_id
+""")
+def repair_rounds(spark, d):
+    from pyspark.sql.window import Window
+
+    daily = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("value").alias("v"))
+    best = F.min("v").over(Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    m = daily.withColumn("best", best)
+    return m.groupBy("user_id").agg(F.count(F.lit(1)).alias("rounds"), F.count(F.when(F.col("best").isNull() | (F.col("v") < F.col("best")), 1)).alias("improved"))
+
+
+@query("""
+    WITH o AS (SELECT o_custkey, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18, 4))) AS total FROM orders GROUP BY o_custkey) SELECT o_custkey, n, CAST(total AS DOUBLE) AS total FROM o ORDER BY total DESC, o_custkey LIMIT 3
+""")
+def top_contributors(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,4)")).alias("total"))
+    return o.orderBy(F.desc("total"), "o_custkey").limit(3).withColumn("total", F.col("total").cast("double"))

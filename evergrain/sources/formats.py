@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """path, line, value: lines of text files with their number, whole files per row split inside Spark."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("all"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("all"))
     return files.select("path", F.posexplode(F.split("all", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
 
 

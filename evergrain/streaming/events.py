@@ -16,7 +16,9 @@ def file_events(spark: SparkSession, folder: str, schema: str, kind: str = "json
 def relevant(events: DataFrame, ignored: DataFrame, path: str) -> DataFrame:
     """Events whose path is not ignored; an unknown (null) path is kept. ignored: (entry), a folder if it ends in /."""
     entry = ignored.select("entry").distinct()
-    folder = F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda n: F.substring_index(F.col(path), "/", n)), lambda p: p != F.col(path))
+    parts = F.split(path, "/")
+    folder = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    folder = F.when(F.size(parts) > 1, folder).otherwise(F.array().cast("array<string>"))
     keys = F.coalesce(F.concat(F.array(F.col(path)), F.transform(folder, lambda p: F.concat(p, F.lit("/")))), F.array(F.lit(None).cast("string")))
     all_ignored = entry.agg(F.collect_set("entry").alias("_ignored"))
     return events.crossJoin(F.broadcast(all_ignored)).filter(F.col(path).isNull() | ~F.arrays_overlap(keys, "_ignored")).drop("_ignored")
