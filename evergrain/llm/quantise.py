@@ -97,7 +97,10 @@ def fit(unique: DataFrame, lists: int | None, sample: int, dims: int = 8) -> dic
     n = unique.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).orderBy(F.desc("n"), "dim").limit(dims).collect()
     out = {}
     for r in n:
-        rows = unique.filter(F.col("dim") == r.dim).select("raw", F.xxhash64("name").alias("h")).orderBy("h").limit(sample).collect()
+        # a hashed share of the rows first, so that what tasks send to the driver does not grow with their number
+        share = int(min(1.0, 2 * sample / r.n) * (1 << 30))
+        some = unique.filter((F.col("dim") == r.dim) & (F.pmod(F.xxhash64("name", F.lit(1)), F.lit(1 << 30)) < share))
+        rows = some.select("raw", F.xxhash64("name").alias("h")).orderBy("h").limit(sample).collect()
         x = matrix([bytes(q.raw) for q in sorted(rows, key=lambda q: q.h)])
         k = lists or max(1, min(4096, sample // 4, round(math.sqrt(r.n / max(1, r.labels)))))
         out[r.dim] = Quantiser(x / np.linalg.norm(x, axis=1, keepdims=True), r.dim, k)
