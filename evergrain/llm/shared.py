@@ -24,11 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that this process has kept so far; results that still read them are gone then."""
+    jvm = spark.sparkContext._jvm
+    for path in _written:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written.clear()
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -203,3 +203,16 @@ def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
     assert "op10_warc" in __spark_entry__.oracle_sql()
+
+
+def test_kept_tables_can_be_removed(spark):
+    from evergrain.llm import shared
+
+    df = shared.keep(spark.range(3), "t")
+    path = shared._written[-1].removeprefix("file:")
+    import os
+
+    assert df.count() == 3 and os.path.isdir(path.replace("//", "/"))
+    shared._written[:] = shared._written[-1:]
+    shared.clean(spark)
+    assert not os.path.isdir(path.replace("//", "/"))
