@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded
+from .shared import bounded, trim
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Characters of a chunk, of what it shares with the next; pieces that a task remembers; characters that the pattern looks ahead.
-CHUNK, OVERLAP, MEMO, LOOK = 1 << 18, 1 << 10, 200_000, 3
+CHUNK, OVERLAP, MEMO, LOOK = 1 << 18, 1 << 10, 100_000, 3
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -125,6 +125,8 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
             if with_ids:
                 cols["ids"] = pa.array(out["ids"], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(cols)
+        codec.memo.clear()
+        trim()
 
     own = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return own.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded, keep, scan_parts, utf8
+from .shared import bounded, keep, scan_parts, trim, utf8
 from .shingles import Hasher
 
 TOKEN_BITS = 48
@@ -105,6 +105,8 @@ def _postings(width: int, bits: int):
             yield from flush()
         if docs:
             yield known()
+        tokens, owners, sets, docs = [], [], {}, []
+        trim()
 
     return run
 
@@ -183,6 +185,8 @@ def _share(buckets: int):
                 s = slice(cuts[b], cuts[b + 1])
                 n = cuts[b + 1] - cuts[b]
                 yield out(1, bucket=[b], n=[n], tokens=[pa.compress(tok[s].tobytes(), codec="zstd", asbytes=True)], counts=[pack(count[s])], names=[pack(name[s])], sizes=[pack(size[s])])
+            del tok, name, size, count, order, bucket
+            trim()
 
     return run
 

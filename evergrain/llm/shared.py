@@ -24,6 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def trim() -> None:
+    """Give what a finished Python task no longer needs back to the system: its worker lives on, beside others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 _written: list[str] = []
 
 
