@@ -38,3 +38,28 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int, sep: str = ">
         frontier = _cut(step.join(found, "node", "left_anti").select("node", F.lit(hop).alias("hops"), "path"))
         found = found.unionByName(frontier)
     return found
+
+
+def identifier_graph(definers: DataFrame, mentions: DataFrame, most_definers: int = 5, most_mentions: int = 50) -> DataFrame:
+    """(src, dst, weight), both ways: files joined by names (name, path) that one defines and the other mentions. Names
+    are 4 to 128 ASCII characters, not all in lower case; common ones carry nothing, so each name's pairs are bounded."""
+    fit = F.col("name").rlike("^[A-Za-z_][A-Za-z0-9_]{3,127}$") & F.col("name").rlike("[A-Z_]") & ~F.col("name").rlike("^[A-Z][a-z0-9]*$")
+    few = lambda df, most: df.filter(fit).select("name", "path").distinct().join(df.filter(fit).groupBy("name").agg(F.count_distinct("path").alias("_n")).filter(F.col("_n") <= most), "name").drop("_n")
+    pairs = few(definers, most_definers).withColumnRenamed("path", "a").join(few(mentions, most_mentions).withColumnRenamed("path", "b"), "name").filter("a <> b")
+    one = pairs.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count_distinct("name").alias("weight"))
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+def personal_rank(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, hops: int = 3, top: int = 5) -> DataFrame:
+    """(node, score): personalised PageRank over (src, dst, weight), pushed a few hops; the best nodes that are no seeds."""
+    total = edges.groupBy("src").agg(F.sum("weight").alias("out"))
+    step = edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p"))
+    own = seeds.select("node").distinct()
+    mass = own.withColumn("mass", F.lit(1.0) / own.count())
+    score = mass.select("node", (F.col("mass") * restart).alias("score"))
+    for _ in range(hops):
+        moved = mass.join(step, mass.node == step.src).groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("mass") * F.col("p")) * (1 - restart)).alias("mass"))
+        mass = _cut(moved)
+        score = score.unionByName(mass.select("node", (F.col("mass") * restart).alias("score")))
+    ranked = score.groupBy("node").agg(F.round(F.sum("score"), 9).alias("score")).join(own, "node", "left_anti")
+    return ranked.orderBy(F.desc("score"), "node").limit(top)

@@ -54,3 +54,15 @@ def fuse(rankings: Sequence[DataFrame], key: str, k: int = 60) -> DataFrame:
 def ranked(df: DataFrame, order: Sequence[Column], key: str, top: int) -> DataFrame:
     """(key, rank) of the top rows: the cut comes before the single-partition window."""
     return df.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(key, "rank")
+
+
+def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, rounds: int = 4000, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """mean, low and high of the mean difference a - b over seeded resamples with Poisson weights: every row draws its
+    weight for every round by a hash, sums are partial, and no resample is ever laid out."""
+    each = pairs.select(key, (F.col(a) - F.col(b)).alias("d")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    u = F.pmod(F.xxhash64(key, "round"), F.lit(1 << 30)) / float(1 << 30)
+    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+    weight = sum((u >= c).cast("int") for c in cuts)
+    means = each.groupBy("round").agg((F.sum(weight * F.col("d")) / F.sum(weight)).alias("m"))
+    q = means.agg(F.round(F.percentile("m", F.lit(low)), 9).alias("low"), F.round(F.percentile("m", F.lit(high)), 9).alias("high"))
+    return pairs.agg(F.round(F.avg(F.col(a) - F.col(b)), 9).alias("mean")).crossJoin(q)
