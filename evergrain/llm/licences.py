@@ -1,12 +1,13 @@
 """License scans: passages of texts against licence templates, by the Dice coefficient over word bigrams.
 
 Texts are normalised: A-Z in lower case, punctuation and white space part words, full stops are dropped, licence is read
-as license. A passage of a text that is compared with a template of m bigrams has at most m of them: Dice = 2 x shared /
-(n + m), so with at least ``least`` Dice its size n can't be below m x least / (2 - least), and it must share at least
-(n + m) x least / 2 bigrams. Hashed bigrams of a whole batch are looked up in the few thousand of all templates; a
-template is a candidate for a text only if the text holds enough distinct ones of its bigrams, and a window only if it
-holds enough hits. The windows of m bigrams are then compared exactly as multisets; a shorter text is one window. Of
-windows that overlap, that of the greater Dice stands, then the longer, then the earlier, then the first name.
+as license. A passage of n bigrams is compared with a template of m as multisets: Dice = 2 x shared / (n + m), so with at
+least ``least`` Dice n lies between m x least / (2 - least) and m x (2 - least) / least, and the passage must share at
+least (n + m) x least / 2 bigrams. Hashed bigrams of a whole batch are looked up in the few thousand of all templates; a
+template is a candidate for a text only if the text holds enough distinct ones of its bigrams. Of a candidate every
+passage of an admissible size that begins and ends with a bigram of the template is compared exactly (any other has a
+part with a greater Dice). Of passages that overlap, that of the greater Dice stands, then the longer, then the earlier,
+then the first name; one that holds a part with a greater Dice can never stand and is dropped at once.
 
 Corners: null, empty and wordless texts have no finding; repeated rows are scanned alike; a null doc_id is kept; long
 texts are scanned whole; other columns are ignored.
@@ -14,6 +15,7 @@ texts are scanned whole; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -75,24 +77,38 @@ class Scanner:
         present[what] = 1
         found = []
         for t in np.flatnonzero(self.holds @ present >= self.need):
-            m = int(self.sizes[t])
-            n = min(m, len(grams))
-            need = np.ceil((n + m) * self.least / 2 - 1e-9)
-            spots = where[self.holds[t][what] == 1]
-            for start in sorted({int(min(max(s, 0), len(grams) - n)) for s in spots}):
-                inside = np.searchsorted(spots, start + n) - np.searchsorted(spots, start)
-                if inside < need:
-                    continue
-                shared = (Counter(grams[start : start + n].tolist()) & self.counts[t]).total()
-                dice = 2 * shared / (n + m)
-                if dice >= self.least:
-                    found.append((start, n, int(t), dice))
+            mine = self.holds[t][what] == 1
+            for start, n, dice in self.passages(grams[where[mine]], where[mine], int(t)):
+                found.append((start, n, int(t), dice))
         found.sort(key=lambda f: (-f[3], -f[1], f[0], self.names[f[2]]))
         kept: list[tuple[int, int, int, float]] = []
         for f in found:
-            if all(f[0] + f[1] <= g[0] or g[0] + g[1] <= f[0] for g in kept):
-                kept.append(f)
-        return sorted(kept)
+            at = bisect(kept, f[0], key=lambda g: g[0])
+            if (not at or kept[at - 1][0] + kept[at - 1][1] <= f[0]) and (at == len(kept) or f[0] + f[1] <= kept[at][0]):
+                kept.insert(at, f)
+        return kept
+
+    def passages(self, grams: np.ndarray, spots: np.ndarray, t: int) -> Iterator[tuple[int, int, float]]:
+        """First bigram, bigrams and Dice of passages between two spots of the template's bigrams; not those that hold
+        a part with a greater Dice."""
+        m, count = int(self.sizes[t]), self.counts[t]
+        # a spot adds to what a passage shares unless the template's number of its bigram already stands before it there
+        full, seen = np.full(len(spots), -1), {}
+        for k, g in enumerate(grams.tolist()):
+            own = seen.setdefault(g, [])
+            if len(own) >= count[g]:
+                full[k] = own[-count[g]]
+            own.append(k)
+        most = int(m * (2 - self.least) / self.least + 1e-9)
+        stop = np.searchsorted(spots, spots + most)
+        best = np.zeros(len(spots))  # by last spot: the greatest Dice of passages that begin later and end there or before
+        for k in range(len(spots) - 1, -1, -1):
+            ends = slice(k, stop[k])
+            n = spots[ends] - spots[k] + 1
+            dice = 2 * np.cumsum(full[ends] < k) / (n + m)
+            best[ends] = np.maximum.accumulate(np.maximum(best[ends], dice))
+            for x in np.flatnonzero((dice >= self.least) & (dice >= best[ends])):
+                yield int(spots[k]), int(n[x]), float(dice[x])
 
 
 def scan(docs: DataFrame, least: float = 0.85, templates: dict[tuple[str, str], str] = TEMPLATES) -> DataFrame:

@@ -354,6 +354,37 @@ def test_licences_bounds_lose_nothing():
         assert (max((f[3] for f in found), default=0.0) == best) if best >= 0.85 else not found
 
 
+def test_licences_of_every_size_are_found():
+    """A template shortened, or with words inserted, inside a longer text; and all findings against brute force."""
+    import random
+
+    rng, made = random.Random(6), [f"w{k}" for k in range(171)]
+    scanner = licences.Scanner({("M", "text"): " ".join(made)}, 0.85)
+    other = [f"x{k}" for k in range(400)]
+    cut, wide = made[:130], made[:90] + other[:40] + made[90:]
+    for passage, dice in ((cut, 2 * 129 / (129 + 170)), (wide, 2 * 169 / (210 + 170))):
+        text = " ".join(other[100:200] + passage + other[200:]).encode()
+        assert scanner.batch([text]) == [[(100, len(passage) - 1, 0, dice)]]
+
+    templates = {(n, "t"): t for n, t in (("A", "a b c a b d a b"), ("B", "a b c d e"), ("C", "d e a b c a b c f"))}
+    for least in (0.5, 0.7, 0.85):
+        scanner = licences.Scanner(templates, least)
+        for _ in range(150):
+            text = " ".join(rng.choice("abcdefx") if rng.random() < 0.4 else rng.choice(("a b c", "a b", "d e")) for _ in range(rng.randint(1, 25))).encode()
+            grams, every = scanner.bigrams(text), []
+            for t, m in enumerate(scanner.sizes.tolist()):
+                for a in range(len(grams)):
+                    for b in range(a + 1, len(grams) + 1):
+                        dice = 2 * (Counter(grams[a:b].tolist()) & scanner.counts[t]).total() / (b - a + m)
+                        if dice >= least:
+                            every.append((a, b - a, t, dice))
+            want: list = []
+            for f in sorted(every, key=lambda f: (-f[3], -f[1], f[0], scanner.names[f[2]])):
+                if all(f[0] + f[1] <= g[0] or g[0] + g[1] <= f[0] for g in want):
+                    want.append(f)
+            assert scanner.batch([text])[0] == sorted(want)
+
+
 # --- shapes of results
 
 
