@@ -20,14 +20,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked at 0.8 over shingles of five words, the row with the least doc_id stays, once."""
-    found = keep(jaccard.classes(docs, width=5, percent=80), "near-classes")
-    gone = keep(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    # an id that stands in one row only needs no second look at its text
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    """Of each group of texts linked at 0.8 over shingles of five words, one row stays: that with the least doc_id, null
+    last, of equal ids that with the least hash. A row is known by a hash of its doc_id and text, so rows that share an
+    id, or have none, are decided apart; rows equal in both are one."""
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+    own = docs.withColumn("_row", row)
+    found = keep(jaccard.classes(own.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80), "near-classes")
+    rows = found.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = own.select("_row", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).getField("_row")
+    stays = rows.join(ids, "_row").groupBy("component_id").agg(first.alias("_row")).select("_row")
+    gone = keep(rows.select("_row").join(stays, "_row", "left_anti"), "near-gone")
+    kept = own.join(gone, "_row", "left_anti")
+    # rows that stand once need no second look
+    if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_row"])
+    return kept.drop("_row")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,6 +197,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null ids and an id with two texts: each row by itself, one of each group."""
+    import corpus_pipeline
+
+    from .common import DOCS, words
+
+    rng = random.Random(3)
+    t = [words(rng, 60) for _ in range(7)]
+    near = lambda text: text + " zz"
+    rows = [(1, t[0]), (None, t[0]), (None, t[1]), (None, t[2]), (None, near(t[2])), (3, near(t[0])), (3, t[3]), (4, t[4]), (4, near(t[4])), (5, t[5]), (5, t[5]), (None, near(t[3])), (None, t[6]), (None, t[6])]
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x), "x", 1, "y", 0) for i, x in rows], DOCS).repartition(3)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    sure = [(1, t[0]), (None, t[1]), (3, t[3]), (5, t[5]), (None, t[6])]
+    assert all(kept.count(r) == 1 for r in sure)
+    for i, x in ((None, t[2]), (4, t[4])):
+        assert kept.count((i, x)) + kept.count((i, near(x))) == 1
+    assert len(kept) == len(sure) + 2
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
