@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .shared import bounded, held_out, keep, scan_parts, trim, utf8, words
 
-#: Taken off every known word's count; what of it goes to the counts over all components; counts up to which a lattice counts.
-DISCOUNT, ACROSS, RARE = 0.75, 0.1, 16
+#: Taken off every known word's count; what of it goes to the counts over all components.
+DISCOUNT, ACROSS = 0.75, 0.1
 END = b""
 RESULT = {"doc_id": "long", "held_out": "boolean", "n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
 #: Bytes of text in a block; the range that stands for a block's texts.
@@ -136,6 +137,66 @@ class Lattice:
         return {k: x for k, x in zip(self.pieces, self.uses, strict=True) if x}
 
 
+class Lattices:
+    """Marginals of many words under several components at once. Their pieces are the same, so a word's arcs are found
+    once; the forward recursion runs over all words and components, one position after the other."""
+
+    def __init__(self, scores: list[dict[bytes, float]], chunk: int = 4096):
+        self.logs, self.chunk, self.ends = np.log(np.array([list(p.values()) for p in scores]).T), chunk, {}
+        for n, k in enumerate(scores[0]):
+            node = self.ends
+            for byte in reversed(k):
+                node = node.setdefault(byte, {})
+            node[None] = n
+
+    def score(self, text: list[bytes]) -> np.ndarray:
+        """Natural logs of the marginal probabilities, words by components; the end has none. Words come sorted at best."""
+        out = [self._some(text[lo : lo + self.chunk]) for lo in range(0, len(text), self.chunk)]
+        return np.concatenate(out) if out else np.zeros((0, self.logs.shape[1]))
+
+    def _some(self, text: list[bytes]) -> np.ndarray:
+        # prefixes are numbered; an arc leads from one to a longer one, by a piece
+        level, to, source, piece, last = array("i", [0]), array("i"), array("i"), array("i"), []
+        old, path = b"", [0]
+        for word in text:
+            if not word:
+                last.append(-1)
+                continue
+            word, n = b" " + word, 0
+            for n in range(min(len(old), len(word)) + 1):
+                if n == len(old) or n == len(word) or old[n] != word[n]:
+                    break
+            del path[n + 1 :]
+            for j in range(n + 1, len(word) + 1):
+                path.append(len(level))
+                level.append(j)
+                node = self.ends
+                for i in range(j - 1, -1, -1):
+                    node = node.get(word[i])
+                    if node is None:
+                        break
+                    if None in node:
+                        to.append(path[j])
+                        source.append(path[i])
+                        piece.append(node[None])
+            old = word
+            last.append(path[-1])
+        level, to, source, piece = (np.frombuffer(x, dtype=np.int32) if len(x) else np.zeros(0, np.int32) for x in (level, to, source, piece))
+        order = np.argsort(level[to], kind="stable")
+        to, source, piece = to[order], source[order], piece[order]
+        cuts = np.searchsorted(level[to], np.arange(1, level.max() + 2))
+        a = np.zeros((len(level) + 1, self.logs.shape[1]))
+        a[-1] = -np.inf
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            x = a[source[lo:hi]] + self.logs[piece[lo:hi]]
+            new = np.concatenate([[True], to[lo + 1 : hi] != to[lo : hi - 1]])
+            start = np.flatnonzero(new)
+            most = np.maximum.reduceat(x, start)
+            total = np.add.reduceat(np.exp(x - most[np.cumsum(new) - 1]), start)
+            a[to[lo:hi][start]] = most + np.log(total)
+        return a[last]
+
+
 def components(docs: DataFrame, train, max_parts: int) -> list[str | None]:
     """Values of lang with most training rows; one more component takes the rest."""
     if "lang" not in docs.columns:
@@ -297,21 +358,11 @@ def _back(width: int):
 
 
 class Weights:
-    """Log probabilities of words by component, from counts and lattices."""
+    """Log probabilities of words by component, from counts and lattices (every word has one in every component)."""
 
     def __init__(self, n: float, v: float, n_part: np.ndarray, v_part: np.ndarray, share: np.ndarray, pieces: list[dict[bytes, float]]):
         self.n, self.v, self.n_part, self.v_part, self.share, self.pieces = n, v, n_part, v_part, share, pieces
 
-    def lattices(self, text: list[bytes], c: np.ndarray, own: list[Lattice]) -> np.ndarray:
-        """Log marginals: of unknown words by every component, of rare ones by those that have them. What is left out
-        (minus infinity) has next to no weight beside the count."""
-        lat = np.full(c.shape, -np.inf)
-        new = ~c.any(1)
-        for k, lattice in enumerate(own):
-            for i in np.flatnonzero(new | (c[:, k] > 0) & (c[:, k] <= RARE)):
-                lat[i, k] = lattice.score(text[i])
-        return lat
-
     def logs(self, c: np.ndarray, lat: np.ndarray) -> np.ndarray:
         if not self.n:
             return np.where(np.isfinite(lat), lat + math.log(0.99), math.log(0.01))
@@ -356,12 +407,12 @@ def score(docs: DataFrame, vocab_path: str, max_parts: int = 8, modulo: int = 7)
     weights = Weights(n, v, all_of("n")[live], all_of("v")[live], share, pieces)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = [Lattice(p) for p in weights.pieces]
+        lattices = Lattices(weights.pieces)
         for batch in batches:
             for row in batch.to_pylist():
                 text = _unwrap(row["words"])
                 c = _columns(row["counts"], "<i8", len(text))[:, live].astype(float)
-                logs = weights.logs(c, weights.lattices(text, c, lattices)).astype("<f4")
+                logs = weights.logs(c, lattices.score(text)).astype("<f4")
                 yield pa.RecordBatch.from_pydict({"range": pa.array([row["range"]], pa.int32()), "words": [row["words"]], "counts": [_planes(c.sum(1).astype("<i8")[:, None])], "logs": [_planes(logs)], "block": pa.array([None], pa.int64())})
 
     both = "range int, words binary, counts binary, logs binary, block long"

@@ -50,6 +50,25 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose(got.get(piece, 0), n, abs_tol=1e-4)
 
 
+def test_lattice_of_every_word_and_component():
+    """Frequent words and words of one component have their lattices, too, the same as word by word."""
+    import random
+
+    rng, p = random.Random(4), {bytes([b]): 0.001 for b in range(256)} | {b" a": 0.1, b"ab": 0.2, b" ab": 0.05, b"ba": 0.1}
+    both = [p, {k: v / 2 + 0.0001 * (n % 7) for n, (k, v) in enumerate(p.items())}]
+    text = sorted({b"", *(bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 9))) for _ in range(200)), b"ab" * 2000})
+    for chunk in (7, 4096):
+        got = lattice.Lattices(both, chunk).score(text)
+        for k, one in enumerate(both):
+            own = lattice.Lattice(one)
+            assert all(math.isclose(got[i, k], own.score(w), rel_tol=1e-9) for i, w in enumerate(text) if w) and got[0, k] == -math.inf
+
+    # a word of 40 counts in one component and none in the other: both weigh its spelling
+    table, c = lattice.Weights(40.0, 3, np.array([40.0, 20.0]), np.array([2.0, 2.0]), np.log([0.5, 0.5]), both), np.array([[40.0, 0.0]])
+    lat = lattice.Lattices(table.pieces).score([b"ab"])
+    assert np.isfinite(lat).all() and (table.logs(c, lat) > table.logs(c, np.full((1, 2), -np.inf))).all()
+
+
 def test_lattice_query_counts_and_base(spark):
     rows = corpus()
     got = lattice.score(frame(spark, rows), tokenizer("piece_bpe_32k.model")).collect()
