@@ -1,0 +1,75 @@
+"""Queries of plans/queries.py without the filters that keep their SQL small; they have no SQL of their own, tests hold
+them against brute force."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import coverage, graph
+from ..sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _edges(spark, d):
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey")
+    a = li.select(tag("s", "l_suppkey").alias("src"), tag("p", "l_partkey").alias("dst"))
+    b = li.select(tag("p", "l_partkey").alias("src"), tag("o", "l_orderkey").alias("dst"))
+    c = table(spark, d, "orders").select(tag("o", "o_orderkey").alias("src"), tag("c", "o_custkey").alias("dst"))
+    return a.unionByName(b).unionByName(c).distinct()
+
+
+@query
+def whole_reach_frontier(spark, d):
+    seeds = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "node string")
+    return graph.reach(_edges(spark, d), seeds, 3).groupBy(F.substring("node", 1, 1).alias("kind"), "hops").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query
+def whole_shortest_path(spark, d):
+    return graph.shortest_paths(_edges(spark, d), spark.createDataFrame([("s1",), ("s2",)], "node string"), 3)
+
+
+@query
+def whole_redundancy_kinds(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("owner"), F.col("l_partkey").alias("i"))
+    return coverage.contained(rows, "owner", "i")
+
+
+@query
+def whole_phrase_match(spark, d):
+    """(item_id, docs): documents that hold all words of a benchmark text as one run. The first words, three at most,
+    find the candidates; the whole phrase is looked up in them."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    first = lambda n: F.array_join(F.slice("phrase", 1, n), " ")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+    docs = table(spark, d, "documents").select(F.xxhash64("text").alias("h"), words("text").alias("w"))
+    asked = table(spark, d, "benchmark").select("item_id", words("text").alias("phrase")).filter(F.size("phrase") > 0)
+    asked = asked.withColumn("start", first(3))
+    near = None
+    for n in (1, 2, 3):
+        own = asked.filter(F.size("phrase") >= 3 if n == 3 else F.size("phrase") == n)
+        some = docs.filter(F.size("w") >= n).select("h", F.explode(F.array_distinct(grams(n))).alias("start")).join(F.broadcast(own), "start").select("item_id", "phrase", "h")
+        near = some if near is None else near.unionByName(some)
+    return docs.join(near.distinct(), "h").filter(text.holds_phrase(F.col("w"), F.col("phrase"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def most_paths(commits: int) -> int:
+    """The recorded cap on a commit's paths: 50 up to 50 commits, 8 from 200 on, linear between."""
+    return 50 - 42 * (min(max(commits, 50), 200) - 50) // 150
+
+
+@query
+def whole_cochange(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 200).alias("p"))
+    return coverage.cochange(li, "l_orderkey", "p", most_paths(li.agg(F.count_distinct("l_orderkey")).first()[0]))

@@ -1,0 +1,52 @@
+"""Queries over whole tables against brute force on a small fixture."""
+
+import random
+import re
+from collections import Counter
+from itertools import combinations
+
+import __spark_entry__
+from evergrain.plans import whole
+
+
+def test_whole_queries(spark, tmp_path):
+    rng, d = random.Random(2), str(tmp_path)
+    li = [(o, rng.randint(1, 6), rng.randint(1, 4), float(rng.randint(1, 50))) for o in range(60) for _ in range(rng.randint(1, 9))]
+    orders = [(o, o % 7) for o in range(60)]
+    letters = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    docs = [(k, letters(12)) for k in range(40)] + [(1, "A, b a"), (2, None), (3, "b-a b"), (3, "b-a b")]
+    asked = [(0, "b"), (1, "a a"), (2, "b a b"), (3, "a B a. b"), (4, letters(7)), (5, ""), (6, "a b a c"), (7, None), (8, docs[0][1])]
+    for name, rows, schema in (("lineitem", li, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double"), ("orders", orders, "o_orderkey long, o_custkey long"), ("documents", docs, "doc_id long, text string"), ("benchmark", asked, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+    got = {name: [tuple(r) for r in __spark_entry__.queries()[name](spark, d).collect()] for name in whole.QUERIES}
+
+    edges = {(f"s{s}", f"p{p}") for _, p, s, _ in li} | {(f"p{p}", f"o{o}") for o, p, _, _ in li} | {(f"o{o}", f"c{c}") for o, c in orders}
+
+    def paths(seeds):
+        found = {s: (0, s) for s in seeds}
+        for hop in (1, 2, 3):
+            step: dict = {}
+            for a, b in edges:
+                if b not in found and a in found and found[a][0] == hop - 1:
+                    step[b] = min(step.get(b, (hop, "~")), (hop, f"{found[a][1]}>{b}"))
+            found |= step
+        return found
+
+    assert sorted(got["whole_shortest_path"]) == sorted((n, h, p) for n, (h, p) in paths(["s1", "s2"]).items())
+    assert sorted(got["whole_reach_frontier"]) == sorted((k, h, n) for (k, h), n in Counter((n[0], h) for n, (h, _) in paths(["s1", "s2", "s3"]).items()).items())
+
+    sets: dict = {}
+    for o, p, _, _ in li:
+        sets.setdefault(o, set()).add(p)
+    within = {o: min((len(u), x) for x, u in sets.items() if u > s) for o, s in sets.items() if any(u > s for u in sets.values())}
+    assert sorted(got["whole_redundancy_kinds"]) == sorted((o, x, len(sets[o]), n) for o, (n, x) in within.items())
+    assert any(len(sets[o]) > 3 for o in within)
+
+    cap = whole.most_paths(len(sets))
+    assert [whole.most_paths(n) for n in (0, 50, 125, 200, 999)] == [50, 50, 29, 8, 8]
+    pairs = Counter(x for s in sets.values() if len(s) <= cap for x in combinations(sorted(s), 2))
+    assert sorted(got["whole_cochange"]) == sorted((a, b, n) for (a, b), n in pairs.items()) and any(len(s) > 5 for s in sets.values())
+
+    plain = lambda t: " ".join(re.findall("[a-z]+", (t or "").lower()))
+    hold = {i: sum(f" {plain(q)} " in f" {plain(t)} " for _, t in docs) for i, q in asked if plain(q)}
+    assert sorted(got["whole_phrase_match"]) == sorted((i, n) for i, n in hold.items() if n) and hold[8]
