@@ -12,7 +12,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b: long): root is the least node reachable. Each round writes its edges
     to the shared folder; the number of rounds grows with the logarithm of a component's size."""
     stars = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    before = None
     for _ in range(most_rounds):
         # large star: neighbours above a node go to the least of its neighbours and itself
         both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -21,11 +20,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: neighbours below a node, and itself, go to the least of them
         below = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(below, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
-        stars = keep(small.select("e.a", "e.b").filter("a <> b").distinct(), "cc")
-        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.col("b") % 1_000_003)).first()
-        if now == before:
+        before, stars = stars, keep(small.select("e.a", "e.b").filter("a <> b").distinct(), "cc")
+        # both tables hold each edge once: they are equal if they have the same number and none is in one alone
+        if before.count() == stars.count() and stars.join(before, ["a", "b"], "left_anti").isEmpty():
             break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b"), F.col("b")).distinct())

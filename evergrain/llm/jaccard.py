@@ -1,8 +1,10 @@
 """N-gram Jaccard join by a token-group matrix: groups of similar documents, the union of each group's tokens, a bound on
 the overlap of a query with a group, and only groups that reach it are opened.
 
-Tokens are hashed word shingles (TOKEN_BITS bits, of all of a whole text). Documents with the same token set are one from
-the start. One shuffle brings the occurrences of each token together, as compressed blocks by token range; a token
+Tokens are word shingles of a whole text, as 64-bit hashes over BLAKE2b hashes of the words: two shingles meet by chance
+alone, with 2^-64 a pair (a set of 20,000 is off by one with 1e-11). Documents with the same token set are one from the
+start, by 64 bits of BLAKE2b of the set (n different sets hold n^2 / 2^65 pairs that meet: 3e-4 at 1e8, 3 at 1e10).
+One exchange brings the occurrences of each token together, as compressed blocks by token range; a token
 found in one set only can be in no overlap and is dropped, so a document in which too few tokens are left for the
 threshold is out, exactly. Of those that remain, tokens stand rarest first and a document's prefix is what it must
 share a token of with any partner. Documents are put into groups by their least hashed token (large groups are cut by
@@ -11,6 +13,10 @@ allows it. Before a group is opened the query's tokens are counted in the union
 member can be no more. Opened groups are compared exactly, in integers. Inside a group, and for each query, only
 links that join two parts are passed on, so copies never become all their pairs; components are the least doc_id.
 
+Ranges of tokens and buckets of sets follow the size of the input. A block is dealt into at most 2^FAN of them at a time;
+where there are more, a further exchange deals each range out again, so rows per block stay bounded and the number of
+rows is that of blocks times the exchanges (one up to 64 partitions, two up to 16,384, three beyond).
+
 Corners: null or empty texts and texts of white space alone have no set and link with nothing (component: their own
 doc_id); fewer words than ``width`` are one token; repeated rows are copies; a null doc_id never names a component that
 has others; an empty table gives no rows; other columns are ignored.
@@ -30,9 +36,9 @@ from .components import components
 from .shared import bounded, keep, scan_parts, trim, utf8
 from .shingles import Hasher
 
-TOKEN_BITS = 48
-#: Tokens that a task holds before it passes them on; members of a group; queries that one task asks of a group.
-BLOCK, GROUP, QUERIES = 1_000_000, 256, 512
+#: Tokens that a task holds before it passes them on; members of a group; queries that one task asks of a group; bits of
+#: a key that one exchange deals out.
+BLOCK, GROUP, QUERIES, FAN = 1_000_000, 256, 512, 8
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -54,40 +60,76 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
+_POSTED = "key int, n int, m int, tokens binary, local binary, names binary, sizes binary"
+_SHARED = "doc_id long, name long, size long, bucket int, n int, tokens binary, counts binary, names binary, sizes binary"
+_BINARY = [("tokens", pa.binary()), ("local", pa.binary()), ("names", pa.binary()), ("sizes", pa.binary())]
+_POSTING = pa.schema([("key", pa.int32()), ("n", pa.int32()), ("m", pa.int32()), *_BINARY])
+_BUCKET = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("tokens", "counts", "names", "sizes"))])
+
+
+def _zip(a: np.ndarray) -> bytes:
+    return pa.compress(a.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unzip(raw: bytes, n: int, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), dtype=kind)
+
+
+def _cuts(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """Runs of ascending 64-bit keys that agree in their first ``bits``: those bits, from, to. There are no empty runs."""
+    top = (key >> np.uint64(64 - bits)).astype(np.int64)
+    at = [0, *(np.flatnonzero(np.diff(top)) + 1).tolist(), len(top)] if len(top) else []
+    for lo, hi in zip(at, at[1:], strict=False):
+        yield int(top[lo]), lo, hi
+
+
+def _deal(tok: np.ndarray, own: np.ndarray, name: np.ndarray, size: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Tokens and the numbers of their sets (name, size), by range of tokens."""
+    order = np.argsort(tok, kind="stable")
+    tok, own = tok[order], own[order]
+    for r, a, b in _cuts(tok, bits):
+        seen, local = np.unique(own[a:b], return_inverse=True)
+        planes = local.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+        row = {"key": [r], "n": [b - a], "m": [len(seen)], "tokens": [pack(tok[a:b])], "local": [_zip(planes)], "names": [name[seen].tobytes()], "sizes": [size[seen].astype(np.uint32).tobytes()]}
+        yield pa.RecordBatch.from_pydict(row, schema=_POSTING)
+
+
+def _dealt(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a row with the names and sizes of their sets."""
+    n = row["n"]
+    local = _unzip(row["local"], 4 * n, np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel()
+    return unpack(row["tokens"], n), np.frombuffer(row["names"], dtype=np.uint64)[local], np.frombuffer(row["sizes"], dtype=np.uint32)[local]
+
+
+def _spread(names: bytes, bits: int) -> int:
+    """The range that a row of documents goes to: any will do, the same at each exchange up to its first bits."""
+    return int.from_bytes(hashlib.blake2b(names, digest_size=4).digest()) >> (32 - bits)
+
+
 def _postings(width: int, bits: int):
     """Rows (doc_id, text) to rows by token range (key, n, tokens, documents) and, apart, the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, shift = Hasher(), np.uint64(64 - TOKEN_BITS)
+        hasher = Hasher()
         tokens, owners, sets, docs, size = [], [], {}, [], 0
 
         def flush():
-            tok, own = np.concatenate(tokens), np.concatenate(owners)
-            order = np.argsort(tok, kind="stable")
-            tok, own = tok[order], own[order]
             name = np.array(list(sets), dtype=np.uint64)
             count = np.array([n for _, n in sets.values()], dtype=np.uint64)
-            cuts = np.searchsorted(tok, np.arange(0, (1 << bits) + 1, dtype=np.uint64) << np.uint64(TOKEN_BITS - bits)) if bits else [0, len(tok)]
-            for r in range(1 << bits):
-                a, b = cuts[r], cuts[r + 1]
-                if a < b:
-                    seen, local = np.unique(own[a:b], return_inverse=True)
-                    row = {"key": [r], "n": [b - a], "m": [len(seen)], "tokens": [pack(tok[a:b])], "local": [pa.compress(local.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)], "names": [name[seen].tobytes()], "sizes": [count[seen].astype(np.uint32).tobytes()]}
-                    yield pa.RecordBatch.from_pydict(row, schema=schema)
+            yield from _deal(np.concatenate(tokens), np.concatenate(owners), name, count, bits)
 
         def known():
             ids, names, counts = zip(*docs, strict=True)
             ids = pa.array(ids, pa.int64())
             raw = np.array(names, dtype=np.uint64).tobytes()
-            row = {"key": [int.from_bytes(hashlib.blake2b(raw, digest_size=4).digest()) % (1 << bits)], "n": [-len(ids)], "m": [0], "tokens": [b""], "local": [ids.is_null().to_numpy(zero_copy_only=False).tobytes()], "names": [ids.fill_null(0).to_numpy().tobytes() + raw], "sizes": [np.array(counts, dtype=np.uint32).tobytes()]}
-            return pa.RecordBatch.from_pydict(row, schema=schema)
+            raw = ids.fill_null(0).to_numpy().tobytes() + raw
+            row = {"key": [_spread(raw, bits)], "n": [-len(ids)], "m": [0], "tokens": [b""], "local": [ids.is_null().to_numpy(zero_copy_only=False).tobytes()], "names": [raw], "sizes": [np.array(counts, dtype=np.uint32).tobytes()]}
+            return pa.RecordBatch.from_pydict(row, schema=_POSTING)
 
-        schema = pa.schema([("key", pa.int32()), ("n", pa.int32()), ("m", pa.int32()), *((x, pa.binary()) for x in ("tokens", "local", "names", "sizes"))])
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for doc, found in zip(ids, hasher.texts([x.as_py() for x in batch.column("text")], width), strict=True):
                 if len(found):
-                    found = np.unique(found >> shift)
                     name = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest())
                     if name not in sets:
                         owners.append(np.full(len(found), len(sets), dtype=np.uint32))
@@ -106,13 +148,73 @@ def _postings(width: int, bits: int):
         if docs:
             yield known()
         tokens, owners, sets, docs = [], [], {}, []
+        hasher.memo.clear()
         trim()
 
     return run
 
 
-_POSTED = "key int, n int, m int, tokens binary, local binary, names binary, sizes binary"
-_SHARED = "doc_id long, name long, size long, bucket int, n int, tokens binary, counts binary, names binary, sizes binary"
+def _finer(bits: int):
+    """Rows of _postings, by range, dealt out again by more bits of their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _grouped(batches, "key"):
+            tokens, names, sizes, size = [], [], [], 0
+
+            def flush():
+                name, first, own = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+                yield from _deal(np.concatenate(tokens), own, name, np.concatenate(sizes)[first], bits)
+
+            for row in (row for batch in held for row in batch.to_pylist()):
+                if row["n"] < 0:
+                    yield pa.RecordBatch.from_pylist([row | {"key": _spread(row["names"], bits)}], schema=_POSTING)
+                    continue
+                for kept, x in zip((tokens, names, sizes), _dealt(row), strict=True):
+                    kept.append(x)
+                size += row["n"]
+                if size >= BLOCK:
+                    yield from flush()
+                    tokens, names, sizes, size = [], [], [], 0
+            if tokens:
+                yield from flush()
+            trim()
+
+    return run
+
+
+def _bucketed(tok: np.ndarray, count: np.ndarray, name: np.ndarray, size: np.ndarray, bits: int) -> Iterator[dict]:
+    """Tokens of sets, with the number of sets that hold them, by bucket: the first bits of the set's name."""
+    order = np.lexsort((tok, name))
+    tok, count, name, size = tok[order], count[order], name[order], size[order]
+    for b, lo, hi in _cuts(name, bits):
+        s = slice(lo, hi)
+        yield {"bucket": [b], "n": [hi - lo], "tokens": [_zip(tok[s])], "counts": [pack(count[s])], "names": [pack(name[s])], "sizes": [pack(size[s])]}
+
+
+def _unbucketed(row: dict) -> tuple[np.ndarray, ...]:
+    return _unzip(row["tokens"], row["n"]), *(unpack(row[k], row["n"]) for k in ("counts", "names", "sizes"))
+
+
+def _finer_buckets(bits: int):
+    """Rows by bucket, dealt out again by more bits of their sets' names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _grouped(batches, "bucket"):
+            cols: list[tuple] = []
+            size = 0
+            for row in (row for batch in held for row in batch.to_pylist()):
+                cols.append(_unbucketed(row))
+                size += row["n"]
+                if size >= BLOCK:
+                    for out in _bucketed(*map(np.concatenate, zip(*cols, strict=True)), bits):
+                        yield pa.RecordBatch.from_pydict(out, schema=_BUCKET)
+                    cols, size = [], 0
+            if cols:
+                for out in _bucketed(*map(np.concatenate, zip(*cols, strict=True)), bits):
+                    yield pa.RecordBatch.from_pydict(out, schema=_BUCKET)
+            trim()
+
+    return run
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -133,30 +235,26 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[i
         yield at, held
 
 
-def _share(buckets: int):
+def _share(bits: int):
     """By token range: tokens of at least two sets, each with the number of its sets, dealt by set into buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("name", pa.int64()), ("size", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("tokens", "counts", "names", "sizes"))])
+        schema = pa.schema([("doc_id", pa.int64()), ("name", pa.int64()), ("size", pa.int64()), *_BUCKET])
 
         def out(rows, **cols):
             return pa.RecordBatch.from_pydict({f.name: cols.get(f.name, pa.nulls(rows, f.type)) for f in schema}, schema=schema)
 
         for _, held in _grouped(batches, "key"):
             toks, names, sizes = [], [], []
-            for batch in held:
-                for row in batch.to_pylist():
-                    if row["n"] < 0:
-                        n = -row["n"]
-                        both = np.frombuffer(row["names"], dtype=np.int64)
-                        null = np.frombuffer(row["local"], dtype=bool)
-                        yield out(n, doc_id=pa.array(both[:n], pa.int64(), mask=null), name=both[n:], size=np.frombuffer(row["sizes"], dtype=np.uint32).astype(np.int64))
-                        continue
-                    n = row["n"]
-                    local = np.frombuffer(pa.decompress(row["local"], decompressed_size=4 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel()
-                    toks.append(unpack(row["tokens"], n))
-                    names.append(np.frombuffer(row["names"], dtype=np.uint64)[local])
-                    sizes.append(np.frombuffer(row["sizes"], dtype=np.uint32)[local])
+            for row in (row for batch in held for row in batch.to_pylist()):
+                if row["n"] < 0:
+                    n = -row["n"]
+                    both = np.frombuffer(row["names"], dtype=np.int64)
+                    null = np.frombuffer(row["local"], dtype=bool)
+                    yield out(n, doc_id=pa.array(both[:n], pa.int64(), mask=null), name=both[n:], size=np.frombuffer(row["sizes"], dtype=np.uint32).astype(np.int64))
+                    continue
+                for kept, x in zip((toks, names, sizes), _dealt(row), strict=True):
+                    kept.append(x)
             if not toks:
                 continue
             tok, name, size = np.concatenate(toks), np.concatenate(names), np.concatenate(sizes)
@@ -177,15 +275,9 @@ def _share(buckets: int):
             count = np.diff(np.append(start, len(tok)))
             count = np.repeat(count, count)
             tok, name, size, count = (x[count > 1] for x in (tok, name, size, count))
-            order = np.lexsort((tok, name, name % np.uint64(buckets)))
-            tok, name, size, count = tok[order], name[order], size[order], count[order]
-            bucket = (name % np.uint64(buckets)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                s = slice(cuts[b], cuts[b + 1])
-                n = cuts[b + 1] - cuts[b]
-                yield out(1, bucket=[b], n=[n], tokens=[pa.compress(tok[s].tobytes(), codec="zstd", asbytes=True)], counts=[pack(count[s])], names=[pack(name[s])], sizes=[pack(size[s])])
-            del tok, name, size, count, order, bucket
+            for row in _bucketed(tok, count, name, size, bits):
+                yield out(1, **row)
+            del tok, name, size, count, order
             trim()
 
     return run
@@ -196,14 +288,9 @@ def _eligible(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _grouped(batches, "bucket"):
-            cols: dict[str, list] = {"tokens": [], "counts": [], "names": [], "sizes": []}
-            for batch in held:
-                for row in batch.to_pylist():
-                    n = row["n"]
-                    cols["tokens"].append(np.frombuffer(pa.decompress(row["tokens"], decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint64))
-                    for k in ("counts", "names", "sizes"):
-                        cols[k].append(unpack(row[k], n))
-            tok, count, name, size = (np.concatenate(cols[k]) for k in ("tokens", "counts", "names", "sizes"))
+            cols = [_unbucketed(row) for batch in held for row in batch.to_pylist()]
+            tok, count, name, size = map(np.concatenate, zip(*cols, strict=True))
+            del cols
             order = np.lexsort((tok, count, name))
             tok, name, size = tok[order], name[order], size[order]
             start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
@@ -323,13 +410,23 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     return members.unionByName(queries).repartition("group", "slice").sortWithinPartitions("group", "slice", "kind", "name").mapInArrow(_open(percent), "a long, b long")
 
 
+def _dealt_out(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(key).sortWithinPartitions(key)
+
+
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     bits = max(2, (scan_parts(docs) - 1).bit_length() + 2)
+    steps = [*range(FAN, bits, FAN), bits]
     own = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    posted = own.mapInArrow(_postings(width, bits), _POSTED).repartition("key").sortWithinPartitions("key")
-    shared = keep(posted.mapInArrow(_share(1 << bits), _SHARED), "jac-shared")
-    sets = keep(shared.filter("bucket is not null").select("bucket", "n", "tokens", "counts", "names", "sizes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_eligible(percent), "name long, size long, prefix int, tokens array<long>"), "jac-sets")
+    posted = own.mapInArrow(_postings(width, steps[0]), _POSTED)
+    for step in steps[1:]:
+        posted = _dealt_out(posted, "key").mapInArrow(_finer(step), _POSTED)
+    shared = keep(_dealt_out(posted, "key").mapInArrow(_share(steps[0]), _SHARED), "jac-shared")
+    buckets = shared.filter("bucket is not null").select(*_BUCKET.names)
+    for step in steps[1:]:
+        buckets = _dealt_out(buckets, "bucket").mapInArrow(_finer_buckets(step), "bucket int, n int, tokens binary, counts binary, names binary, sizes binary")
+    sets = keep(_dealt_out(buckets, "bucket").mapInArrow(_eligible(percent), "name long, size long, prefix int, tokens array<long>"), "jac-sets")
     roots = components(links(sets, percent))
     rows = shared.filter("bucket is null").select("doc_id", "name", "size")
     named = rows.filter("size > 0").groupBy("name").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "name"), "name", "left")

@@ -51,25 +51,22 @@ class Scanner:
         self.need = np.maximum(1, np.ceil((self.sizes + low) * least / 2 - 1e-9) - repeats)
 
     def bigrams(self, norm: bytes) -> np.ndarray:
-        h, _ = self.hasher.words(norm)
+        h = self.hasher.words(norm)
         return self.hasher.runs(h, 2) if len(h) > 1 else h[:0]
 
     def batch(self, texts: list[bytes]) -> list[list[tuple[int, int, int, float]]]:
         """Findings of each text: first bigram, bigrams, template, Dice."""
         out: list[list] = []
         for lo in range(0, len(texts), 128):
-            norm = [normalised(t) for t in texts[lo : lo + 128]]
-            h, ends = self.hasher.words(b"\n".join(norm))
-            cuts = [0, *np.searchsorted(ends, np.cumsum([len(t) + 1 for t in norm]), "left").tolist()]
-            grams = self.hasher.runs(h, 2) if len(h) > 1 else h[:0]
+            own = [self.bigrams(normalised(t)) for t in texts[lo : lo + 128]]
+            cuts = np.concatenate([[0], np.cumsum([len(g) for g in own])])
+            grams = np.concatenate(own)
             at = np.searchsorted(self.known, grams)
-            hit = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == grams) if len(grams) else grams.astype(int)
-            edge = np.searchsorted(hit, [c for c in cuts])
-            for k in range(len(norm)):
-                last = max(cuts[k], cuts[k + 1] - 1)  # a bigram must not reach into the next text
-                own = hit[edge[k] : edge[k + 1]]
-                own = own[own < last]
-                out.append(self.one(grams[cuts[k] : last], own - cuts[k], at[own]) if len(own) else [])
+            hit = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == grams)
+            edge = np.searchsorted(hit, cuts)
+            for k, mine in enumerate(own):
+                where = hit[edge[k] : edge[k + 1]]
+                out.append(self.one(mine, where - cuts[k], at[where]) if len(where) else [])
         return out
 
     def one(self, grams: np.ndarray, where: np.ndarray, what: np.ndarray) -> list[tuple[int, int, int, float]]:

@@ -1,65 +1,51 @@
-"""Hashed word shingles of whole texts, in numpy: bounded memory for any text, no Python loop over words."""
+"""Hashed word shingles of whole texts: words by a keyless cryptographic hash, runs of them in numpy."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Odd multipliers of the polynomial over a word's bytes and over a shingle's words.
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNK = 1 << 19
+#: Odd multiplier of the polynomial over a shingle's word hashes.
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of text that are split into words at a time; words that a task remembers, and the longest of them.
+CHUNK, MEMO, LONGEST = 1 << 19, 200_000, 64
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+class Words(dict):
+    """The first 64 bits of BLAKE2b by word: no structure of a word's letters makes two of them meet."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = h
+        return h
 
 
 class Hasher:
     """64-bit hashes of words and of runs of words."""
 
     def __init__(self) -> None:
-        self.up, self.down = _powers(_BASE, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
+        self.memo = Words()
 
-    def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and end offset of every word of raw (lower-cased already)."""
-        hashes, ends = [], []
-        open_hash, open_len = np.uint64(0), 0  # of the word that the last chunk broke off
-        data = np.frombuffer(raw, dtype=np.uint8)
-        with np.errstate(over="ignore"):
-            for lo in range(0, len(data), CHUNK):
-                part = data[lo : lo + CHUNK]
-                gap = _SPACE[part]
-                edge = np.diff(gap.astype(np.int8), prepend=np.int8(1), append=np.int8(1))
-                start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-                upto = np.zeros(len(part) + 1, dtype=np.uint64)
-                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.up[: len(part)], out=upto[1:])
-                h = (upto[end] - upto[start]) * self.down[start]
-                if open_len:
-                    if len(start) and start[0] == 0:
-                        h[0] = open_hash + h[0] * np.uint64(pow(int(_BASE), int(open_len), 1 << 64))
-                    else:
-                        hashes.append(np.array([open_hash]))
-                        ends.append(np.array([lo]))
-                broken = len(end) and end[-1] == len(part) and lo + CHUNK < len(data)
-                if broken:
-                    began = start[-1]
-                    open_len = (open_len if len(end) == 1 and began == 0 else 0) + len(part) - began
-                    open_hash = h[-1]
-                    h, end = h[:-1], end[:-1]
-                else:
-                    open_len = 0
-                hashes.append(h)
-                ends.append(end + lo)
-        if not hashes:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(hashes), np.concatenate(ends)
+    def words(self, raw: bytes) -> np.ndarray:
+        """Hashes of the words of raw, lower-cased already; a long text is split piece by piece."""
+        if len(raw) <= CHUNK:
+            part = raw.split()
+            return np.fromiter(map(self.memo.__getitem__, part), np.uint64, len(part))
+        out, lo = [], 0
+        while lo < len(raw):
+            gap = _SPACE.search(raw, lo + CHUNK)
+            hi = gap.start() if gap else len(raw)
+            part = raw[lo:hi].split()
+            out.append(np.fromiter(map(self.memo.__getitem__, part), np.uint64, len(part)))
+            lo = hi
+        return np.concatenate(out)
 
     @staticmethod
     def mix(h: np.ndarray) -> np.ndarray:
@@ -73,7 +59,6 @@ class Hasher:
         width = min(width, len(h))
         if not width:
             return h
-        h = self.mix(h)
         out = np.zeros(len(h) - width + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for k in range(width):
@@ -81,16 +66,6 @@ class Hasher:
             return self.mix(out + np.uint64(width))
 
     def texts(self, texts: list[bytes], width: int) -> Iterator[np.ndarray]:
-        """Sorted distinct shingles of each text. Short texts are hashed together."""
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) < CHUNK):
-                size += len(texts[hi]) + 1
-                hi += 1
-            h, ends = self.words(b"\n".join(texts[lo:hi]).lower())
-            bounds = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
-            cuts = [0, *np.searchsorted(ends, bounds, "left").tolist()]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                yield np.unique(self.runs(h[a:b], width))
-            lo = hi
+        """Sorted distinct shingles of each text."""
+        for text in texts:
+            yield np.unique(self.runs(self.words(text.lower()), width))
