@@ -4,7 +4,9 @@ Targets: sources by code point (null last) weigh 1, 2, 3, repeating, and share a
 ``most`` times its size and the excess is reshared by weight until none is above. That is one level L with
 target = min(most * size, L * weight), found with two running sums over the sources ordered by size / weight.
 
-Blocks: rows of a source are dealt into ``blocks`` by a hash, so the hot source is in as many pieces as any other. A
+Blocks: rows of a source are dealt into ``blocks`` by a hash (512, or four for each output shard if that is more), so the
+hot source is in as many pieces as any other. Rows that agree in every column are counted before they move and dealt by
+their number among their like, so copies go to different blocks. A
 pass over a source takes its blocks in a hashed order; a target above the size goes on with a further pass. The quota of
 a source is the number of draws whose words reach its target; the last of them is taken row by row, in hashed order, as
 far as the target allows, and one more row of the source, of the size nearest to what is missing, makes that up. Thus
@@ -17,8 +19,10 @@ A shard takes its share of each source's order as a run of draws; runs are disjo
 a hash. The tree is a table of sources x shards numbers.
 
 Corners: null text has size 0 and is never taken (taken 0); an empty table gives an empty result; null sources are one
-source; repeated rows are dealt apart by a hash of their text and size and each is a row of its own; if all sizes are
-0 all targets are 0; extra columns are ignored.
+source; rows that agree in all columns are rows of their own, each with its own decision; if all sizes are 0 all targets are
+0; other columns, whatever their names and types, are ignored by mix() and come through emit() as they are. The targets are
+found with windows over the table of sources, one row a source, and a node of the tree holds one number a source: sources
+are to be few beside the rows (sites by the million still fit a task, documents as their own sources would not).
 """
 
 from __future__ import annotations
@@ -30,21 +34,31 @@ from pyspark.sql.window import Window
 from .shared import WORD, keep, scan_parts
 
 
-_PLAIN = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz", "binary")
+def _key(docs: DataFrame) -> Column:
+    """The hash that orders rows; only rows that agree in all columns share it."""
+    own = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in sorted(docs.dtypes)]
+    there = F.concat(*[F.col(f"`{c}`").isNull().cast("string") for c in sorted(docs.columns)])
+    return F.xxhash64(*own, there)
 
 
-def _keys(docs: DataFrame, blocks: int, seed: int) -> tuple[Column, Column]:
-    """The hash that orders rows (equal rows alone share it) and the block of a row."""
-    mix = F.xxhash64(*[F.col(f"`{c}`") for c, kind in sorted(docs.dtypes) if kind in _PLAIN])
-    return mix, F.pmod(F.xxhash64(mix, F.lit(seed)), F.lit(blocks)).cast("int")
+def _block(mix: Column, copy: Column, blocks: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(mix, F.lit(seed), copy), F.lit(blocks)).cast("int")
 
 
-def sizes(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """doc_id, source, size, mix, block."""
-    mix, block = _keys(docs, blocks, seed)
+def _copies(rows: DataFrame) -> DataFrame:
+    """Each row n times, numbered from 0 in ``copy``; a number is spelled in two digits, so no array grows with n."""
+    digit = 1 << 16
+    high = rows.withColumn("_high", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / digit))))
+    low = high.withColumn("_low", F.explode(F.sequence(F.lit(0), F.least(F.lit(digit - 1), F.col("n") - 1 - F.col("_high") * digit))))
+    return low.withColumn("copy", (F.col("_high") * digit + F.col("_low")).cast("long")).drop("_high", "_low")
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, mix, n: n rows of docs agree in all columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), mix.alias("mix"), block.alias("block"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), _key(docs).alias("mix"))
+    return own.groupBy("doc_id", "source", "size", "mix").agg(F.count(F.lit(1)).alias("n"))
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -128,14 +142,16 @@ def split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 def shards_for(docs: DataFrame) -> int:
     """Output shards: the partitions of the input as a power of two, 16 at least."""
-    return max(16, min(4096, 1 << (scan_parts(docs) - 1).bit_length()))
+    return max(16, 1 << (scan_parts(docs) - 1).bit_length())
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int = 512, shards: int | None = None, seed: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: the sizes of all rows; by block what is taken of it (source, block, source_size, target, times, room,
-    shards); the rows that are taken once more than their block (e_id, e_mix, e_shard)."""
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int | None = None, shards: int | None = None, seed: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: the sizes of all rows (see sizes()); by block what is taken of it (source, block, source_size, target,
+    times, room, shards); the rows that are taken once more than their block (e_id, e_mix, e_copy, e_shard)."""
     shards = shards or shards_for(docs)
-    rows = keep(sizes(docs, blocks, seed), "mix-sizes")
+    blocks = blocks or blocks_for(shards)
+    sized = keep(sizes(docs), "mix-sizes")
+    rows = _copies(sized).withColumn("block", _block(F.col("mix"), F.col("copy"), blocks, seed))
     by_block = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
     by_source = keep(targets(by_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most), "mix-targets")
     aimed = by_block.join(by_source.withColumnRenamed("source", "s_source"), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
@@ -161,15 +177,13 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, b
     )
     by_block = keep(by_block, "mix-blocks")
     partly = by_block.filter("room is not null").select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "room", "edge_shard")
-    # equal rows stand or fall together
-    inside = Window.partitionBy("source", "block").orderBy("mix", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "block").orderBy("mix", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
     edge = keep(
-        rows.join(partly, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
-        .groupBy("source", "block", "doc_id", "mix", "room", "edge_shard")
-        .agg(F.sum("size").alias("size"))
+        rows.filter("size > 0")
+        .join(partly, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
         .withColumn("upto", F.sum("size").over(inside))
-        .filter((F.col("size") > 0) & (F.col("upto") <= F.col("room")))
-        .select("source", F.col("doc_id").alias("e_id"), F.col("mix").alias("e_mix"), F.col("edge_shard").alias("e_shard"), "size"),
+        .filter(F.col("upto") <= F.col("room"))
+        .select("source", F.col("doc_id").alias("e_id"), F.col("mix").alias("e_mix"), F.col("copy").alias("e_copy"), F.col("edge_shard").alias("e_shard"), "size"),
         "mix-edge",
     )
     # of the source's other rows, the one whose size comes nearest to what is still missing
@@ -183,36 +197,54 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, b
         .join(short, F.col("source").eqNullSafe(F.col("b_source")))
         .filter(far < F.col("short"))
         .groupBy("source")
-        .agg(F.min(F.struct(far.alias("far"), "mix", "doc_id", "edge_shard")).alias("x"))
-        .select(F.col("x.doc_id").alias("e_id"), F.col("x.mix").alias("e_mix"), F.col("x.edge_shard").alias("e_shard"))
+        .agg(F.min(F.struct(far.alias("far"), "mix", "doc_id", "copy", "edge_shard")).alias("x"))
+        .select(F.col("x.doc_id").alias("e_id"), F.col("x.mix").alias("e_mix"), F.col("x.copy").alias("e_copy"), F.col("x.edge_shard").alias("e_shard"))
     )
-    return rows, by_block, keep(edge.select("e_id", "e_mix", "e_shard").unionByName(last), "mix-more")
+    return sized, by_block, keep(edge.select("e_id", "e_mix", "e_copy", "e_shard").unionByName(last), "mix-more")
+
+
+def blocks_for(shards: int) -> int:
+    return max(512, 4 * shards)
 
 
 def _decided(rows: DataFrame, by_block: DataFrame, edge: DataFrame) -> DataFrame:
-    """rows (with source, block, doc_id, mix) with the columns of their block and ``more``: taken once more at the edge."""
+    """rows (with _source, _block, _id, _mix, _copy) with the columns of their block and all shards that take them."""
     blocks = by_block.withColumnRenamed("source", "b_source").withColumnRenamed("block", "b_block")
-    out = rows.join(blocks, F.col("_source").eqNullSafe(F.col("b_source")) & (F.col("_block") == F.col("b_block"))).drop("b_source", "b_block")
-    out = out.join(edge, F.col("_id").eqNullSafe(F.col("e_id")) & (F.col("_mix") == F.col("e_mix")), "left")
-    return out.withColumn("more", F.col("e_mix").isNotNull()).drop("e_id", "e_mix")
+    out = rows.join(blocks, F.col("_source").eqNullSafe(F.col("b_source")) & (F.col("_block") == F.col("b_block")))
+    out = out.join(edge, F.col("_id").eqNullSafe(F.col("e_id")) & (F.col("_mix") == F.col("e_mix")) & (F.col("_copy") == F.col("e_copy")), "left")
+    more = F.when(F.col("e_mix").isNotNull(), F.array("e_shard")).otherwise(F.expr("cast(array() as array<int>)"))
+    return out.withColumn("_shards", F.concat("shards", more))
 
 
-def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken."""
-    rows, by_block, edge = plan(docs, **parameters)
-    named = rows.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("block").alias("_block"), F.col("mix").alias("_mix"), "size")
-    times = F.col("times") + F.col("more").cast("int")
-    return _decided(named, by_block, edge).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int | None = None, shards: int | None = None, seed: int = 20) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, and shards: the leaves of the tree that take it."""
+    shards = shards or shards_for(docs)
+    blocks = blocks or blocks_for(shards)
+    sized, by_block, edge = plan(docs, weights, most, blocks, shards, seed)
+    named = _copies(sized).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mix").alias("_mix"), F.col("copy").alias("_copy"), _block(F.col("mix"), F.col("copy"), blocks, seed).alias("_block"), "size")
+    # rows without words stand in no shard
+    took = F.when(F.col("size") > 0, F.col("_shards")).otherwise(F.expr("cast(array() as array<int>)"))
+    return _decided(named, by_block, edge).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("_shards")).alias("taken"), took.alias("shards"))
 
 
-def emit(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int = 512, shards: int | None = None, seed: int = 20) -> DataFrame:
-    """The mix itself: all columns of docs, once for each time that a row is taken, then _shard; shards are dealt out
-    whole and shuffled inside. Rows of size 0 and rows not taken are not there."""
-    _, by_block, edge = plan(docs, weights, most, blocks, shards, seed)
-    key, block = _keys(docs, blocks, seed)
+def emit(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, blocks: int | None = None, shards: int | None = None, seed: int = 20, numbered: bool = True) -> DataFrame:
+    """The mix itself: all columns of docs, once for each time that a row is taken, then _shard (if ``numbered``); shards
+    are dealt out whole and shuffled inside. Rows of size 0 and rows not taken are not there."""
+    shards = shards or shards_for(docs)
+    blocks = blocks or blocks_for(shards)
+    sized, by_block, edge = plan(docs, weights, most, blocks, shards, seed)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.filter(text.rlike(WORD)).select("*", F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), key.alias("_mix"), block.alias("_block"))
-    all_of = F.concat("shards", F.when(F.col("more"), F.array("e_shard")).otherwise(F.expr("cast(array() as array<int>)")))
-    each = _decided(own, by_block.drop("source_size", "target", "times", "room"), edge).select(*[F.col(f"`{c}`") for c in docs.columns], "_mix", F.posexplode(all_of).alias("_pass", "_shard"))
-    out = each.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64("_mix", "_pass", F.lit(seed)))
-    return out.drop("_mix", "_pass")
+    # the columns of docs travel as one, so that none of their names can meet one of ours
+    own = docs.filter(text.rlike(WORD)).select(F.struct("*").alias("_own"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), _key(docs).alias("_mix"))
+    again = keep(sized.filter("n > 1 and size > 0").groupBy(F.col("mix").alias("a_mix")).agg(F.max("n").alias("n")), "mix-again")
+    once = own.join(again, F.col("_mix") == F.col("a_mix"), "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    # of rows that agree in all columns one moves, and stands for each of them in turn
+    like = _copies(own.dropDuplicates(["_mix"]).join(again, F.col("_mix") == F.col("a_mix")).drop("a_mix")).drop("n")
+    if again.isEmpty():
+        every = once
+    else:
+        every = once.unionByName(like)
+    every = every.withColumnRenamed("copy", "_copy").withColumn("_block", _block(F.col("_mix"), F.col("_copy"), blocks, seed))
+    each = _decided(every, by_block.select("source", "block", "shards"), edge).select("_own", "_mix", "_copy", F.posexplode("_shards").alias("_pass", "_shard"))
+    out = each.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64("_mix", "_copy", "_pass", F.lit(seed)))
+    return out.select("_own.*", "_shard") if numbered else out.select("_own.*")
