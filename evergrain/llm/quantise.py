@@ -5,7 +5,8 @@ the list's centre is coded by subspace codebooks, with the exact error of each c
 distance of at most reach = sqrt(2 - 2c). A query probes every list that a partner could be in: those whose half-space
 against the query's own centre begins within reach. There asymmetric table-lookup distances to the codes, less each
 code's error, rule out members beyond reach; the rest get the exact cosine in double precision. Both bounds are proofs,
-so recall is 1 for any centres and codebooks; these are fitted on a bounded sample (``sample`` vectors of least hash).
+so recall is 1 for any centres and codebooks; these are fitted on a bounded sample (``sample`` vectors of least hash, or four a list if that is more; the lists grow
+with the root of a label's vectors).
 
 Equal vectors of one label are one from the start, with a multiplicity that counts in n_links; components need one link for
 each two parts that meet in a task, never all pairs. Lists longer than ``CHUNK`` are cut, and so are their queries.
@@ -97,12 +98,14 @@ def fit(unique: DataFrame, lists: int | None, sample: int, dims: int = 8) -> dic
     n = unique.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).orderBy(F.desc("n"), "dim").limit(dims).collect()
     out = {}
     for r in n:
+        k = lists or max(1, round(math.sqrt(r.n / max(1, r.labels))))
+        # the lists follow the vectors, and the sample the lists: four vectors a list at least
+        few = max(sample, 4 * k)
         # a hashed share of the rows first, so that what tasks send to the driver does not grow with their number
-        share = int(min(1.0, 2 * sample / r.n) * (1 << 30))
+        share = int(min(1.0, 2 * few / r.n) * (1 << 30))
         some = unique.filter((F.col("dim") == r.dim) & (F.pmod(F.xxhash64("name", F.lit(1)), F.lit(1 << 30)) < share))
-        rows = some.select("raw", F.xxhash64("name").alias("h")).orderBy("h").limit(sample).collect()
-        x = matrix([bytes(q.raw) for q in sorted(rows, key=lambda q: q.h)])
-        k = lists or max(1, min(4096, sample // 4, round(math.sqrt(r.n / max(1, r.labels)))))
+        rows = some.select("raw", F.xxhash64("name").alias("h")).orderBy("h").limit(few).collect()
+        x = matrix([bytes(q.raw) for q in sorted(rows, key=lambda q: q.h)], r.dim)
         out[r.dim] = Quantiser(x / np.linalg.norm(x, axis=1, keepdims=True), r.dim, k)
     return out
 
@@ -117,7 +120,7 @@ def _tasks(models: dict[int, Quantiser], reach: float):
                 at = np.flatnonzero(dim == d)
                 part = batch.take(pa.array(at))
                 model = models.get(int(d)) or Quantiser(None, int(d), 1)
-                x = matrix(part.column("raw").to_pylist())
+                x = matrix(part.column("raw").to_pylist(), int(d))
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 cell, codes, wrong = model.encode(x)
                 for lo in range(0, len(x), 256):
@@ -149,7 +152,7 @@ def _compare(models: dict[int, Quantiser], least: float, reach: float):
 
         def load():
             nonlocal lot
-            x = matrix([h[1] for h in held])
+            x = matrix([h[1] for h in held], at[1])
             lot = {
                 "name": np.array([h[0] for h in held]),
                 "copies": np.array([h[2] for h in held]),
@@ -201,7 +204,7 @@ def _compare(models: dict[int, Quantiser], least: float, reach: float):
             if asked:
                 name, raw, copies = zip(*asked, strict=True)
                 asked.clear()
-                yield from ask(np.array(name), matrix(list(raw)), np.array(copies))
+                yield from ask(np.array(name), matrix(list(raw), at[1]), np.array(copies))
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("label", "dim", "list", "chunk", "kind", "name", "raw", "copies", "codes", "error")]
