@@ -167,6 +167,24 @@ def test_jaccard_large_group_and_small_caps(spark, monkeypatch):
         assert g.component_id == want[g.doc_id][1]
 
 
+def test_jaccard_deals_in_steps(spark, monkeypatch):
+    """Several exchanges of few bits each give the same classes, and no row of a block beyond the fan."""
+    monkeypatch.setattr(jaccard, "FAN", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 500)
+    rows = corpus(seed=2)
+    want = brute_classes(rows, 4, 85)
+    for g in jaccard.classes(frame(spark, rows), 4, 85).collect():
+        assert g.doc_id is None or (g.n_shingles, g.component_id) == want[g.doc_id]
+
+
+def test_jaccard_words_that_polynomials_confuse(spark):
+    """The Thue-Morse word and its complement agree in every polynomial modulo 2^64; they are two words."""
+    bits = [bin(k).count("1") & 1 for k in range(2048)]
+    a, b = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    rows = [(1, a, "en", "s", 1, "x", 1, "y", 0), (2, b, "en", "s", 1, "x", 1, "y", 0), (3, a, "en", "s", 1, "x", 1, "y", 0)]
+    assert {(g.doc_id, g.component_id) for g in jaccard.classes(frame(spark, rows)).collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
 def test_jaccard_empty(spark):
     assert jaccard.classes(frame(spark, [])).count() == 0
 
@@ -269,6 +287,30 @@ def test_mixture_emits_what_it_takes(spark):
     assert set(docs.columns) | {"_shard"} == set(out[0].asDict())
 
 
+def test_mixture_of_repeated_rows(spark):
+    """Rows that agree in every column are dealt apart: their source meets its target, too."""
+    rows = [(7, "some words of a row", "en", "rep", 1, "x", 1, "y", 0)] * 300 + [(i, "w " * 40, "en", s, 1, "x", 1, "y", 0) for i, s in enumerate(["a", "b", "c"] * 40, 100)]
+    docs = frame(spark, rows)
+    got = mixture.mix(docs).collect()
+    assert len(got) == len(rows) and all(g.taken == g.size * len(g.shards) <= 3 * g.size for g in got)
+    mine = [g for g in got if g.doc_id == 7]
+    assert len(mine) == 300 and len({g.taken for g in mine}) > 1
+    assert abs(sum(g.taken for g in mine) - mine[0].target) <= 5
+    out = mixture.emit(docs).collect()
+    assert Counter(r.doc_id for r in out) == Counter({g.doc_id: 0 for g in got}) + Counter(x for g in got for x in [g.doc_id] * len(g.shards))
+    assert Counter(r._shard for r in out) == Counter(x for g in got for x in g.shards)
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    names = ["more", "shards", "edge_shard", "e_shard", "b_block", "_pass", "_gone", "_text", "_mix", "_copy", "block", "n"]
+    rows = [(i, "some words here " * (i % 5 + 1), "s", *(f"{n}{i}" for n in names), {"k": i}, [i]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names) + ", m map<string,int>, arr array<int>")
+    whole = {r[0]: r for r in rows}
+    out = mixture.emit(docs).collect()
+    assert out and all(tuple(r)[:-1] == whole[r.doc_id] for r in out)
+    assert mixture.mix(docs).count() == 40
+
+
 def test_mixture_empty(spark):
     assert mixture.mix(frame(spark, [])).count() == 0
     zero = [(1, None, None, "a", 0, "x", 1, "y", 0), (2, "  ", None, None, 0, "x", 1, "y", 0)]
@@ -320,6 +362,29 @@ def test_bpe_is_the_library(spark):
     assert all(bytes(r.raw).decode() == texts[r.doc_id] for r in back)
 
 
+def test_bpe_deals_chunks_out(spark):
+    """Texts of many chunks through the query's own path: stitched, torn (a run longer than the overlap), malformed."""
+    import hashlib
+
+    import tiktoken
+
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=bpe.ranks(path), special_tokens={})
+    texts = [words(__import__("random").Random(k), 400, "abé\n'世 1") for k in range(6)] + ["ab " * 30 + "x" * 700 + " tail", " " * 900, "short", "", None, "it's" * 300]
+    rows = [(k, None if t is None else bytearray(t.encode())) for k, t in enumerate(texts)] + [(None, bytearray(b"bad \xff bytes " * 40)), (3, bytearray(texts[3].encode()))]
+    docs = spark.createDataFrame(rows, "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text", "1 as row", "2 as k", "3 as ids").repartition(3)
+    for chunk, overlap in ((64, 16), (200, 30)):
+        out = bpe.encode(docs, path, pattern(), chunk=chunk, overlap=overlap).collect()
+        assert sorted((str(r.doc_id) for r in out)) == sorted(str(r[0]) for r in rows)
+        for r in out:
+            text = "bad \ufffd bytes " * 40 if r.doc_id is None else texts[r.doc_id] or ""
+            ids = enc.encode_ordinary(text)
+            assert list(r.ids or []) == ids and r.n_tokens == len(ids)
+            assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+            assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert bpe.encode(docs.limit(0), path, pattern()).count() == 0
+
+
 def test_bpe_stitches_chunks():
     import random
 

@@ -68,7 +68,7 @@ def test_impact_against_brute_force(spark, levels, segments, open_rows):
         if q % 50 == 0:
             best = sorted((-int(x @ y), i) for i, y in good if i != q and len(x) == len(y))[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    got = impact.top_k(spark.createDataFrame(rows, VECTORS), shard_rows=60, levels=levels, segments=segments, open_rows=open_rows, batch_rows=3).collect()
+    got = impact.top_k(spark.createDataFrame(rows, VECTORS), shard_numbers=60 * 16, levels=levels, segments=segments, open_rows=open_rows).collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -80,6 +80,15 @@ def test_impact_few_rows(spark):
     assert impact.top_k(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_impact_answers_each_query_row(spark):
+    """Rows that repeat a query's id, with its vector or another, are asked and answered each."""
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [-3.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 2.0]), (2, [2.0, 2.0]), (3, [-1.0, 0.0])]
+    got = impact.top_k(spark.createDataFrame([(*r, 0, "n", "r", 1) for r in rows], VECTORS), k=2, shard_numbers=4).collect()
+    one = [(0, 1, 2, 512 * 256 + 512 * 512), (0, 2, 2, 512 * 256 + 512 * 512)]
+    other = [(0, 1, 3, 3 * 65536), (0, 2, 1, -2 * 65536)]
+    assert sorted(map(tuple, got)) == sorted(one + one + other)
+
+
 PAGES = "page_id long, url string, html string, digest string, text string, content string"
 
 
@@ -216,6 +225,33 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     assert len(kept) == len(sure) + 2
 
 
+def test_pipeline_corners(spark, tmp_path):
+    """Empty tables, columns whose names meet those of the stages, rows without words, and every row accounted for."""
+    import corpus_pipeline
+
+    from .common import DOCS, words
+
+    extra = ["_row", "_own", "_again", "more", "_shard", "_gone", "_text_bytes", "component_id", "name"]
+    shape = DOCS.split(", word")[0] + ", " + ", ".join(f"`{x}` string" for x in extra)
+    rng = random.Random(8)
+    t = [words(rng, 40) for _ in range(6)]
+    texts = [(1, t[0]), (2, t[0]), (3, None), (3, None), (None, ""), (None, ""), (4, t[1]), (4, t[1]), (5, t[2]), (None, t[3]), (6, t[4])]
+    rows = [(i, x, "en", "a", 1, *(f"{e}-{k}" for e in extra)) for k, (i, x) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, shape).repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    got = sorted(map(tuple, kept.collect()), key=str)
+    assert set(got) <= set(rows)
+    assert sorted(((r[0], r[1]) for r in got), key=str) == sorted([(1, t[0]), (3, None), (3, None), (None, ""), (None, ""), (4, t[1]), (5, t[2]), (None, t[3]), (6, t[4])], key=str)
+    mixed = corpus_pipeline.mixing(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} <= set(rows)
+    lettered = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert lettered.columns == docs.columns and {tuple(r) for r in lettered.collect()} == {r for r in rows if r[1]}
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
