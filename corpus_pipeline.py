@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
 documents. Mixing repeats a row as often as the mix takes it.
+
+Corners, for every stage: columns beyond those of documents, of any name, come through unchanged (encoding returns its own);
+an empty table stays empty; a null text is empty. language: null, empty and letterless texts go, of ties the smaller
+name wins, repeated rows are judged alike. near_duplicates: texts without words stay, each row of them; a null doc_id is as
+good as any. mixing: texts without words are never taken; null sources are one source. encoding: an empty text has no ids.
 """
 
 from __future__ import annotations
@@ -24,23 +29,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     last, of equal ids that with the least hash. A row is known by a hash of its doc_id and text, so rows that share an
     id, or have none, are decided apart; rows equal in both are one."""
     row = F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
-    own = docs.withColumn("_row", row)
-    found = keep(jaccard.classes(own.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80), "near-classes")
-    rows = found.select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    ids = own.select("_row", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    # the columns of docs travel as one, so that none of their names can meet one of ours
+    own = docs.select(F.struct("*").alias("_own"), row.alias("_row"))
+    found = keep(jaccard.classes(own.select(F.col("_row").alias("doc_id"), F.col("_own.text").alias("text")), width=5, percent=80), "near-classes")
+    rows = found.select(F.col("doc_id").alias("_row"), "component_id", "n_shingles").distinct()
+    ids = own.select("_row", F.col("_own.doc_id").cast("long").alias("doc_id")).distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).getField("_row")
     stays = rows.join(ids, "_row").groupBy("component_id").agg(first.alias("_row")).select("_row")
     gone = keep(rows.select("_row").join(stays, "_row", "left_anti"), "near-gone")
     kept = own.join(gone, "_row", "left_anti")
-    # rows that stand once need no second look
-    if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_row"])
-    return kept.drop("_row")
+    # of rows with words that agree in id and text one stays; only those are moved
+    again = keep(found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_again")).count().filter("count > 1").select("_again"), "near-again")
+    if again.isEmpty():
+        return kept.select("_own.*")
+    like = F.col("_row") == F.col("_again")
+    return kept.join(again, like, "left_anti").unionByName(kept.join(again, like, "left_semi").dropDuplicates(["_row"])).select("_own.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, in the order of the output shards."""
-    return mixture.emit(docs).drop("_shard")
+    return mixture.emit(docs, numbered=False)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
