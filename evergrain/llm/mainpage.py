@@ -8,12 +8,12 @@ the rule that nothing in a removed node is kept: a node that is kept has kept an
 kept descendant. Kept leaves, in page order, are the text.
 
 The model is fitted on a bounded sample: ``made`` seeded pages of a grammar of layouts (with and without semantic
-tags), and ``seen`` pages of the input (those of least hash) that have an article or main element, labelled by it, and half of
+tags), and ``seen`` pages of the input (those of least hash, of at most ``largest`` bytes) that have an article or main element, labelled by it, and half of
 them again with semantic tags made plain. Any fixed labels would do; none come from outside.
 
 Corners: null or empty html, and pages without text, give an empty text of 0 characters; unclosed, crossed or stray tags are
-repaired; text of any length and nesting of any depth is read; scripts, styles, head, comments and form controls never
-give text; repeated rows are treated alike; a null page_id or url stays null; other columns are ignored.
+repaired; text of any length and nesting of any depth is read; scripts, styles, head, noscript, comments and form controls never
+give text, whatever blocks stand in them; malformed UTF-8 is read as U+FFFD; repeated rows are treated alike; a null page_id or url stays null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boost import Boosted
-from .shared import bounded
+from .shared import bounded, utf8
 
 #: HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -101,7 +102,9 @@ class Page:
         stack: list[tuple[int, str]] = [(0, "body")]
         open_tags: dict[str, int] = {"body": 1}
         buffer: list[str] = []
-        linked = silent = links = 0
+        linked = links = 0
+        silent: list[str] = []  # open elements that give no text
+        inner: Counter[str] = Counter()  # blocks that were opened in them
         at, n = 0, len(source)
 
         def flush():
@@ -135,11 +138,24 @@ class Page:
                 if name in RAW and not closing:
                     end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
                     at = end.end() if end else n
+                elif closing:
+                    if name in silent:
+                        del silent[len(silent) - 1 - silent[::-1].index(name) :]
                 elif not attributes.endswith("/"):
-                    silent = max(0, silent + (-1 if closing else 1))
+                    silent.append(name)
+                if not silent:
+                    inner.clear()
                 continue
-            if silent and name in ("body", "article", "main", "p", "h1"):
-                silent = 0  # a head or control that was never closed
+            if silent and name in TAGS:
+                if closing and inner[name]:
+                    inner[name] -= 1
+                    continue
+                # the end of a block around them, or a page's body, closes what was never closed; so does any block a head
+                if name == "body" or (closing and open_tags.get(name)) or (not closing and set(silent) == {"head"}):
+                    silent.clear()
+                    inner.clear()
+                elif not closing:
+                    inner[name] += 1
             if name == "a":
                 links = 0 if closing else 1
                 continue
@@ -376,20 +392,29 @@ def train(seen: list[str], made: int, seed: int = 5) -> Boosted:
     return Boosted(trees=48).fit(x, np.concatenate([y for _, y in rows]).astype(float))
 
 
-def main_text(pages: DataFrame, made: int = 400, seen: int = 60, batch: int = 200) -> DataFrame:
+def sample(own: DataFrame, seen: int, largest: int) -> list[str]:
+    """Pages of least hash that have an article or main element, of at most ``largest`` bytes: their hashes first, so that
+    what reaches the driver is bounded in bytes, not in rows alone."""
+    share = int(min(1.0, 20 * seen / max(1, own.count())) * (1 << 30))
+    mix = F.xxhash64("page_id", "url")
+    some = own.filter((F.pmod(mix, F.lit(1 << 30)) < share) & (F.octet_length("html") <= largest) & F.lower(F.col("html").cast("string")).rlike("<(article|main)[ >]"))
+    chosen = [r.h for r in some.select(mix.alias("h")).distinct().orderBy("h").limit(seen).collect()]
+    if not chosen:
+        return []
+    got = some.filter(mix.isin(chosen)).groupBy(mix.alias("h")).agg(F.min("html").alias("html")).collect()
+    return [bytes(r.html).decode("utf-8", "replace") for r in sorted(got, key=lambda r: r.h)]
+
+
+def main_text(pages: DataFrame, made: int = 400, seen: int = 60, largest: int = 1 << 17, batch: int = 200) -> DataFrame:
     """page_id, url, text, n_chars of every row; no shuffle beside the sample's."""
-    own = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    # a hashed share of the rows first, so that what tasks send to the driver does not grow with their number
-    share = int(min(1.0, 20 * seen / max(1, pages.count())) * (1 << 30))
-    some = own.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < share)
-    few = some.filter(F.lower("html").rlike("<(article|main)[ >]")).orderBy(F.xxhash64("page_id", "url"), "html").limit(seen).select("html").collect()
-    model = train([r.html for r in few], made)
+    own = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), utf8("html").alias("html"))
+    model = train(sample(own, seen, largest), made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for lo in range(0, rows.num_rows, batch):
                 part = rows.slice(lo, batch)
-                text = extract(model, part.column("html").to_pylist())
+                text = extract(model, [x.as_py().decode("utf-8", "replace") for x in part.column("html")])
                 yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": text, "n_chars": [len(t) for t in text]})
 
     return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
