@@ -5,8 +5,9 @@ of the whole text. Decoding is loss-weighted: the loss of each bit against a cod
 classifier does on training rows of that language, and the codeword with the least loss wins. A small gap between
 the best two marks the text as ambiguous.
 
-The classifiers are fitted on a bounded sample of labelled rows: of each language the ``per_lang`` rows with the smallest
-hash of doc_id, at most ``max_langs`` languages (those with most rows). Prediction reads text alone.
+The classifiers are fitted on a bounded sample of labelled rows: of every language the ``per_lang`` rows with the smallest
+hash of doc_id whose text has at most ``largest`` bytes; with very many languages fewer of each, so that they are about
+``rows`` in all. Prediction reads text alone, whole.
 
 Corners: a null text and a text without a letter give ``und`` with score 0; with no labelled row every text does; one
 language only gives that language; a null lang is no label; ties of codewords go to the smaller name; repeated rows
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import bounded, held_out, utf8
+from .shared import bounded, held_out, scan_parts, utf8
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 BITS, NGRAMS = 15, (1, 2, 3)
@@ -138,28 +139,31 @@ def fit(rows: list[tuple[str, bytes]], epochs: int = 12, rate: float = 0.5, deca
     return model
 
 
-def sample(docs: DataFrame, train, per_lang: int, max_langs: int) -> list[tuple[str, bytes]]:
-    """The bounded sample of labelled rows: ids are ranked first, so texts of the chosen rows alone move."""
-    own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & train)
-    mix = F.xxhash64("doc_id", F.lit(17))
-    few = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    langs = sorted(r.lang for r in few.collect())
+def sample(docs: DataFrame, train, per_lang: int, rows: int, largest: int) -> list[tuple[str, bytes]]:
+    """The bounded sample of labelled rows: of every language those with the least hash, ``per_lang`` at most, fewer if
+    there are so many languages that they would pass ``rows`` in all (eight at least). Rows are ranked before texts move."""
+    own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), utf8("text").alias("text")).filter(F.col("lang").isNotNull() & train)
+    own = own.filter((F.octet_length("text") > 0) & (F.octet_length("text") <= largest))
+    langs = own.agg(F.count_distinct("lang")).first()[0]
     if not langs:
         return []
+    few = min(per_lang, max(8, rows // langs))
+    mix = F.xxhash64("doc_id", F.lit(17))
     salted = Window.partitionBy("lang", "salt").orderBy("mix", "doc_id")
     merged = Window.partitionBy("lang").orderBy("mix", "doc_id")
+    # the salts follow the scan: what a task passes on of a language is ``few`` rows, whatever the language's size
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(min(1024, max(16, scan_parts(docs)))))
     ids = (
-        own.filter(F.col("lang").isin(langs))
-        .select("lang", "doc_id", mix.alias("mix"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(16)).alias("salt"))
+        own.select("lang", "doc_id", mix.alias("mix"), salt.alias("salt"))
         .withColumn("r", F.row_number().over(salted))
-        .filter(F.col("r") <= per_lang)
+        .filter(F.col("r") <= few)
         .withColumn("r", F.row_number().over(merged))
-        .filter(F.col("r") <= per_lang)
+        .filter(F.col("r") <= few)
         .select("lang", "doc_id")
-        .dropDuplicates(["doc_id"])
+        .distinct()
     )
-    got = own.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
-    return [(r.lang, r.text.encode()) for r in got.orderBy("doc_id", "lang").collect()]
+    got = own.join(ids, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    return [(r.lang, bytes(r.text)) for r in got.orderBy("doc_id", "lang").collect()]
 
 
 def label(model: Model | None, texts: Iterable[bytes]) -> tuple[list[str], list[float], list[float]]:
@@ -205,17 +209,19 @@ def predict(docs: DataFrame, model: Model | None, held, min_gap: float) -> DataF
     return own.mapInArrow(run, SCHEMA)
 
 
-def identify(docs: DataFrame, per_lang: int = 300, max_langs: int = 64, min_gap: float = 0.05) -> DataFrame:
-    """Fit on labelled rows outside the held-out fold, predict all rows."""
+def learned(docs: DataFrame, held, per_lang: int = 300, rows: int = 20_000, largest: int = 1 << 15) -> Model | None:
+    return fit(sample(docs, ~held, per_lang, rows, largest))
+
+
+def identify(docs: DataFrame, min_gap: float = 0.05, **parameters) -> DataFrame:
+    """Fit on labelled rows outside the held-out fold (parameters: see learned()), predict all rows."""
     held = held_out("doc_id", 4)
-    return predict(docs, fit(sample(docs, ~held, per_lang, max_langs)), held, min_gap)
+    return predict(docs, learned(docs, held, **parameters), held, min_gap)
 
 
-def identified(docs: DataFrame, **parameters) -> DataFrame:
+def identified(docs: DataFrame, min_gap: float = 0.05, **parameters) -> DataFrame:
     """Rows of docs, unchanged, whose language is known: neither ``und`` nor ambiguous. Takes what identify() takes."""
-    min_gap = parameters.pop("min_gap", 0.05)
-    held = held_out("doc_id", 4)
-    model = fit(sample(docs, ~held, parameters.pop("per_lang", 300), parameters.pop("max_langs", 64)))
+    model = learned(docs, held_out("doc_id", 4), **parameters)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

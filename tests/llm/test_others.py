@@ -140,6 +140,24 @@ def test_main_text(spark):
     assert got[2].text == got[3].text == "" and got[2].n_chars == 0
 
 
+def test_silent_elements_stay_silent():
+    """Blocks inside controls and noscript give no text; what was never closed ends with the block around it."""
+    text = lambda source: [t for t in mainpage.Page(source).text if t]
+    assert text("<p>a</p><noscript><p>b</p><div>c</div></noscript><p>d</p>") == ["a", "d"]
+    assert text("<div><button><p>b</p></button>x</div><select><option>y</select><p>z") == ["x", "z"]
+    assert text("<div>a<button><div>b</div>c</div><p>d</p>") == ["a", "d"]
+    assert text("<head><noscript><h1>n</h1></noscript><p>in the body") == ["in the body"]
+    assert text("<template><article><p>no</p></article></template><article><p>yes</p></article>") == ["yes"]
+    assert text("<svg><p>no</svg><p>yes") == ["yes"]
+
+
+def test_main_text_of_bytes(spark):
+    docs = spark.createDataFrame([(1, "u", bytearray(b"<article><h1>One</h1><p>bad \xff byte, and some more words of it.</p></article>"))], "page_id long, url string, raw binary")
+    (r,) = mainpage.main_text(docs.selectExpr("page_id", "url", "cast(raw as string) as html"), made=60, seen=5).collect()
+    assert "bad \ufffd byte" in r.text and r.n_chars == len(r.text)
+    assert mainpage.main_text(docs.selectExpr("page_id", "url", "cast(raw as string) as html").limit(0), made=20, seen=5).count() == 0
+
+
 def test_main_text_of_unseen_layouts():
     model = mainpage.train([], 200)
     maker = mainpage.Maker(77)
