@@ -1,25 +1,28 @@
 """LM scoring: the probability of a text over all its segmentations into the pieces of an existing vocabulary.
 
-Pieces and their first scores come from a public vocabulary file; its scores are ranks, so they are read as a Zipf
-law. Expected counts over the distinct training words (forward and backward sums over each word's lattice) fit the piece
-scores to the corpus, with the file's scores as prior: two passes over a sixteenth of the words for a first guess,
-then one over all. Pieces that begin with the word mark begin a word, and no piece crosses one, so the lattice of a text is the chain
-of its words' lattices and log-space forward recursion gives the marginal over all segmentations, word by word.
-
-The lattice has one more arc over each known word: word counts with an absolute discount, whose saved mass goes to the
-pieces and to the counts over all components. Scores are learned by component (training rows of one lang; at most
-``max_parts``, the rest share one), and a text's probability is the mixture: log10 sum_k share_k prod_w P_k(w). No level
-gives more than one over all words, so the score is a proper probability of the text's words, spelling included; the
-base score is not (it gives every unknown word the mass of all). lang is read in training only.
+Pieces and their scores come from a public vocabulary file; its scores are ranks, so they are read as a Zipf law. Pieces
+that begin with the word mark begin a word, and no piece crosses one, so the lattice of a text is the chain of its words'
+lattices and log-space forward recursion gives the marginal over all segmentations, word by word: every distinct word is
+spelled out in every component. ``spelled_score`` is that marginal under the vocabulary's scores alone.
+
+``score`` learns from the training texts, and two things differ in its lattice. The piece scores are fitted: one pass of
+expected counts (forward and backward sums over the lattice of every distinct training word), with the file's scores
+as prior. And each known word has an arc over all of it: its count less an absolute discount, in its component and, of
+what the discount saves, in all components; the rest of it weighs the pieces' arcs. So the score is one forward sum over the
+lattice of pieces and known words. Scores are learned by component (training rows of one lang; at most ``max_parts``,
+the rest share one), and a text's probability is the mixture: log10 sum_k share_k prod_w P_k(w). No level gives more
+than one over all words, so it is a proper probability of the text's words, spelling included; the base score is not
+(it gives every unknown word the mass of all). lang is read in training only.
 
 Plan: a task packs its texts into blocks of bounded size. Each block gives its distinct words with counts, and its texts
-compressed. Words are dealt by hash into ranges and move as sorted, compressed lists, one a block and range: they sum to
-the word table (never on the driver), whose weights go back to the blocks the same way, so a frequent word costs one
-entry a block, not one a document. A block then scores its texts against its own words. Only the piece table (bounded by
-the vocabulary file) is broadcast.
+compressed. Words are dealt by hash into ranges, as many as the scan has partitions, and move as sorted, compressed lists,
+one a block and range (so no more rows than a block has words): they sum to the word table (never on the driver), whose weights
+go back to the blocks the same way, so a frequent word costs one entry a block, not one a document. A block then scores
+its texts against its own words. Only the piece table (bounded by the vocabulary file) is broadcast.
 
 Corners: a null text is empty: one token, the end; empty table: no rows; no training rows: N = V = 0 and pieces have
-the file's scores; a null doc_id is in training; a null or missing lang is a component of its own; other columns are ignored.
+the file's scores; a null doc_id is in training; a null or missing lang is a component of its own; ties of components by
+name; repeated rows count each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ from .shared import bounded, held_out, keep, scan_parts, trim, utf8, words
 #: Taken off every known word's count; what of it goes to the counts over all components.
 DISCOUNT, ACROSS = 0.75, 0.1
 END = b""
-RESULT = {"doc_id": "long", "held_out": "boolean", "n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
+RESULT = {"doc_id": "long", "held_out": "boolean", "n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double", "spelled_score": "double"}
 #: Bytes of text in a block; the range that stands for a block's texts.
 BLOCK, LAST = 14 << 20, 1 << 30
 
@@ -306,9 +309,9 @@ def _merge(parts: int):
     return run
 
 
-def fit_pieces(table: DataFrame, parts: list[int], prior: list[dict[bytes, float]], guess: bool = False, strength: float = 200.0) -> list[dict[bytes, float]]:
+def fit_pieces(table: DataFrame, parts: list[int], prior: list[dict[bytes, float]], strength: float = 200.0) -> list[dict[bytes, float]]:
     """One pass of expected counts over the distinct training words of each component; a word weighs its discount. The
-    sum has one row a piece and component, so its size is bounded by the vocabulary. guess: a sixteenth of the words."""
+    sum has one row a piece and component, so its size is bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [Lattice(p) for p in prior]
@@ -318,8 +321,7 @@ def fit_pieces(table: DataFrame, parts: list[int], prior: list[dict[bytes, float
                 c = _columns(row["counts"], "<i8", len(text))
                 for lattice, k in zip(own, parts, strict=True):
                     for i in np.flatnonzero(c[:, k]):
-                        if not guess or zlib.crc32(text[i], 1) % 16 == 0:
-                            lattice.score(text[i], DISCOUNT)
+                        lattice.score(text[i], DISCOUNT)
         for k, lattice in enumerate(own):
             got = lattice.expected()
             yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(got), pa.int32()), "piece": pa.array(list(got), pa.binary()), "n": pa.array(list(got.values()), pa.float64())})
@@ -334,7 +336,7 @@ def fit_pieces(table: DataFrame, parts: list[int], prior: list[dict[bytes, float
     return out
 
 
-def _back(width: int):
+def _back():
     """By range: words with their count and weights first, then what each block has of the range: it gets its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,8 +376,8 @@ class Weights:
             return np.logaddexp(np.log(np.maximum(c - DISCOUNT, 0) / self.n_part), np.log(DISCOUNT * self.v_part / self.n_part) + rest)
 
 
-def score(docs: DataFrame, vocab_path: str, max_parts: int = 8, modulo: int = 7) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
+def score(docs: DataFrame, vocab_path: str, max_parts: int = 8, modulo: int = 7, passes: int = 1) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score: one row per row of docs."""
     held = held_out("doc_id", modulo)
     langs = components(docs, ~held, max_parts)
     parts = len(langs) + 1
@@ -387,7 +389,7 @@ def score(docs: DataFrame, vocab_path: str, max_parts: int = 8, modulo: int = 7)
         F.when(held, F.lit(-1)).when(number < 0, F.lit(parts - 1)).otherwise(number).cast("int").alias("part"),
         utf8("text").alias("text"),
     )
-    ranges = min(4096, max(8, scan_parts(docs)))
+    ranges = max(8, scan_parts(docs))
     packed = keep(own.mapInArrow(_pack(parts, ranges), "block long, range int, words binary, counts binary, texts binary"), "lm-blocks")
     by_range = packed.filter(F.col("range") < LAST)
     kinds = [f"{k}_c{j}" for k in "nvd" for j in range(parts)]
@@ -400,25 +402,28 @@ def score(docs: DataFrame, vocab_path: str, max_parts: int = 8, modulo: int = 7)
     live = [j for j in range(parts) if all_of("n")[j]] or [0]
     rows = all_of("d")[live]
     share = np.log((rows + 1) / (rows.sum() + len(live)))
-    pieces = [vocabulary(vocab_path)] * len(live)
+    given = vocabulary(vocab_path)
+    pieces = [given] * len(live)
     if n:
-        for guess in (True, True, False):
-            pieces = fit_pieces(table, live, pieces, guess)
+        for _ in range(passes):
+            pieces = fit_pieces(table, live, pieces)
     weights = Weights(n, v, all_of("n")[live], all_of("v")[live], share, pieces)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(weights.pieces)
+        lattices = Lattices([*weights.pieces, given])
         for batch in batches:
             for row in batch.to_pylist():
                 text = _unwrap(row["words"])
                 c = _columns(row["counts"], "<i8", len(text))[:, live].astype(float)
-                logs = weights.logs(c, lattices.score(text)).astype("<f4")
+                spelled = lattices.score(text)
+                plain = np.where(np.isfinite(spelled[:, -1:]), spelled[:, -1:], 0.0)  # the end is no spelling
+                logs = np.concatenate([weights.logs(c, spelled[:, :-1]), plain], 1).astype("<f4")
                 yield pa.RecordBatch.from_pydict({"range": pa.array([row["range"]], pa.int32()), "words": [row["words"]], "counts": [_planes(c.sum(1).astype("<i8")[:, None])], "logs": [_planes(logs)], "block": pa.array([None], pa.int64())})
 
     both = "range int, words binary, counts binary, logs binary, block long"
     weighed = keep(table.select("range", "words", "counts").mapInArrow(weigh, both), "lm-scores")
     asked = by_range.select("range", "words", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("logs"), "block")
-    answers = weighed.unionByName(asked).repartition("range").sortWithinPartitions("range", F.col("block").isNotNull()).mapInArrow(_back(len(live)), "block long, range int, words binary, counts binary, logs binary, texts binary")
+    answers = weighed.unionByName(asked).repartition("range").sortWithinPartitions("range", F.col("block").isNotNull()).mapInArrow(_back(), "block long, range int, words binary, counts binary, logs binary, texts binary")
     texts = packed.filter(F.col("range") == LAST).select("block", "range", "words", "counts", F.lit(None).cast("binary").alias("logs"), "texts")
     dealt = answers.unionByName(texts).repartition("block").sortWithinPartitions("block", "range")
 
@@ -441,10 +446,12 @@ def score(docs: DataFrame, vocab_path: str, max_parts: int = 8, modulo: int = 7)
                     count, logs = [], []
                 weight, base, known = ready
                 texts = pa.ipc.open_stream(row["texts"]).read_next_batch()
-                out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
+                out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": [], "spelled_score": []}
                 for text in texts.column("text"):
                     ids = np.array([index[w] for w in words(text.as_py())] + [index[END]])
-                    joint = share + weight[ids].sum(0, dtype=float)
+                    logs_ = weight[ids].sum(0, dtype=float)
+                    joint = share + logs_[:-1]
+                    out["spelled_score"].append(float(logs_[-1] / math.log(10)))
                     out["n_tokens"].append(len(ids))
                     out["n_known"].append(int(known[ids].sum()))
                     out["base_score"].append(float(base[ids].sum()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, impact, jaccard, langid, lattice, licences, mainpage, mixture, quantise, warc
 
@@ -62,6 +63,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can express."""
+    got = op1_lattice(spark, sf_dir)
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can express."""
+    return op4_mixture(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
     "op2_jaccard": op2_jaccard,
@@ -73,9 +85,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_mainpage": op9_mainpage,
     "op10_warc": op10_warc,
+    "lm_counts": lm_counts,
+    "mix_targets": mix_targets,
 }
 
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+            lambda c, b: list_reduce(list_prepend(xor(c, b), [1, 2, 3, 4, 5, 6, 7, 8]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 ORACLE: dict[str, str] = {
+    "op2_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM w JOIN r ON r.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id
+    """,
+    "op6_quantise": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+        good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+        e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), l AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+        SELECT vec_id, coalesce(l.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN l ON l.a = vec_id
+    """,
+    "op7_impact": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.x, v.x) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.x) = len(v.x)),
+        t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+        SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM t WHERE k <= 5
+    """,
+    "lm_counts": f"""
+        WITH d AS (SELECT doc_id, {_CRC32} % 7 = 2 AS held_out, list_append({_WORDS}, '') AS w FROM documents),
+        t AS (SELECT doc_id, held_out, unnest(w) AS word FROM d), c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+        s AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(s.n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / CAST(s.n + s.v + 1 AS DOUBLE))), 6) AS base_score
+        FROM t LEFT JOIN c ON t.word = c.word CROSS JOIN s GROUP BY doc_id, held_out
+    """,
+    "mix_targets": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+        f AS (SELECT source, n, w, 0 AS step, FALSE AS fixed FROM s
+            UNION ALL SELECT source, n, w, step + 1, fixed OR total * w / weight > 3 * n FROM (
+                SELECT *, (SELECT sum(n) FROM s) - sum(CASE WHEN fixed THEN 3 * n ELSE 0 END) OVER () AS total, CAST(sum(CASE WHEN fixed THEN 0 ELSE w END) OVER () AS DOUBLE) AS weight FROM f) WHERE step < 50),
+        z AS (SELECT *, (SELECT sum(n) FROM s) - sum(CASE WHEN fixed THEN 3 * n ELSE 0 END) OVER () AS total, CAST(sum(CASE WHEN fixed THEN 0 ELSE w END) OVER () AS DOUBLE) AS weight FROM f WHERE step = 50)
+        SELECT doc_id, size, z.n AS source_size, round(CASE WHEN fixed THEN 3.0 * z.n ELSE total * w / weight END, 6) AS target FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source
+    """,
     "op10_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages

@@ -90,6 +90,67 @@ def test_lattice_query_counts_and_base(spark):
         assert g.score < 0 and math.isfinite(g.score)
 
 
+def forward(word, p):
+    """Marginal probability of a word over all segmentations, with the mass up to and from each byte."""
+    x = b" " + word
+    a, b = [1.0] + [0.0] * len(x), [0.0] * len(x) + [1.0]
+    for j in range(1, len(x) + 1):
+        a[j] = sum(a[i] * p[x[i:j]] for i in range(j) if x[i:j] in p)
+    for i in range(len(x) - 1, -1, -1):
+        b[i] = sum(p[x[i:j]] * b[j] for j in range(i + 1, len(x) + 1) if x[i:j] in p)
+    return x, a, b
+
+
+def test_lattice_score_is_a_forward_sum(spark, monkeypatch):
+    """Both scores of every row against a plain forward recursion over the whole text's lattice of pieces and known words,
+    with piece scores fitted by plain forward and backward sums."""
+    given = {bytes([b]): 0.002 for b in range(256)} | {b" a": 0.1, b"ab": 0.1, b" ab": 0.05, b"cd": 0.1, b" b": 0.05, b"ef": 0.05}
+    given = {k: v / sum(given.values()) for k, v in given.items()}
+    monkeypatch.setattr(lattice, "vocabulary", lambda path: given)
+    rows = corpus(60, 4)
+    rows = [r for r in rows if len(r[1] or "") < 3000]
+    d, across, strength = lattice.DISCOUNT, lattice.ACROSS, 200.0
+    train = [r for r in rows if not fold(r[0], 7)]
+    names = sorted({r[2] for r in train if r[2]}) + [None]
+    counts = {k: Counter(w for r in train if r[2] == k for w in [*split(r[1]), b""]) for k in names}
+    every = sum(counts.values(), Counter())
+    n, v = every.total(), len(every)
+    ends = {k: sum(r[2] == k for r in train) for k in names}
+    share = {k: (ends[k] + 1) / (len(train) + len(names)) for k in names}
+    fitted = {}
+    for k in names:
+        uses = Counter()
+        for w in counts[k]:
+            if w:
+                x, a, b = forward(w, given)
+                for i in range(len(x)):
+                    for j in range(i + 1, len(x) + 1):
+                        if x[i:j] in given:
+                            uses[x[i:j]] += d * a[i] * given[x[i:j]] * b[j] / a[-1]
+        fitted[k] = {q: (uses[q] + strength * given[q]) / (uses.total() + strength) for q in given}
+
+    def joint(tokens, k):
+        """One forward recursion over the text: a state a boundary of words; arcs are known words and spelled ones."""
+        nk, vk, log = counts[k].total(), len(counts[k]), 0.0
+        for w in tokens:
+            spelled = {j: forward(w, fitted[j])[1][-1] if w else 0.0 for j in names}
+            back = max(every[w] - d, 0) / n + d * v / n * sum(share[j] * spelled[j] for j in names)
+            arcs = [max(counts[k][w] - d, 0) / nk, d * vk / nk * across * back, d * vk / nk * (1 - across) * spelled[k]]
+            log += math.log(sum(arcs))
+        return log
+
+    want = {}
+    for r in rows:
+        t = [*split(r[1]), b""]
+        logs = [math.log(share[k]) + joint(t, k) for k in names]
+        top = max(logs)
+        plain = sum(math.log10(forward(w, given)[1][-1]) for w in t if w)
+        want[r[0]] = ((top + math.log(sum(math.exp(x - top) for x in logs))) / math.log(10), plain)
+    for g in lattice.score(frame(spark, rows), "none").collect():
+        assert math.isclose(g.score, want[g.doc_id][0], rel_tol=1e-5, abs_tol=1e-4)
+        assert math.isclose(g.spelled_score, want[g.doc_id][1], rel_tol=1e-5, abs_tol=1e-4)
+
+
 def test_lattice_is_a_probability():
     """No level gives more than one: the discounted counts and what they save."""
     p = {bytes([b]): 1 / 300 for b in range(97, 101)} | {b" ": 0.5}
