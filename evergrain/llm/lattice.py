@@ -5,7 +5,7 @@ that begin with the word mark begin a word, and no piece crosses one, so the lat
 lattices and log-space forward recursion gives the marginal over all segmentations, word by word: every distinct word is
 spelled out in every component. ``spelled_score`` is that marginal under the vocabulary's scores alone.
 
-``score`` learns from the training texts, and two things differ in its lattice. The piece scores are fitted: one pass of
+``score`` learns from the training texts, and two things differ in its lattice. The piece scores are fitted: ``passes`` passes of
 expected counts (forward and backward sums over the lattice of every distinct training word), with the file's scores
 as prior. And each known word has an arc over all of it: its count less an absolute discount, in its component and, of
 what the discount saves, in all components; the rest of it weighs the pieces' arcs. So the score is one forward sum over the
@@ -376,7 +376,7 @@ class Weights:
             return np.logaddexp(np.log(np.maximum(c - DISCOUNT, 0) / self.n_part), np.log(DISCOUNT * self.v_part / self.n_part) + rest)
 
 
-def score(docs: DataFrame, vocab_path: str, max_parts: int = 8, modulo: int = 7, passes: int = 1) -> DataFrame:
+def score(docs: DataFrame, vocab_path: str, max_parts: int = 8, modulo: int = 7, passes: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score: one row per row of docs."""
     held = held_out("doc_id", modulo)
     langs = components(docs, ~held, max_parts)
