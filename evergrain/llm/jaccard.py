@@ -8,8 +8,8 @@ One exchange brings the occurrences of each token together, as compressed blocks
 found in one set only can be in no overlap and is dropped, so a document in which too few tokens are left for the
 threshold is out, exactly. Of those that remain, tokens stand rarest first and a document's prefix is what it must
 share a token of with any partner. Documents are put into groups by their least hashed token (large groups are cut by
-a hash); the matrix (prefix token, group) gives each query the groups that could hold a partner, of a size that
-allows it. Before a group is opened the query's tokens are counted in the union of its tokens: the overlap with any
+a hash); the matrix (prefix token, group) gives the pairs of groups that share prefix tokens, and each member the groups
+that hold one of its own prefix, of a size that allows a partner. Before a group is opened the query's tokens are counted in the union of its tokens: the overlap with any
 member can be no more. Opened groups are compared exactly, in integers. Inside a group, and for each query, only
 links that join two parts are passed on, so copies never become all their pairs; components are the least doc_id.
 
@@ -392,14 +392,18 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         keyed.join(sizes, "near").withColumn("group", F.xxhash64("near", F.pmod(F.xxhash64("name"), F.col("cuts")))).select("name", "size", "prefix", "tokens", "group"),
         "jac-placed",
     )
-    probe = placed.select("name", "size", "group", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
-    matrix = probe.groupBy("token", F.col("group").alias("other")).agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    near = (
-        probe.join(matrix, "token")
-        .filter((F.col("group") < F.col("other")) & (F.col("low") * percent <= F.col("size") * 100) & (F.col("size") * percent <= F.col("high") * 100))
-        .select("name", "other")
-        .distinct()
-    )
+    prefix = F.slice("tokens", F.lit(1), F.col("prefix"))
+    matrix = placed.select("size", "group", F.explode(prefix).alias("token")).groupBy("token", "group").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    # groups meet first, once for each token that they share; then each member asks only the groups that hold one of its own
+    theirs = matrix.select("token", F.col("group").alias("other"), F.col("low").alias("o_low"), F.col("high").alias("o_high"))
+    fits = (F.col("o_low") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("o_high") * 100)
+    pairs = matrix.join(theirs, "token").filter((F.col("group") < F.col("other")) & fits)
+    pairs = pairs.groupBy("group", "other").agg(F.collect_set("token").alias("shared"), F.min("o_low").alias("o_low"), F.max("o_high").alias("o_high"))
+    asks = placed.select("name", "size", F.col("group").alias("own"), prefix.alias("mine"))
+    near = asks.join(
+        pairs,
+        (F.col("own") == F.col("group")) & (F.col("o_low") * percent <= F.col("size") * 100) & (F.col("size") * percent <= F.col("o_high") * 100) & F.arrays_overlap("mine", "shared"),
+    ).select("name", "other")
     near = keep(near, "jac-near")
     # a group that many queries ask for is opened in several tasks, each with its slice of the queries
     asked = near.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("slices"))
