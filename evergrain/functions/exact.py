@@ -99,3 +99,69 @@ def line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
         return [{"old_start": i + 1, "old_count": j - i, "new_start": k + 1, "new_count": m - k} for kind, i, j, k, m in ops if kind != "equal"]
 
     return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def apply_hunks(old: pd.Series, hunks: pd.Series) -> pd.Series:
+    """The new text: hunks (old_start, lines taken, lines put) in ascending order on the lines of the old one; null where a hunk
+    does not stand on the lines that it takes, or meets the one before it."""
+
+    def one(text, parts):
+        if text is None or parts is None:
+            return None
+        lines, out, at = text.split("\n"), [], 0
+        for h in parts:
+            start, gone, new = h["start"] - 1, list(h["gone"]), list(h["new"])
+            if start < at or lines[start : start + len(gone)] != gone:
+                return None
+            out += lines[at:start] + new
+            at = start + len(gone)
+        return "\n".join(out + lines[at:])
+
+    return pd.Series([one(t, p) for t, p in zip(old, hunks, strict=True)])
+
+
+#: What apply_hunks takes.
+HUNKS = "array<struct<start:int,gone:array<string>,new:array<string>>>"
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("line", "column", "source", "source_line", "source_column", "name")])))
+def source_positions(mappings: pd.Series) -> pd.Series:
+    """Positions of a source map's mappings: lines part at semicolons, segments at commas, every field but the column counts
+    on from the one before it in the whole map; null for a malformed map."""
+    digits = {c: k for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")}
+
+    def numbers(segment):
+        out, value, shift = [], 0, 0
+        for c in segment:
+            d = digits[c]
+            value |= (d & 31) << shift
+            shift += 5
+            if not d & 32:
+                out.append(-(value >> 1) if value & 1 else value >> 1)
+                value = shift = 0
+            elif shift > 30:
+                raise ValueError(segment)
+        if shift or len(out) not in (1, 4, 5):
+            raise ValueError(segment)
+        return out
+
+    def one(text):
+        if text is None:
+            return None
+        out, run = [], [0, 0, 0, 0]
+        try:
+            for n, line in enumerate(text.split(";"), 1):
+                column = 0
+                for segment in filter(None, line.split(",")):
+                    got = numbers(segment)
+                    column += got[0]
+                    for k, x in enumerate(got[1:]):
+                        run[k] += x
+                    full = len(got) > 1
+                    out.append({"line": n, "column": column, "source": run[0] if full else None, "source_line": run[1] if full else None, "source_column": run[2] if full else None, "name": run[3] if len(got) == 5 else None})
+        except (KeyError, ValueError):
+            return None
+        return out
+
+    return mappings.map(one)

@@ -89,3 +89,44 @@ def check_choices(chosen: Sequence[str], known: Sequence[str], most: int) -> Non
     """Bounded arguments of a closed list, without repeats."""
     if len(chosen) > most or len(set(chosen)) != len(chosen) or not set(chosen) <= set(known):
         raise ValueError(f"choose up to {most} of {', '.join(known)}, each once")
+
+
+def remedy(reason: Column, candidates: Column) -> Column:
+    """What would settle an unknown: one candidate is to be declared, several are to be chosen from, none is uncertainty."""
+    n = F.coalesce(F.size(candidates), F.lit(0))
+    return F.when(reason.isNull(), F.lit(None).cast("string")).when(n == 1, F.concat(F.lit("declare "), F.get(candidates, F.lit(0)))).when(n > 1, F.concat(F.lit("choose of "), n.cast("string"))).otherwise(F.concat(F.lit("uncertain: "), reason))
+
+
+def as_of_problem(kind: Column, value: Column, source: Column) -> Column:
+    """Null for a valid as-of point, else the rule that it breaks."""
+    control = source.rlike("[\\x00-\\x1F\\x7F-\\x9F]")
+    stamp = value.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$") & F.try_to_timestamp(value).isNotNull()
+    number = value.rlike("^(0|[1-9][0-9]*)$") & (value.try_cast("decimal(38,0)") <= F.lit("18446744073709551615").cast("decimal(38,0)"))
+    known = kind.isin("timestamp", "sha256", "sequence")
+    return (
+        F.when((F.coalesce(F.octet_length(source), F.lit(0)) == 0) | (F.octet_length(source) > 128) | control, "source")
+        .when(~F.coalesce(known, F.lit(False)), "kind")
+        .when((kind == "timestamp") & ~F.coalesce(stamp, F.lit(False)), "timestamp")
+        .when((kind == "sha256") & ~F.coalesce(value.rlike("^[0-9a-f]{64}$"), F.lit(False)), "sha256")
+        .when((kind == "sequence") & ~F.coalesce(number, F.lit(False)), "sequence")
+    )
+
+
+def as_of_lag(kind: Column, pinned: Column, live: Column) -> tuple[Column, Column]:
+    """(state, lag) of a pinned point against a live one: fresh, stale or unknown; entries or seconds where they can be told."""
+    number = lambda c: F.when(c.rlike("^(0|[1-9][0-9]*)$"), c.try_cast("decimal(20,0)"))
+    ahead = F.when(kind == "sequence", number(live) - number(pinned)).when(kind == "timestamp", F.unix_seconds(F.try_to_timestamp(live)) - F.unix_seconds(F.try_to_timestamp(pinned)))
+    state = F.when((kind == "sha256") & live.isNotNull(), F.when(live == pinned, "fresh").otherwise("stale")).when(ahead.isNull(), "unknown").when(ahead > 0, "stale").when((ahead == 0) | (kind == "timestamp"), "fresh").otherwise("unknown")
+    return state, F.when((state == "stale") & (kind != "sha256"), ahead.cast("long"))
+
+
+def inventory_state(provided: Column, receipt: Column, bound: Column, head: Column, differences: Column) -> Column:
+    """What is known of an inventory that may be absent, late or partial: a state, never a dropped row."""
+    return (
+        F.when(~F.coalesce(provided, F.lit(False)), "ABSENT")
+        .when(receipt.isNull(), "COMPLETE")
+        .when(bound.isNull(), "UNVERIFIED")
+        .when(bound != head, "STALE")
+        .when(F.coalesce(differences, F.lit(0)) > 0, "PARTIAL")
+        .otherwise("COMPLETE")
+    )

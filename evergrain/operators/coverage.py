@@ -34,7 +34,10 @@ def contained(sets: DataFrame, owner: str, item: str) -> DataFrame:
 
 
 def cochange(changes: DataFrame, commit: str, path: str, most: int) -> DataFrame:
-    """(a, b, n): pairs of paths of commits with at most ``most`` paths, by how many commits they share."""
-    small = changes.select(commit, path).distinct().groupBy(commit).agg(F.array_sort(F.collect_set(path)).alias("p")).filter(F.size("p") <= most)
+    """(a, b, n): pairs of paths of commits with at most ``most`` paths, by how many commits they share. Commits are counted
+    before any is gathered."""
+    rows = changes.select(commit, path).distinct()
+    few = rows.groupBy(commit).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most).select(commit)
+    small = rows.join(few, commit, "left_semi").groupBy(commit).agg(F.array_sort(F.collect_list(path)).alias("p"))
     pairs = small.select(F.posexplode("p").alias("i", "a"), "p").select("a", F.explode(F.expr("slice(p, i + 2, size(p))")).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .joins import ancestors
+from .sequence import numbered
 
 
 def strength(outcome: Column, outside: Column) -> Column:
@@ -26,7 +27,7 @@ def hygiene(findings: DataFrame, key: str, order: str) -> DataFrame:
 
 def merge_max(a: Column, b: Column) -> Column:
     """Element by element the greater of two arrays; the longer one's rest stays."""
-    return F.zip_with(a, b, F.greatest)
+    return F.zip_with(a, b, lambda x, y: F.greatest(x, y))
 
 
 def line_states(units: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -93,8 +94,8 @@ def nearest_package(units: DataFrame, packages: DataFrame, path: str) -> DataFra
 
 
 def dictionary(values: DataFrame, key: str) -> DataFrame:
-    """(key, id): dense numbers of sorted distinct keys, from 0, by one global window: for dictionaries of a bounded side."""
-    return values.select(key).distinct().withColumn("id", F.row_number().over(Window.orderBy(key)) - 1)
+    """(key, id): dense numbers of sorted distinct keys, from 0."""
+    return numbered(values.select(key).distinct(), F.col(key), [], "id").withColumn("id", F.col("id") - 1)
 
 
 def lineage(parents: DataFrame, node: str, parent: str, depth: int = 16) -> DataFrame:

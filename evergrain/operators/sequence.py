@@ -51,6 +51,57 @@ def first_n(df: DataFrame, keys: Sequence[str], item: str, n: int) -> DataFrame:
     return got.select(*keys, F.array_join(F.slice("_i", 1, n), ",").alias("shown"), F.greatest(F.size("_i") - n, F.lit(0)).alias("more"))
 
 
+def numbered(df: DataFrame, key: Column, then: Sequence[Column], name: str = "place", parts: int = 64) -> DataFrame:
+    """df with its place, from 1, in the total order (key, then): ranges of the key are numbered apart and shifted by the
+    sizes of those before them. Bounds come from a bounded sample of keys; any bounds give the same places."""
+    keyed = df.withColumn("_k", key)
+    some = [r._k for r in keyed.select("_k").filter("_k is not null").orderBy(F.xxhash64("_k")).limit(parts * 16).collect()]
+    bounds = sorted(set(some))[15::16]
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("_k"))) if bounds else F.lit(0)
+    keyed = keyed.withColumn("_part", F.coalesce(part, F.lit(-1)))
+    sizes = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    here = F.row_number().over(Window.partitionBy("_part").orderBy("_k", *then))
+    return keyed.join(F.broadcast(before), "_part").withColumn(name, (here + F.col("_before")).cast("long")).drop("_k", "_part", "_before")
+
+
+def new_minimum_stop(rounds: DataFrame, keys: Sequence[str], at: str, left: str) -> DataFrame:
+    """keys, stop: the first round, in order, after which a loop stops: nothing is left, or neither this round nor the one
+    before it came under all earlier ones. Null if it goes on."""
+    order = Window.partitionBy(*keys).orderBy(at)
+    least = F.min(left).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    stale = rounds.withColumn("_stale", least.isNotNull() & (F.col(left) >= least))
+    ends = (F.col(left) == 0) | (F.col("_stale") & F.coalesce(F.lag("_stale").over(order), F.lit(False)))
+    return stale.withColumn("_ends", ends).groupBy(*keys).agg(F.min(F.when(F.col("_ends"), F.col(at))).alias("stop"))
+
+
+def halved_page(df: DataFrame, order: Sequence[Column], size: Column, most: int, budget: int) -> DataFrame:
+    """The first rows in order, as many as the first of most, most / 2, most / 4, ... whose sizes fit the budget together."""
+    first = df.orderBy(*order).limit(most).withColumn("_r", F.row_number().over(Window.orderBy(*order))).withColumn("_sum", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    steps = []
+    while most:
+        steps.append(most)
+        most //= 2
+    fits = first.agg(*[F.max(F.when(F.col("_r") <= n, F.col("_sum"))).alias(f"s{n}") for n in steps])
+    size_of = F.coalesce(*[F.when(F.coalesce(F.col(f"s{n}"), F.lit(0)) <= budget, F.lit(n)) for n in steps], F.lit(0))
+    return first.crossJoin(F.broadcast(fits.select(size_of.alias("_page")))).filter(F.col("_r") <= F.col("_page")).drop("_r", "_sum", "_page")
+
+
+def tail_budget(df: DataFrame, keys: Sequence[str], section: str, rank: str, size: str, budget: int) -> DataFrame:
+    """Rows that stay when whole rows go from the tail, sections from the last backwards, until their sizes fit."""
+    order = Window.partitionBy(*keys).orderBy(section, rank).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_upto", F.sum(size).over(order)).filter(F.col("_upto") <= budget).drop("_upto")
+
+
+def cut_points(states: DataFrame, keys: Sequence[str], run: str, at: str, state: str) -> DataFrame:
+    """keys, start, end, and run with its state: every place of a key is cut where the state of any run changes, and each run's
+    state is constant between two cuts."""
+    order = Window.partitionBy(*keys, run).orderBy(at)
+    cuts = states.withColumn("_was", F.lag(state).over(order)).filter(~F.col("_was").eqNullSafe(F.col(state))).select(*keys, F.col(at).alias("start")).distinct()
+    blocks = cuts.withColumn("end", F.lead("start").over(Window.partitionBy(*keys).orderBy("start")))
+    return blocks.join(states.withColumnRenamed(at, "start"), [*keys, "start"]).select(*keys, "start", "end", run, state)
+
+
 def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
     """Rows [offset, offset + limit) of a total order, with the number of rows that follow."""
     total = df.count()

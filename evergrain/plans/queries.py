@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digest, exact, text
-from ..operators import coverage, graph, intervals, joins, report, search, sequence
+from ..operators import coverage, graph, intervals, joins, report, search, selection, sequence
 from ..sources.tables import micros, table
 from ..streaming import events as streams
 
@@ -160,14 +160,13 @@ def unlinked_tests(spark, d):
 
 
 @query("""
-    SELECT DISTINCT c_custkey AS custkey, 'not discovered' AS reason FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
-    UNION ALL SELECT DISTINCT o_custkey AS custkey, 'not inventoried' AS reason FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+    SELECT DISTINCT CAST(c_custkey AS BIGINT) AS custkey, 'not discovered' AS reason FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
+    UNION ALL SELECT DISTINCT CAST(o_custkey AS BIGINT) AS custkey, 'not inventoried' AS reason FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
 """)
 def inventory_differences(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("custkey"), "c_acctbal")
-    o = table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("custkey")).distinct()
-    a = c.select("custkey").distinct().join(o, "custkey", "left_anti").withColumn("reason", F.lit("not discovered"))
-    return a.unionByName(o.join(c.filter("c_acctbal > 0"), "custkey", "left_anti").withColumn("reason", F.lit("not inventoried")))
+    c = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").cast("long").alias("custkey"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("custkey"))
+    return joins.one_sided(c, o, "custkey", ("not discovered", "not inventoried"))
 
 
 @query("""
@@ -350,16 +349,28 @@ def identifier_words(spark, d):
 _SINGULAR = "CASE WHEN length(w) > 5 AND w LIKE '%ies' THEN substr(w, 1, length(w) - 3) || 'y' WHEN length(w) > 4 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN substr(w, 1, length(w) - 1) ELSE w END"
 
 
-@query(f"""
-    WITH s AS (SELECT p_partkey, list_transform(regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}]+'), lambda w: {_SINGULAR}) AS ws FROM part)
-    SELECT p_partkey, coalesce(nullif(substr(array_to_string(ws, '-'), 1, 96), ''), 'unnamed') AS slug FROM s
+@query(r"""
+    WITH w AS (SELECT p_partkey, list_transform(regexp_extract_all(regexp_replace(regexp_replace(p_brand || 'List' || p_name || repeat(p_type || 's ', p_size // 3), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_-]', ' ', 'g'), '[A-Za-z][A-Za-z0-9]*'), lambda x: lower(x)) AS w FROM part),
+    j AS (SELECT p_partkey, array_to_string(list_transform(w, lambda x: CASE WHEN length(x) > 5 AND x LIKE '%ies' THEN substr(x, 1, length(x) - 3) || 'y' WHEN length(x) > 4 AND x LIKE '%s' AND x NOT LIKE '%ss' THEN substr(x, 1, length(x) - 1) ELSE x END), '-') AS j FROM w)
+    SELECT p_partkey, trim(substr(j, 1, 96), '-') AS slug FROM j
 """)
 def selector_slug(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.slug(F.lower("p_name")).alias("slug"))
+    name = F.concat("p_brand", F.lit("List"), "p_name", F.repeat(F.concat("p_type", F.lit("s ")), F.floor(F.col("p_size") / 3).cast("int")))
+    return table(spark, d, "part").select("p_partkey", text.slug(name).alias("slug"))
+
+
+@query(r"""
+    WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name || ' ' || p_type || ' revoke set work toy'), '[a-z]+')) AS term FROM part)
+    SELECT term, unnest(list_concat([term || 's', term || 'es', term || 'ed', term || 'ing'], CASE WHEN regexp_matches(term, '[aeiou][^aeiouwxy]$') THEN [term || right(term, 1) || 'ed', term || right(term, 1) || 'ing'] ELSE [] END, CASE WHEN term LIKE '%e' THEN [term || 'd', left(term, length(term) - 1) || 'ing'] ELSE [] END)) AS form
+    FROM t WHERE length(term) >= 3
+""")
+def inflection_forms(spark, d):
+    words = F.regexp_extract_all(F.lower(F.concat("p_name", F.lit(" "), "p_type", F.lit(" revoke set work toy"))), F.lit("[a-z]+"), F.lit(0))
+    return table(spark, d, "part").select(F.explode(words).alias("term")).distinct().select("term", F.explode(text.inflections(F.col("term"))).alias("form"))
 
 
 @query("""
-    WITH q AS (SELECT unnest(['that','thats','thates','thated','thating','thatted','thatting']) AS term),
+    WITH q AS (SELECT unnest(['that', 'thats', 'thates', 'thated', 'thating', 'thatted', 'thatting']) AS term),
     w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents)
     SELECT w.doc_id, count(*) AS hits FROM w JOIN q ON w.term = q.term GROUP BY w.doc_id
 """)
@@ -371,26 +382,31 @@ def inflection_search(spark, d):
 
 
 @query("""
-    WITH p AS (SELECT item_id, ' ' || array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 3), ' ') || ' ' AS phrase FROM benchmark),
-    t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ' AS words FROM documents)
+    WITH p AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ' AS phrase FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z]+')) > 0),
+    t AS (SELECT DISTINCT text, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ' AS words FROM documents)
     SELECT p.item_id, count(*) AS docs FROM p JOIN t ON contains(t.words, p.phrase) GROUP BY p.item_id
 """)
 def phrase_match(spark, d):
+    """(item_id, docs): distinct texts that hold all words of a benchmark text as one run. The first words, three at most,
+    find the candidates, by a hash; the whole phrase is looked up in them."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))
-    docs = table(spark, d, "documents").select("doc_id", words("text").alias("w")).filter(F.size("w") >= 3).select("doc_id", F.explode(F.array_distinct(grams)).alias("phrase"))
-    asked = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(words("text"), 1, 3), " ").alias("phrase"))
-    return docs.join(asked, "phrase").groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, F.lit(n))))
+    docs = table(spark, d, "documents").select("text").distinct().select(F.xxhash64("text").alias("h"), words("text").alias("w"))
+    asked = table(spark, d, "benchmark").select("item_id", words("text").alias("phrase")).filter(F.size("phrase") > 0)
+    near = None
+    for n in (1, 2, 3):
+        own = asked.filter(F.size("phrase") >= 3 if n == 3 else F.size("phrase") == n).withColumn("start", F.xxhash64(F.slice("phrase", 1, n)))
+        some = docs.filter(F.size("w") >= n).select("h", F.explode(F.array_distinct(grams(n))).alias("start")).join(own, "start").select("item_id", "phrase", "h")
+        near = some if near is None else near.unionByName(some)
+    return docs.join(near, "h").filter(text.holds_phrase(F.col("w"), F.col("phrase"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query("""
-    SELECT c_custkey, row_number() OVER (ORDER BY length(k), k, name, c_custkey) AS rank FROM (SELECT c_custkey, 'c' || c_custkey AS name, CAST(c_custkey AS VARCHAR) AS k FROM customer)
+    SELECT c_custkey, row_number() OVER (ORDER BY length(k), k, name, c_custkey) AS rank FROM (SELECT c_custkey, 'c00' || c_custkey || '0000000000000000000000' AS name, c_custkey || '0000000000000000000000' AS k FROM customer)
 """)
 def natural_sort(spark, d):
-    from pyspark.sql.window import Window
-
-    name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
-    return table(spark, d, "customer").select("c_custkey", F.row_number().over(Window.orderBy(text.natural_key(name), name, "c_custkey")).cast("long").alias("rank"))
+    name = F.concat(F.lit("c00"), F.col("c_custkey").cast("string"), F.lit("0" * 22))
+    return sequence.numbered(table(spark, d, "customer").select("c_custkey", name.alias("name")), text.natural_key(F.col("name")), [F.col("name"), F.col("c_custkey")], "rank").select("c_custkey", "rank")
 
 
 @query("""
@@ -451,13 +467,18 @@ def byte_budget_page(spark, d):
     return sequence.byte_budget(docs, ["source"], [F.col("doc_id")], F.col("b"), 20000).drop("b")
 
 
+def most_paths(commits: int) -> int:
+    """The recorded cap on a commit's paths: 50 up to 50 commits, 8 from 200 on, linear between."""
+    return 50 - 42 * (min(max(commits, 50), 200) - 50) // 150
+
+
 @query("""
-    WITH l AS (SELECT DISTINCT l_orderkey, l_partkey % 200 AS p FROM lineitem), s AS (SELECT l_orderkey FROM l GROUP BY l_orderkey HAVING count(*) <= 5),
+    WITH l AS (SELECT DISTINCT l_orderkey, l_partkey % 200 AS p FROM lineitem), s AS (SELECT l_orderkey FROM l GROUP BY l_orderkey HAVING count(*) <= 8),
     k AS (SELECT l.* FROM l JOIN s ON l.l_orderkey = s.l_orderkey) SELECT a.p AS a, b.p AS b, count(*) AS n FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND a.p < b.p GROUP BY 1, 2
 """)
 def cochange(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 200).alias("p"))
-    return coverage.cochange(li, "l_orderkey", "p", 5)
+    return coverage.cochange(li, "l_orderkey", "p", most_paths(li.agg(F.count_distinct("l_orderkey")).first()[0]))
 
 
 @query("""
@@ -471,14 +492,22 @@ def recency_score(spark, d):
 
 
 @query("""
-    WITH r AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS i FROM lineitem), s AS (SELECT o, count(*) AS n FROM r GROUP BY o), small AS (SELECT o, n FROM s WHERE n <= 3),
-    p AS (SELECT a.o AS o, b.o AS w, count(*) AS c FROM r a JOIN small ON a.o = small.o JOIN r b ON a.i = b.i AND a.o <> b.o JOIN s t ON t.o = b.o AND t.n > small.n GROUP BY a.o, b.o),
-    f AS (SELECT p.o, p.w, small.n, t.n AS wn, row_number() OVER (PARTITION BY p.o ORDER BY t.n, p.w) AS k FROM p JOIN small ON p.o = small.o AND p.c = small.n JOIN s t ON t.o = p.w)
-    SELECT o AS owner, w AS within, n AS size, wn AS within_size FROM f WHERE k = 1
+    WITH r AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS i FROM lineitem), f AS (SELECT i, count(*) AS df FROM r GROUP BY i), s AS (SELECT o, count(*) AS n, count(*) FILTER (WHERE df = 1) AS u, string_agg(CAST(r.i AS VARCHAR), ',' ORDER BY r.i) AS k FROM r JOIN f ON r.i = f.i GROUP BY o),
+    e AS (SELECT s.o, min(t.o) AS b FROM s JOIN s t ON s.k = t.k AND s.o <> t.o GROUP BY s.o),
+    p AS (SELECT a.o, b.o AS w, count(*) AS c FROM r a JOIN s ON s.o = a.o AND s.u = 0 JOIN r b ON a.i = b.i AND a.o <> b.o JOIN s t ON t.o = b.o AND t.n > s.n GROUP BY a.o, b.o),
+    t AS (SELECT p.o, arg_min(p.w, x.n * 100000000 + p.w) AS b FROM p JOIN s ON s.o = p.o AND p.c = s.n JOIN s x ON x.o = p.w GROUP BY p.o),
+    a AS (SELECT o_orderkey AS owner, CASE WHEN s.o IS NULL THEN 'no-blocks' WHEN e.b IS NOT NULL THEN 'equal' WHEN t.b IS NOT NULL THEN 'subset' WHEN u = 0 THEN 'union' WHEN u <= 1 THEN 'low-unique' END AS kind, coalesce(e.b, t.b) AS by, coalesce(n, 0) AS size, coalesce(u, 0) AS "unique"
+        FROM orders LEFT JOIN s ON s.o = o_orderkey LEFT JOIN e ON e.o = o_orderkey LEFT JOIN t ON t.o = o_orderkey)
+    SELECT * FROM a WHERE kind IS NOT NULL
 """)
 def redundancy_kinds(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("owner"), F.col("l_partkey").alias("i"))
-    return coverage.contained(rows, "owner", "i").filter("size <= 3")
+    return selection.redundancy(rows, "owner", "i", table(spark, d, "orders").select(F.col("o_orderkey").alias("owner")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def unindexed_tests(spark, d):
+    return selection.unindexed(table(spark, d, "orders"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
 @query("""
@@ -488,12 +517,12 @@ def equivalence_classes(spark, d):
     return coverage.classes(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_suppkey") % 10).alias("i")), "o", "i")
 
 
-_EDGES = "SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity > 48 UNION SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem WHERE l_quantity > 48 UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders"
+_EDGES = "SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders"
 
 
 def _edges(spark, d):
     tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
-    li = table(spark, d, "lineitem").filter("l_quantity > 48").select("l_suppkey", "l_partkey", "l_orderkey")
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey")
     a = li.select(tag("s", "l_suppkey").alias("src"), tag("p", "l_partkey").alias("dst"))
     b = li.select(tag("p", "l_partkey").alias("src"), tag("o", "l_orderkey").alias("dst"))
     c = table(spark, d, "orders").select(tag("o", "o_orderkey").alias("src"), tag("c", "o_custkey").alias("dst"))
@@ -598,13 +627,10 @@ def canonical_rows(spark, d):
     return e.select("event_id", exact.canonical_json("j").alias("canonical"))
 
 
-@query("""
-    SELECT source, count(*) AS n, CASE WHEN bool_or(lang = 'en') AND bool_or(lang = 'de') THEN 'mixed' WHEN bool_or(lang = 'de') THEN 'de' ELSE 'other' END AS worst FROM documents GROUP BY source
-""")
+@query("SELECT source, count(*) AS n, CASE WHEN bool_or(lang = 'de') THEN 'de' WHEN bool_or(lang = 'en') THEN 'en' ELSE 'other' END AS worst FROM documents GROUP BY source")
 def worst_state(spark, d):
-    docs = table(spark, d, "documents").groupBy("source")
-    both = F.bool_or(F.col("lang") == "en") & F.bool_or(F.col("lang") == "de")
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.when(both, "mixed").when(F.bool_or(F.col("lang") == "de"), "de").otherwise("other").alias("worst"))
+    lang = F.when(F.col("lang").isin("de", "en"), F.col("lang")).otherwise("other")
+    return table(spark, d, "documents").select("source", lang.alias("s")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), report.worst_of(F.col("s"), {"other": 0, "en": 1, "de": 2}).alias("worst"))
 
 
 @query("""

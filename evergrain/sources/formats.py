@@ -38,7 +38,7 @@ def lcov(lines: DataFrame) -> DataFrame:
     """file, line_no, hits of LCOV traces; the SF record above a DA record names its file."""
     order = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     known = r"^(SF|DA|TN|FN|FNDA|FNF|FNH|BRDA|BRF|BRH|LF|LH|VER|FNL|FNA):|^end_of_record$|^#|^$"
-    carried = lines.withColumn("file", F.last(F.when(F.col("value").startswith("SF:"), F.substring("value", 4, 1 << 20)).when(F.col("value") == "end_of_record", ""), True).over(order))
+    carried = lines.withColumn("file", F.last(F.when(F.col("value").startswith("SF:"), F.expr("substring(value, 4)")).when(F.col("value") == "end_of_record", ""), True).over(order))
     da = r"^DA:([0-9]+),([0-9]+)(,.*)?$"
     bad = ~F.col("value").rlike(known) | (F.col("value").startswith("DA:") & (~F.col("value").rlike(da) | (F.coalesce("file", F.lit("")) == "")))
     note = F.concat(F.lit("lcov "), "path", F.lit(" line "), F.col("line").cast("string"))
@@ -66,14 +66,17 @@ def requirement_map(lines: DataFrame) -> DataFrame:
 
 
 def requirement_index(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a headed TSV by id; malformed rows are skipped, the last row of an id wins."""
-    rows = numbered(spark, path)
+    return index_rows(numbered(spark, path))
+
+
+def index_rows(rows: DataFrame, columns: tuple[str, ...] = ("file", "title", "acceptance", "acceptedBy")) -> DataFrame:
+    """Rows of headed TSV lines (path, line, value) by id; malformed rows are skipped, the last row of an id wins."""
     head = rows.filter("line = 1").select("path", F.split("value", "\t").alias("names"))
-    cells = rows.filter("line > 1").join(F.broadcast(head), "path").withColumn("cells", F.split("value", "\t"))
+    cells = rows.filter("line > 1").join(head, "path").withColumn("cells", F.split("value", "\t"))
     good = cells.filter(F.size("cells") == F.size("names")).withColumn("row", F.map_from_arrays("names", "cells"))
     good = good.withColumn("id", F.col("row")["id"]).filter(F.coalesce("id", F.lit("")) != "")
     best = good.groupBy("id").agg(F.max_by("row", F.struct("path", "line")).alias("row"))
-    return best.select("id", *[F.col("row")[c].alias(c) for c in ("file", "title", "acceptance", "acceptedBy")])
+    return best.select("id", *[F.col("row")[c].alias(c) for c in columns])
 
 
 def test_events(lines: DataFrame) -> DataFrame:
@@ -95,28 +98,56 @@ def tap(lines: DataFrame) -> DataFrame:
     return rows.select("path", F.coalesce(F.nullif(part(2), F.lit("")).cast("int"), order).alias("number"), part(3).alias("name"), verdict.alias("verdict"))
 
 
+_LINKS = "commits array<string>, evidence array<string>, paths map<string, array<struct<commit:int, evidence:int>>>"
+
+
 def link_tables(spark: SparkSession, path: str) -> DataFrame:
-    """path, commit, evidence of a JSON file with dictionaries (commits, evidence) and per path records of their numbers;
-    a number outside its dictionary fails the query."""
-    kind = "commits array<string>, evidence array<string>, paths map<string, array<struct<commit:int, evidence:int>>>"
-    raw = spark.read.schema(kind).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return link_rows(spark.read.schema(_LINKS).option("multiLine", True).option("mode", "FAILFAST").json(path))
+
+
+def link_rows(raw: DataFrame) -> DataFrame:
+    """path, commit, evidence of dictionaries (commits, evidence) and per path records of their numbers; a number
+    outside its dictionary fails the query."""
     each = raw.select("commits", "evidence", F.explode("paths").alias("path", "records")).select("commits", "evidence", "path", F.explode("records").alias("r"))
     bad = (F.col("r.commit") < 0) | (F.col("r.commit") >= F.size("commits")) | (F.col("r.evidence") < 0) | (F.col("r.evidence") >= F.size("evidence"))
     return each.select("path", refuse(bad, F.concat(F.lit("dangling link of "), "path"), F.get("commits", F.col("r.commit"))).alias("commit"), F.get("evidence", F.col("r.evidence")).alias("evidence"))
 
 
 def history(spark: SparkSession, path: str, most: int = 200) -> DataFrame:
-    """commit, tree, subject, paths, place of a git log stream: records begin with U+001E, fields part at U+001F, paths at
-    NUL. Grafted commits are dropped; more than ``most`` records are refused."""
-    raw = spark.read.option("lineSep", "\x1e").text(path).filter(F.length(F.trim("value")) > 0)
-    body = F.split(F.split("value", "\0").getItem(0), "\x1f")
-    rows = raw.select(
-        F.trim(body.getItem(0)).alias("commit"), body.getItem(1).alias("tree"), F.trim(body.getItem(2)).alias("subject"), F.get(body, F.lit(3)).alias("decoration"),
-        F.filter(F.transform(F.slice(F.split("value", "\0"), 2, 1 << 20), lambda p: F.regexp_replace(p, "^\n|\n$", "")), lambda p: p != "").alias("paths"), F.monotonically_increasing_id().alias("place"),
-    )
+    """commit, tree, subject, paths, place of a git log stream: records begin with U+001E."""
+    return history_rows(spark.read.option("lineSep", "\x1e").text(path).withColumn("place", F.monotonically_increasing_id()), most)
+
+
+def history_rows(raw: DataFrame, most: int | None = 200) -> DataFrame:
+    """commit, tree, subject, paths, place of records (value, place): fields part at U+001F, paths at NUL. Grafted commits are
+    dropped; more than ``most`` records are refused."""
+    raw = raw.filter(F.length(F.trim("value")) > 0)
+    parts = F.split("value", "\0")
+    body = F.split(parts.getItem(0), "\x1f")
+    paths = F.filter(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.regexp_replace(p, "^\n|\n$", "")), lambda p: p != "")
+    rows = raw.select(F.trim(body.getItem(0)).alias("commit"), body.getItem(1).alias("tree"), F.trim(body.getItem(2)).alias("subject"), F.get(body, F.lit(3)).alias("decoration"), paths.alias("paths"), "place")
+    kept = rows.filter(~F.array_contains(F.split(F.coalesce("decoration", F.lit("")), ", "), "grafted"))
+    if most is None:
+        return kept.drop("decoration")
     total = rows.agg(F.count(F.lit(1)).alias("_n"))
-    kept = rows.filter(~F.array_contains(F.split(F.coalesce("decoration", F.lit("")), ", "), "grafted")).crossJoin(F.broadcast(total))
-    return kept.select(refuse(F.col("_n") > most, F.lit("history is longer than its window"), F.col("commit")).alias("commit"), "tree", "subject", "paths", "place")
+    return kept.crossJoin(F.broadcast(total)).select(refuse(F.col("_n") > most, F.lit("history is longer than its window"), F.col("commit")).alias("commit"), "tree", "subject", "paths", "place")
+
+
+EXTERNAL = T.StructType([
+    T.StructField("entities", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("id", "kind")]))),
+    T.StructField("relations", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("from", "to", "type")]))),
+])
+
+
+def external_records(raw: DataFrame, value: str, most: tuple[int, int] = (1000, 4000)) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of JSON records: what is malformed, too large, or names an entity that is not there fails."""
+    rec = raw.select(*[c for c in raw.columns if c != value], F.from_json(value, EXTERNAL, {"mode": "FAILFAST"}).alias("r"))
+    ids = F.transform("r.entities", lambda e: e["id"])
+    ends = F.flatten(F.transform("r.relations", lambda x: F.array(x["from"], x["to"])))
+    bad = (F.size("r.entities") > most[0]) | (F.size("r.relations") > most[1]) | (F.size(F.array_distinct(ids)) < F.size(ids)) | (F.size(F.array_except(ends, ids)) > 0)
+    ok = rec.withColumn("r", refuse(F.coalesce(bad, F.lit(True)), F.lit("external record is not valid"), F.col("r")))
+    keys = [c for c in raw.columns if c != value]
+    return ok.select(*keys, F.explode("r.entities").alias("e")).select(*keys, "e.*"), ok.select(*keys, F.explode("r.relations").alias("e")).select(*keys, "e.*")
 
 
 def write_bounded(df: DataFrame, path: str, most_bytes: int) -> None:
