@@ -56,13 +56,97 @@ def ranked(df: DataFrame, order: Sequence[Column], key: str, top: int) -> DataFr
     return df.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(key, "rank")
 
 
+def bm25_fields(fields: Sequence[DataFrame], key: str, query: Sequence[str], weights: Sequence[float], b: Sequence[float], k1: float = 1.2, limit: int = 20) -> DataFrame:
+    """Documents by BM25 summed over fields, then distinct terms, then key. fields: (key, terms array) each; b is 0 for a field whose
+    length says nothing (paths, whole identifiers)."""
+    parts = None
+    for place, (docs, w, norm) in enumerate(zip(fields, weights, b, strict=True)):
+        sized = docs.select(key, F.size("terms").alias("length"), F.filter("terms", lambda t: t.isin(*query)).alias("_q"))
+        stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+        tf = sized.filter(F.size("_q") > 0).select(key, "length", F.explode("_q").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        score = w * idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - norm + norm * F.col("length") / F.col("mean")))
+        own = tf.join(df, "term").crossJoin(F.broadcast(stats)).select(key, "term", score.alias("score"), F.lit(place).alias("field"))
+        parts = own if parts is None else parts.unionByName(own)
+    scored = parts.groupBy(key).agg(F.round(F.sum("score"), 6).alias("score"), F.count_distinct("term").alias("terms"))
+    return scored.orderBy(F.desc("score"), F.desc("terms"), key).limit(limit)
+
+
+def decayed(score: Column, age_days: Column, blame_days: Column, share: float = 0.25, half_life: float = 90.0) -> Column:
+    """score x (1 + share x recency + share x blame), each halved every 90 days; an unknown age adds nothing."""
+    fresh = lambda days: F.coalesce(F.pow(F.lit(0.5), days / half_life), F.lit(0.0))
+    return score * (1 + share * fresh(age_days) + share * fresh(blame_days))
+
+
+def tiers(hits: DataFrame, held: str, score: str) -> DataFrame:
+    """hits with ``tier``: groups of equal (query words held, score), more words first. The pairs are numbered, not the rows."""
+    pairs = hits.select(held, score).distinct()
+    return hits.join(pairs.withColumn("tier", F.dense_rank().over(Window.orderBy(F.desc(held), F.desc(score)))), [held, score])
+
+
+def exact_first(name: Column, query: str) -> Column:
+    """A sort key: a name that is the query, case aside, stands before any overlap of terms."""
+    return (F.lower(name) == F.lit(query.lower())).cast("int").desc()
+
+
+def merged_families(hits: DataFrame, possible: DataFrame, family: str, key: str, score: str, limit: int) -> DataFrame:
+    """Hits of several families by score over their family's own greatest possible score (family, possible)."""
+    share = F.round(F.col(score) / F.col("possible"), 9)
+    return hits.join(possible, family).withColumn("share", share).orderBy(F.desc("share"), family, key).limit(limit)
+
+
+def weighs_as_name(terms: Column, most: int = 12) -> Column:
+    """A name of over ``most`` distinct terms is prose and weighs as text."""
+    return F.size(F.array_distinct(terms)) <= most
+
+
+def necessity(rows: DataFrame, question: str, item: str, value: str, need: float, most: int = 12) -> DataFrame:
+    """question, item, label: whether what is left reaches the need without an item. All of a question's items but one are summed at
+    once; beyond ``most`` items the rest is not judged."""
+    order = Window.partitionBy(question).orderBy(F.desc(value), item)
+    total = Window.partitionBy(question)
+    ranked_ = rows.withColumn("_all", F.sum(value).over(total)).withColumn("_r", F.row_number().over(order))
+    without = F.col("_all") - F.col(value)
+    label = F.when(F.col("_r") > most, "not judged").when(F.col("_all") < need, "insufficient").when(without < need, "necessary").otherwise("redundant")
+    return ranked_.select(question, item, label.alias("label"))
+
+
+def test_code_links(tests: DataFrame, names: DataFrame, paths: DataFrame, changes: DataFrame, imports: DataFrame, weights: Sequence[int] = (4, 3, 2, 1)) -> DataFrame:
+    """anchor, test, weight, signals: tests of anchors (anchor, place) by four signals, each a table (anchor, test): the name it mentions,
+    the path it shares, files changed with it, what it imports. The best one of an anchor, one slot each: weight, then signals, then
+    name."""
+    each = [t.select("anchor", "test").distinct().withColumn("w", F.lit(w)).withColumn("s", F.lit(n)) for t, w, n in zip((names, paths, changes, imports), weights, ("name", "path", "change", "import"), strict=True)]
+    every = each[0]
+    for e in each[1:]:
+        every = every.unionByName(e)
+    scored = every.groupBy("anchor", "test").agg(F.sum("w").alias("weight"), F.array_join(F.array_sort(F.collect_set("s")), "+").alias("signals"))
+    best = Window.partitionBy("anchor").orderBy(F.desc("weight"), F.desc(F.length("signals")), "test")
+    return tests.join(scored, "anchor").withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+
+
+def span_rows(spans: DataFrame, packet: str, budget: int = 240, core: int = 8, per_file: int = 3, calls: int = 2, longest: int = 80) -> DataFrame:
+    """Rows (packet, place, file, kind: core or call, of, lines) that fit: eight core rows, three a file, two call sites of each core row,
+    80 lines a row at most, then as many as 240 lines hold."""
+    own = spans.withColumn("lines", F.least(F.col("lines"), F.lit(longest)))
+    cores = own.filter("kind = 'core'").withColumn("_f", F.row_number().over(Window.partitionBy(packet, "file").orderBy("place"))).filter(F.col("_f") <= per_file)
+    cores = cores.withColumn("_c", F.row_number().over(Window.partitionBy(packet).orderBy("place"))).filter(F.col("_c") <= core)
+    sites = own.filter("kind = 'call'").join(cores.select(packet, F.col("place").alias("of")), [packet, "of"], "left_semi")
+    sites = sites.withColumn("_n", F.row_number().over(Window.partitionBy(packet, "of").orderBy("place"))).filter(F.col("_n") <= calls)
+    both = cores.select(*spans.columns).unionByName(sites.select(*spans.columns))
+    order = Window.partitionBy(packet).orderBy(F.col("kind") != "core", "place").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_upto", F.sum("lines").over(order)).filter(F.col("_upto") <= budget).drop("_upto")
+
+
 def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, rounds: int = 4000, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """mean, low and high of the mean difference a - b over seeded resamples with Poisson weights: every row draws its
-    weight for every round by a hash, sums are partial, and no resample is ever laid out."""
-    each = pairs.select(key, (F.col(a) - F.col(b)).alias("d")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = F.pmod(F.xxhash64(key, "round"), F.lit(1 << 30)) / float(1 << 30)
+    """mean, low and high of the mean difference a - b over seeded resamples with Poisson weights: a row draws its weight for every
+    round by a hash, in the stage that sums it, so what moves is one partial sum a round and task. The work is rows x rounds; it is
+    meant for paired results of evaluations, thousands of rows."""
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+    each = pairs.select(key, (F.col(a) - F.col(b)).alias("d"))
+
+    round_ = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
+    u = F.pmod(F.xxhash64(key, "round"), F.lit(1 << 30)) / float(1 << 30)
     weight = sum((u >= c).cast("int") for c in cuts)
-    means = each.groupBy("round").agg((F.sum(weight * F.col("d")) / F.sum(weight)).alias("m"))
+    means = each.withColumn("round", round_).groupBy("round").agg((F.sum(weight * F.col("d")) / F.sum(weight)).alias("m"))
     q = means.agg(F.round(F.percentile("m", F.lit(low)), 9).alias("low"), F.round(F.percentile("m", F.lit(high)), 9).alias("high"))
     return pairs.agg(F.round(F.avg(F.col(a) - F.col(b)), 9).alias("mean")).crossJoin(q)

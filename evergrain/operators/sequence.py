@@ -104,8 +104,9 @@ def cut_points(states: DataFrame, keys: Sequence[str], run: str, at: str, state:
 
 def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
     """Rows [offset, offset + limit) of a total order, with the number of rows that follow."""
-    total = df.count()
-    return df.orderBy(*order).offset(offset).limit(limit).withColumn("omitted", F.lit(max(0, total - offset - limit)).cast("long"))
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    rows = df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
+    return rows.withColumn("omitted", F.greatest(F.lit(0), F.col("_total") - offset - limit).cast("long")).drop("_total")
 
 
 def byte_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: Column, budget: int) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import digest, exact, lexers, predicates, text
-from ..operators import columnar, evidence, graph, intervals, joins, report, selection, sequence
+from ..operators import columnar, evidence, graph, intervals, joins, report, search, selection, sequence
 from ..sources import archives, formats
-from ..sources.tables import micros, table
+from ..sources.tables import table
 from .queries import query
 
 
@@ -891,4 +891,104 @@ def single_islands(spark, d):
     return intervals.union(s, ["file"], "start", "end")
 
 
-_ = micros
+# --- ranking
+
+
+@query("""
+    WITH f AS (SELECT doc_id, 0 AS f, 1.0 AS w, 0.3 AS b, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents UNION ALL SELECT doc_id, 1, 2.0, 0.0, [source] FROM documents UNION ALL SELECT doc_id, 2, 0.5, 0.0, [lang] FROM documents),
+    s AS (SELECT f, count(*) AS n, avg(len(t)) AS mean FROM f GROUP BY f), tf AS (SELECT doc_id, f.f, w, b, len(t) AS length, u.term, count(*) AS tf FROM f, unnest(t) AS u(term) WHERE u.term IN ('that', 'with', 'und', 'src3', 'fr') GROUP BY ALL),
+    g AS (SELECT f, term, count(*) AS df FROM tf GROUP BY f, term)
+    SELECT doc_id, round(sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - b + b * length / mean))), 6) AS score, count(DISTINCT tf.term) AS terms
+    FROM tf JOIN g ON g.f = tf.f AND g.term = tf.term JOIN s ON s.f = tf.f GROUP BY doc_id ORDER BY score DESC, terms DESC, doc_id LIMIT 20
+""")
+def bm25_three_fields(spark, d):
+    docs = table(spark, d, "documents")
+    body = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("terms"))
+    one = lambda c: docs.select("doc_id", F.array(c).alias("terms"))
+    return search.bm25_fields([body, one("source"), one("lang")], "doc_id", ["that", "with", "und", "src3", "fr"], [1.0, 2.0, 0.5], [0.3, 0.0, 0.0])
+
+
+@query("""
+    SELECT o_orderkey, round(o_totalprice * (1 + 0.25 * pow(0.5, date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') / 90.0) + CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 0.25 * pow(0.5, (o_custkey % 300) / 90.0) END), 4) AS score FROM orders
+""")
+def decayed_scores(spark, d):
+    age = F.date_diff(F.lit("2002-01-01").cast("date"), F.to_date("o_orderdate"))
+    blame = F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey") % 300)
+    return table(spark, d, "orders").select("o_orderkey", F.round(search.decayed(F.col("o_totalprice"), age, blame), 4).alias("score"))
+
+
+@query("SELECT p_partkey, dense_rank() OVER (ORDER BY p_size % 5 DESC, p_size DESC) AS tier FROM part")
+def coverage_tiers(spark, d):
+    return search.tiers(table(spark, d, "part").select("p_partkey", (F.col("p_size") % 5).alias("held"), "p_size"), "held", "p_size").select("p_partkey", F.col("tier").cast("long").alias("tier"))
+
+
+@query("SELECT p_partkey, lower(p_name) = 'red widget' AS exact FROM part ORDER BY lower(p_name) = 'red widget' DESC, length(p_name), p_partkey LIMIT 30")
+def exact_name_first(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name").orderBy(search.exact_first(F.col("p_name"), "Red Widget"), F.length("p_name"), "p_partkey").limit(30)
+    return p.select("p_partkey", (F.lower("p_name") == "red widget").alias("exact"))
+
+
+@query("""
+    WITH m AS (SELECT p_brand AS family, max(p_size) + 1 AS possible FROM part GROUP BY 1) SELECT p_brand AS family, p_partkey, round(p_size / CAST(possible AS DOUBLE), 9) AS share FROM part JOIN m ON p_brand = family ORDER BY share DESC, family, p_partkey LIMIT 40
+""")
+def family_merge(spark, d):
+    p = table(spark, d, "part").select(F.col("p_brand").alias("family"), "p_partkey", "p_size")
+    possible = p.groupBy("family").agg((F.max("p_size") + 1).alias("possible"))
+    return search.merged_families(p, possible, "family", "p_partkey", "p_size", 40).select("family", "p_partkey", "share")
+
+
+@query("SELECT item_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) <= 12 AS name FROM benchmark")
+def prose_threshold(spark, d):
+    return table(spark, d, "benchmark").select("item_id", search.weighs_as_name(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("name"))
+
+
+@query("""
+    WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber * 1000000 + l_partkey) AS k FROM lineitem)
+    SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS item, CASE WHEN k > 12 THEN 'not judged' WHEN a < 100 THEN 'insufficient' WHEN a - l_quantity < 100 THEN 'necessary' ELSE 'redundant' END AS label FROM r
+""")
+def necessity_labels(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")).alias("item"), "l_quantity")
+    return search.necessity(li, "l_orderkey", "item", "l_quantity", 100.0)
+
+
+@query("""
+    WITH s AS (SELECT DISTINCT l_suppkey AS anchor, l_partkey AS test, 4 AS w, 'name' AS s FROM lineitem WHERE l_linenumber = 1 UNION SELECT l_suppkey, l_partkey, 3, 'path' FROM lineitem WHERE l_linenumber = 2 UNION SELECT l_suppkey, l_partkey, 2, 'change' FROM lineitem WHERE l_linenumber = 3 UNION SELECT l_suppkey, l_partkey, 1, 'import' FROM lineitem WHERE l_linenumber > 3),
+    g AS (SELECT anchor, test, CAST(sum(w) AS BIGINT) AS weight, string_agg(s, '+' ORDER BY s) AS signals FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY weight DESC, length(signals) DESC, test) AS k FROM g)
+    SELECT anchor, test, weight, signals FROM r WHERE k = 1
+""")
+def test_links(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("anchor"), F.col("l_partkey").alias("test"), "l_linenumber")
+    by = [li.filter(c) for c in ("l_linenumber = 1", "l_linenumber = 2", "l_linenumber = 3", "l_linenumber > 3")]
+    return search.test_code_links(li.select("anchor").distinct(), *by)
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey AS packet, l_linenumber * 100000 + l_partkey AS place, l_suppkey % 3 AS file, CASE WHEN l_linenumber > 5 THEN 'call' ELSE 'core' END AS kind, least(80, CAST(l_quantity AS BIGINT) * 3) AS lines, (l_linenumber - 5) * 100000 + l_partkey AS o FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2, 3)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY packet, file ORDER BY place) AS k FROM s WHERE kind = 'core'), c AS (SELECT *, row_number() OVER (PARTITION BY packet ORDER BY place) AS n FROM f WHERE k <= 3),
+    t AS (SELECT s.*, row_number() OVER (PARTITION BY s.packet, s.o ORDER BY s.place) AS n FROM s WHERE kind = 'call' AND EXISTS (SELECT 1 FROM c WHERE c.packet = s.packet AND c.place = s.o AND c.n <= 8)),
+    b AS (SELECT packet, place, kind, lines FROM c WHERE n <= 8 UNION ALL SELECT packet, place, kind, lines FROM t WHERE n <= 2), u AS (SELECT *, sum(lines) OVER (PARTITION BY packet ORDER BY kind <> 'core', place) AS upto FROM b)
+    SELECT packet, place, kind, lines FROM u WHERE upto <= 240
+""")
+def span_budget(spark, d):
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"))
+    n = F.col("l_linenumber").cast("long")
+    spans = li.select(F.col("l_orderkey").alias("packet"), (n * 100000 + F.col("l_partkey")).alias("place"), (F.col("s") % 3).alias("file"), F.when(n > 5, "call").otherwise("core").alias("kind"), ((n - 5) * 100000 + F.col("l_partkey")).alias("of"), (F.col("q").cast("long") * 3).alias("lines"))
+    return search.span_rows(spans, "packet").select("packet", "place", "kind", "lines")
+
+
+@query("""
+    WITH e AS (SELECT src, dst, count(*) AS weight FROM (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem) GROUP BY 1, 2), o AS (SELECT src, sum(weight) AS out FROM e GROUP BY src), p AS (SELECT e.src, e.dst, CAST(weight AS DOUBLE) / out AS p FROM e JOIN o ON o.src = e.src),
+    m0 AS (SELECT 's1' AS node, 1.0 AS mass), m1 AS (SELECT dst AS node, sum(mass * p) * 0.85 AS mass FROM m0 JOIN p ON src = node GROUP BY 1), m2 AS (SELECT dst AS node, sum(mass * p) * 0.85 AS mass FROM m1 JOIN p ON src = node GROUP BY 1), m3 AS (SELECT dst AS node, sum(mass * p) * 0.85 AS mass FROM m2 JOIN p ON src = node GROUP BY 1)
+    SELECT node, round(sum(mass * 0.15), 9) AS score FROM (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) WHERE node <> 's1' GROUP BY node ORDER BY score DESC, node LIMIT 5
+""")
+def personal_ranks(spark, d):
+    li = table(spark, d, "lineitem").select(tag("s", "l_suppkey").alias("a"), tag("p", "l_partkey").alias("b"))
+    edges = li.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(li.select(F.col("b").alias("src"), F.col("a").alias("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    return graph.personal_rank(edges, spark.createDataFrame([("s1",)], "node string"))
+
+
+@query("SELECT round(avg(CAST(p_size AS DOUBLE) - length(p_name)), 9) AS mean, TRUE AS around FROM part")
+def bootstrap_interval(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.length("p_name").cast("double").alias("b"))
+    r = search.paired_bootstrap(p, "p_partkey", "a", "b", rounds=400)
+    return r.select("mean", ((F.col("low") < F.col("mean")) & (F.col("mean") < F.col("high"))).alias("around"))
