@@ -5,20 +5,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.formats import refuse
 
 
+def _ends(lists: DataFrame, block: str, key: str) -> DataFrame:
+    """lists with ``_end``: how many entries stand up to and with a key's, in the order of keys."""
+    upto = Window.partitionBy(block).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return lists.withColumn("_end", F.sum(F.size("_i")).over(upto).cast("int"))
+
+
 def encode(rows: DataFrame, block: str, key: str, item: str) -> DataFrame:
     """block, keys, names, offsets, ids of distinct (key, item): keys and names sorted; items of keys[k] are
     names[ids[offsets[k]]] up to, not with, offsets[k + 1]."""
-    lists = rows.select(block, key, item).distinct().groupBy(block, key).agg(F.array_sort(F.collect_list(item)).alias("_i"))
-    blocks = lists.groupBy(block).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("_i").alias("i")))).alias("_b"))
-    flat = F.flatten(F.transform("_b", lambda x: x["i"]))
-    named = blocks.withColumn("names", F.array_sort(F.array_distinct(flat)))
-    place = F.map_from_entries(F.transform("names", lambda x, n: F.struct(x, n)))
-    ends = F.aggregate("_b", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.size(x["i"]))))
-    return named.withColumn("_p", place).select(block, F.transform("_b", lambda x: x["k"]).alias("keys"), "names", ends.alias("offsets"), F.transform(flat, lambda x: F.col("_p")[x]).alias("ids"))
+    own = rows.select(block, key, item).distinct().withColumn("_id", F.dense_rank().over(Window.partitionBy(block).orderBy(item)) - 1)
+    lists = _ends(own.groupBy(block, key).agg(F.array_sort(F.collect_list("_id")).alias("_i")), block, key)
+    blocks = lists.groupBy(block).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("_end").alias("e"), F.col("_i").alias("i")))).alias("_b"))
+    names = own.groupBy(block).agg(F.array_sort(F.collect_set(item)).alias("names"))
+    field = lambda f: F.transform("_b", lambda x: x[f])
+    return blocks.join(names, block).select(block, field("k").alias("keys"), "names", F.concat(F.array(F.lit(0)), field("e")).alias("offsets"), F.flatten(field("i")).alias("ids"))
 
 
 def decode(blocks: DataFrame, block: str, key: str, item: str) -> DataFrame:
@@ -33,11 +39,10 @@ def decode(blocks: DataFrame, block: str, key: str, item: str) -> DataFrame:
 
 def encode_terms(postings: DataFrame, block: str) -> DataFrame:
     """block, terms, offsets, sources, counts of postings (term, source, tf), terms sorted."""
-    lists = postings.groupBy(block, "term").agg(F.array_sort(F.collect_list(F.struct("source", "tf"))).alias("_i"))
-    blocks = lists.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("term", F.col("_i").alias("i")))).alias("_b"))
-    ends = F.aggregate("_b", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.size(x["i"]))))
+    lists = _ends(postings.groupBy(block, "term").agg(F.array_sort(F.collect_list(F.struct("source", "tf"))).alias("_i")), block, "term")
+    blocks = lists.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("term", F.col("_end").alias("e"), F.col("_i").alias("i")))).alias("_b"))
     flat = lambda f: F.flatten(F.transform("_b", lambda x: F.transform(x["i"], lambda y: y[f])))
-    return blocks.select(block, F.transform("_b", lambda x: x["term"]).alias("terms"), ends.alias("offsets"), flat("source").alias("sources"), flat("tf").alias("counts"))
+    return blocks.select(block, F.transform("_b", lambda x: x["term"]).alias("terms"), F.concat(F.array(F.lit(0)), F.transform("_b", lambda x: x["e"])).alias("offsets"), flat("source").alias("sources"), flat("tf").alias("counts"))
 
 
 def view_terms(blocks: DataFrame, block: str) -> DataFrame:
