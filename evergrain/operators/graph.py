@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where the session has a shared folder, else the plan as it is (hops are few)."""
+    """A reliable checkpoint in the session's shared folder, so that a hop does not plan all hops before it again. Only a local
+    session without one gets a temporary folder; a cluster must name its own."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="evergrain-")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
