@@ -226,12 +226,13 @@ def identified(docs: DataFrame, min_gap: float = 0.05, **parameters) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(len(names))
+            text = batch.column(1)
             for lo in range(0, len(text), 256):
                 lang, _, gap = label(model, [x.as_py() for x in text.slice(lo, 256)])
                 good = [x != "und" and g >= min_gap for x, g in zip(lang, gap, strict=True)]
-                part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays(part.columns[: len(names)], names=names).filter(pa.array(good))
+                own = batch.column(0).slice(lo, 256).filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays(own.flatten(), names=names)
 
-    clear = bounded(docs).select(*[F.col(f"`{c}`") for c in names], utf8("text").alias("_text_bytes"))
+    # the columns of docs travel as one, so that none of their names can meet ours
+    clear = bounded(docs).select(F.struct("*").alias("_own"), utf8("text").alias("_text"))
     return clear.mapInArrow(run, docs.schema)
