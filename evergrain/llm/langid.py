@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import bounded, held_out, scan_parts, utf8
+from .shared import bounded, held_out, utf8
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 BITS, NGRAMS = 15, (1, 2, 3)
@@ -144,25 +144,18 @@ def sample(docs: DataFrame, train, per_lang: int, rows: int, largest: int) -> li
     there are so many languages that they would pass ``rows`` in all (eight at least). Rows are ranked before texts move."""
     own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), utf8("text").alias("text")).filter(F.col("lang").isNotNull() & train)
     own = own.filter((F.octet_length("text") > 0) & (F.octet_length("text") <= largest))
-    langs = own.agg(F.count_distinct("lang")).first()[0]
-    if not langs:
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
         return []
-    few = min(per_lang, max(8, rows // langs))
+    few = min(per_lang, max(8, rows // len(counts)))
+    # a hashed share of each language, four times what is wanted, so that no language's rows meet in one task
+    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 4 * few / r.n) * (1 << 30))) for r in counts], "lang string, share long")
     mix = F.xxhash64("doc_id", F.lit(17))
-    salted = Window.partitionBy("lang", "salt").orderBy("mix", "doc_id")
-    merged = Window.partitionBy("lang").orderBy("mix", "doc_id")
-    # the salts follow the scan: what a task passes on of a language is ``few`` rows, whatever the language's size
-    salt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(min(1024, max(16, scan_parts(docs)))))
-    ids = (
-        own.select("lang", "doc_id", mix.alias("mix"), salt.alias("salt"))
-        .withColumn("r", F.row_number().over(salted))
-        .filter(F.col("r") <= few)
-        .withColumn("r", F.row_number().over(merged))
-        .filter(F.col("r") <= few)
-        .select("lang", "doc_id")
-        .distinct()
-    )
-    got = own.join(ids, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("mix", "doc_id")
+    some = own.select("lang", "doc_id", mix.alias("mix")).join(F.broadcast(shares), "lang").filter(F.pmod("mix", F.lit(1 << 30)) < F.col("share"))
+    ids = some.select("lang", "doc_id", "mix").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= few).select("lang", "doc_id")
+    # both sides that are broadcast have a bound: one row a language, and ``rows`` ids (or eight a language)
+    got = own.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     return [(r.lang, bytes(r.text)) for r in got.orderBy("doc_id", "lang").collect()]
 
 
