@@ -3,7 +3,7 @@ checked. Parquet stores such arrays by column; a block is one row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,14 +27,26 @@ def encode(rows: DataFrame, block: str, key: str, item: str) -> DataFrame:
     return blocks.join(names, block).select(block, field("k").alias("keys"), "names", F.concat(F.array(F.lit(0)), field("e")).alias("offsets"), F.flatten(field("i")).alias("ids"))
 
 
+def _owners(keys: str) -> Column:
+    """For each entry of a block the key that it stands under."""
+    return F.flatten(F.transform(keys, lambda k, i: F.array_repeat(k, F.get("offsets", i + 1) - F.get("offsets", i))))
+
+
+def _checked(blocks: DataFrame, block: str, bad: Column, note: str) -> DataFrame:
+    """blocks; a damaged one fails the query. The check stands on the block's name, so that it runs once a block."""
+    return blocks.withColumn(block, refuse(F.coalesce(bad, F.lit(True)), F.lit(note), F.col(block)))
+
+
+def _steps() -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size("offsets") - 1), lambda n: F.get("offsets", n) - F.get("offsets", n - 1))
+
+
 def decode(blocks: DataFrame, block: str, key: str, item: str) -> DataFrame:
     """The rows again; offsets that do not ascend to the end, or numbers outside the names, fail the query."""
-    steps = F.transform(F.sequence(F.lit(1), F.size("offsets") - 1), lambda n: F.get("offsets", n) - F.get("offsets", n - 1))
-    bad = (F.size("offsets") != F.size("keys") + 1) | (F.get("offsets", F.lit(0)) != 0) | (F.element_at("offsets", -1) != F.size("ids")) | F.exists(steps, lambda x: x < 0) | F.exists("ids", lambda x: (x < 0) | (x >= F.size("names")))
-    checked = blocks.withColumn("keys", refuse(bad, F.lit("a section is damaged"), F.col("keys")))
-    each = checked.select(block, F.posexplode("keys").alias("_k", key), "names", "offsets", "ids")
-    own = F.slice("ids", F.get("offsets", F.col("_k")) + 1, F.get("offsets", F.col("_k") + 1) - F.get("offsets", F.col("_k")))
-    return each.select(block, key, F.explode(F.transform(own, lambda x: F.get("names", x))).alias(item))
+    bad = (F.size("offsets") != F.size("keys") + 1) | (F.get("offsets", F.lit(0)) != 0) | (F.element_at("offsets", -1) != F.size("ids")) | F.exists(_steps(), lambda x: x < 0) | F.exists("ids", lambda x: (x < 0) | (x >= F.size("names")))
+    named = F.transform("ids", lambda x: F.get("names", x))
+    each = _checked(blocks, block, bad, "a section is damaged").select(block, F.explode(F.arrays_zip(_owners("keys").alias("k"), named.alias("i"))).alias("p"))
+    return each.select(block, F.col("p.k").alias(key), F.col("p.i").alias(item))
 
 
 def encode_terms(postings: DataFrame, block: str) -> DataFrame:
@@ -47,8 +59,6 @@ def encode_terms(postings: DataFrame, block: str) -> DataFrame:
 
 def view_terms(blocks: DataFrame, block: str) -> DataFrame:
     """term, source, tf again, checked."""
-    bad = (F.size("offsets") != F.size("terms") + 1) | (F.element_at("offsets", -1) != F.size("sources")) | (F.size("sources") != F.size("counts")) | (F.array_sort("terms") != F.col("terms"))
-    checked = blocks.withColumn("terms", refuse(bad, F.lit("a term table is damaged"), F.col("terms")))
-    each = checked.select(F.posexplode("terms").alias("_k", "term"), "offsets", "sources", "counts")
-    cut = lambda c: F.slice(c, F.get("offsets", F.col("_k")) + 1, F.get("offsets", F.col("_k") + 1) - F.get("offsets", F.col("_k")))
-    return each.select("term", F.explode(F.arrays_zip(cut("sources").alias("source"), cut("counts").alias("tf"))).alias("p")).select("term", "p.source", "p.tf")
+    bad = (F.size("offsets") != F.size("terms") + 1) | (F.element_at("offsets", -1) != F.size("sources")) | (F.size("sources") != F.size("counts")) | (F.array_sort("terms") != F.col("terms")) | F.exists(_steps(), lambda x: x < 0)
+    each = _checked(blocks, block, bad, "a term table is damaged").select(block, F.explode(F.arrays_zip(_owners("terms").alias("t"), F.col("sources").alias("s"), F.col("counts").alias("c"))).alias("p"))
+    return each.select(F.col("p.t").alias("term"), F.col("p.s").alias("source"), F.col("p.c").alias("tf"))
