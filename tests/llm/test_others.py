@@ -274,8 +274,8 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
-    assert "op10_warc" in __spark_entry__.oracle_sql()
+    assert {f"op{n}" for n in range(1, 14)} <= {x.split("_")[0] for x in names} and "pipeline" in names
+    assert {"op10_warc", "op12_audit", "op13_dialogue", "url_rules"} <= set(__spark_entry__.oracle_sql())
 
 
 def test_kept_tables_can_be_removed(spark):
