@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import reachability
 from .graph import _cut
 
 
@@ -57,42 +58,54 @@ def unindexed(declared: DataFrame, indexed: DataFrame, keys: Sequence[str]) -> D
     return declared.select(*keys).distinct().join(indexed.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, node): all that reaches back from each seed along (src, dst), users of src, seeds included."""
-    found = seeds.select(F.col("node").alias("seed"), "node").distinct()
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, node): all that reaches back from each seed along (src, dst), users of src, seeds included. A row a pair is the
+    answer here; where one set or one flag a node is asked for, ``reachability`` has it without pairs."""
+    found = _cut(seeds.select(F.col("node").alias("seed"), "node").distinct())
     frontier = found
-    for _ in range(depth):
+    while not frontier.isEmpty():
         step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node")).distinct()
         frontier = _cut(step.join(found, ["seed", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
         found = _cut(found.unionByName(frontier))
     return found
 
 
-def closure_and_one(code: DataFrame, tests: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def closure_and_one(code: DataFrame, tests: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node): the closure over code edges, then one level over test edges that is not followed on; seeds alone are not
     in it unless they are reached."""
-    reached = closure(code, seeds, depth)
+    reached = closure(code, seeds)
     users = reached.join(tests.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node"))
     return reached.filter("seed <> node").unionByName(users).distinct()
 
 
-def coverage_gap(code: DataFrame, tests: DataFrame, seeds: DataFrame, units: DataFrame, depth: int) -> DataFrame:
+def run_reach(code: DataFrame, tests: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node): what the seeds together reach: users over code edges, however far, then one level over test edges. A seed is
+    in it only if an edge leads to it."""
+    inside = _cut(reachability.reached(code, seeds)).withColumnRenamed("node", "src")
+    return code.join(inside, "src", "left_semi").select(F.col("dst").alias("node")).union(tests.join(inside, "src", "left_semi").select("dst")).distinct()
+
+
+#: Bits of what a unit adds to those that reach it.
+RUNS, SKIPPED, OPEN = 1, 2, 4
+
+
+def coverage_gap(code: DataFrame, tests: DataFrame, seeds: DataFrame, units: DataFrame) -> DataFrame:
     """(seed, gap, uncertain): gap: no test that runs can observe the seed; uncertain: that is not proven.
 
     units: (node, runs, narrowed, frontier): runs is null for a unit without tests. A test that will not run, and was not
-    narrowed out on purpose, proves neither coverage nor its absence."""
-    reached = closure(code, seeds, depth)
-    users = reached.join(tests.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node"))
-    seen = reached.unionByName(users).distinct().join(units, "node", "left")
-    flags = seen.groupBy("seed").agg(
-        F.bool_or(F.coalesce("runs", F.lit(False))).alias("observer"),
-        F.bool_or(F.coalesce(~F.col("runs") & ~F.coalesce("narrowed", F.lit(False)), F.lit(False))).alias("skipped"),
-        F.bool_or(F.coalesce("frontier", F.lit(False))).alias("open"),
-    )
-    blind = ~F.col("observer") & F.col("skipped")
-    return flags.select("seed", (~F.col("observer") & ~blind).alias("gap"), (blind | F.col("open")).alias("uncertain"))
+    narrowed out on purpose, proves neither coverage nor its absence. Three bits spread over the whole graph; no seed is followed
+    by itself."""
+    no = F.lit(False)
+    bit = lambda flag, value: F.when(F.coalesce(flag, no), value).otherwise(0)
+    own = units.select("node", (bit(F.col("runs"), RUNS) + bit(~F.col("runs") & ~F.coalesce("narrowed", no), SKIPPED) + bit(F.col("frontier"), OPEN)).cast("long").alias("bits"))
+    own = _cut(own.groupBy("node").agg(F.bit_or("bits").alias("bits")))
+    # one level of test users belongs to the unit that they use
+    used = tests.join(own.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.bit_or("bits").alias("bits"))
+    held = reachability.spread(code, own.unionByName(used))
+    flags = seeds.select(F.col("node")).distinct().join(held, "node", "left").select(F.col("node").alias("seed"), F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    has = lambda value: F.col("bits").bitwiseAND(value) != 0
+    blind = ~has(RUNS) & has(SKIPPED)
+    return flags.select("seed", (~has(RUNS) & ~blind).alias("gap"), (blind | has(OPEN)).alias("uncertain"))
 
 
 def same_prefix(a: Column, b: Column, n: Column) -> Column:

@@ -6,12 +6,15 @@ import json
 import subprocess
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .operators.graph import reach
+from .operators import reachability
+from .operators.graph import _cut
+from .operators.joins import ancestors
 
 
 @dataclass(frozen=True)
@@ -95,30 +98,93 @@ class Repository:
 
 
 class History:
-    """Commits (child, parent): resolution of prefixes, ancestors, distances, changed paths."""
+    """Commits (child, parent): resolution of prefixes, ancestry, distances, changed paths. Histories of any depth: answers come
+    from an index of chains, which is built once. changes: (commit, path) of what each commit touched; trees, if given:
+    (commit, path, oid), so that a path that was changed and changed back is unchanged."""
 
-    def __init__(self, parents: DataFrame, changes: DataFrame, depth: int = 64):
-        self.parents, self.changes, self.depth = parents, changes, depth
+    def __init__(self, parents: DataFrame, changes: DataFrame, trees: DataFrame | None = None):
+        self.parents, self.changes, self.trees = parents, changes, trees
+
+    @cached_property
+    def index(self) -> DataFrame:
+        return reachability.chains(self.parents)
 
     def resolve(self, prefix: str) -> DataFrame:
         """(commit, state): one match is resolved, several are ambiguous, none is unknown."""
-        found = self.parents.select(F.col("child").alias("commit")).distinct().filter(F.col("commit").startswith(prefix))
+        found = self.index.select("commit").filter(F.col("commit").startswith(prefix))
         n = F.count(F.lit(1))
         return found.agg(F.when(n == 1, F.min("commit")).alias("commit"), F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unknown").alias("state"))
 
+    def _pairs(self, older: str, newer: str) -> DataFrame:
+        kind = self.index.schema["commit"].dataType
+        one = self.parents.sparkSession.createDataFrame([(older, newer)], "older string, newer string")
+        return one.select(F.col("older").cast(kind).alias("older"), F.col("newer").cast(kind).alias("newer"))
+
+    def _places(self, pairs: DataFrame, side: str) -> DataFrame:
+        return reachability.ancestor_places(self.parents, self.index, pairs.select(F.col(side).alias("start")))
+
+    def _ranges(self, pairs: DataFrame) -> DataFrame:
+        return reachability.ranges(pairs, self._places(pairs, "newer"), self._places(pairs, "older"))
+
     def ancestors(self, commit: str) -> DataFrame:
-        """(node, hops): the commit itself is at 0."""
-        spark = self.parents.sparkSession
-        edges = self.parents.filter("parent is not null").select(F.col("child").alias("src"), F.col("parent").alias("dst"))
-        return reach(edges, spark.createDataFrame([(commit,)], "node string"), self.depth)
+        """(node): the commit and all its ancestors."""
+        far = self._places(self._pairs(commit, commit), "newer").select("chain", F.col("place").alias("_far"))
+        return self.index.join(far, "chain").filter("place <= _far").select(F.col("commit").alias("node"))
+
+    def facts(self, pairs: DataFrame) -> DataFrame:
+        """(older, newer, ancestor, distance): whether older is newer or an ancestor of it, and how many commits newer has that
+        older has not; null where a commit is unknown."""
+        far = self._places(pairs, "newer")
+        at = self.index.select(F.col("commit").alias("older"), "chain", "place")
+        found = pairs.select("older", "newer").distinct().join(at, "older", "left")
+        known = self.index.select(F.col("commit").alias("newer"), F.lit(True).alias("_known"))
+        found = found.join(far.select(F.col("start").alias("newer"), "chain", F.col("place").alias("_far")), ["newer", "chain"], "left").join(known, "newer", "left")
+        sure = F.col("place").isNotNull() & F.col("_known").isNotNull()
+        gained = reachability.ranges(pairs, far, self._places(pairs, "older")).groupBy("older", "newer").agg(F.sum(F.col("high") - F.col("low")).alias("_n"))
+        answer = F.when(sure, F.coalesce(F.col("place") <= F.col("_far"), F.lit(False)))
+        return found.join(gained, ["older", "newer"], "left").select("older", "newer", answer.alias("ancestor"), F.when(sure, F.coalesce("_n", F.lit(0).cast("long"))).alias("distance"))
+
+    def changes_between(self, pairs: DataFrame) -> DataFrame:
+        """(older, newer, path): paths that differ between the trees of both, or without trees those that commits of newer, but not of
+        older, touched."""
+        if self.trees is not None:
+            side = lambda name: pairs.select("older", "newer").distinct().join(self.trees.select(F.col("commit").alias(name), "path", F.col("oid").alias(name + "_oid")), name)
+            both = side("older").join(side("newer"), ["older", "newer", "path"], "full_outer")
+            return both.filter(~F.col("older_oid").eqNullSafe(F.col("newer_oid"))).select("older", "newer", "path")
+        inside = self._ranges(pairs).join(self.index, "chain").filter("place > low and place <= high").select("older", "newer", "commit")
+        return inside.join(self.changes, "commit").select("older", "newer", "path").distinct()
 
     def is_ancestor(self, old: str, new: str) -> bool:
-        return not self.ancestors(new).filter(F.col("node") == old).isEmpty()
+        return bool(self.facts(self._pairs(old, new)).first().ancestor)
+
+    def distance(self, old: str, new: str) -> int | None:
+        return self.facts(self._pairs(old, new)).first().distance
 
     def changed(self, old: str, new: str) -> DataFrame:
-        """Paths that commits of new, but not of old, changed."""
-        own = self.ancestors(new).join(self.ancestors(old).select("node"), "node", "left_anti")
-        return self.changes.join(own.select(F.col("node").alias("commit")), "commit", "left_semi").select("path").distinct()
+        return self.changes_between(self._pairs(old, new)).select("path")
+
+    def states(self, records: DataFrame, at: Column, retire_after: int = 0) -> DataFrame:
+        """(id, state, reason, distance, changed): each record (id, revision, path; a row a linked path, null for none) at a
+        commit. current: no linked path, nor any file under one, changed since; retired: one did, more than ``retire_after``
+        commits ago (0 retires none); stale otherwise; UNKNOWN, with a reason, where nothing can be said."""
+        rows = _cut(records.select("id", F.col("revision").alias("older"), "path", at.alias("newer")))
+        outside = F.col("path").startswith("@")
+        whole = rows.groupBy("id", "older", "newer").agg(F.count("path").alias("_paths"), F.coalesce(F.bool_or(outside), F.lit(False)).alias("_outside"))
+        facts = self.facts(rows.select("older", "newer"))
+        touched = self.changes_between(rows.select("older", "newer")).select("older", "newer", F.explode(ancestors(F.col("path"))).alias("path")).distinct()
+        asked = rows.withColumn("_linked", F.col("path")).withColumn("path", F.regexp_replace("path", "/$", ""))
+        hit = asked.join(touched, ["older", "newer", "path"]).groupBy("id", "older", "newer").agg(F.array_sort(F.collect_set("_linked")).alias("changed"))
+        got = whole.join(facts, ["older", "newer"], "left").join(hit, ["id", "older", "newer"], "left")
+        reason = (
+            F.when(F.col("_paths") == 0, "no-linked-paths")
+            .when(F.col("_outside"), "linked-path-outside-root")
+            .when(F.col("ancestor").isNull(), "revision-unresolved")
+            .when(~F.col("ancestor"), "not-ancestor")
+        )
+        old = F.lit(retire_after > 0) & (F.col("distance") > retire_after)
+        state = F.when(reason.isNotNull(), "UNKNOWN").when(F.col("changed").isNull(), "current").when(old, "retired").otherwise("stale")
+        none = F.array().cast("array<string>")
+        return got.select("id", state.alias("state"), reason.alias("reason"), F.when(reason.isNull(), F.col("distance")).alias("distance"), F.when(reason.isNull(), F.coalesce("changed", none)).otherwise(none).alias("changed"))
 
 
 class CommandReader(DataSourceReader):
