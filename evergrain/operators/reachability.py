@@ -24,24 +24,19 @@ def doubled(links: DataFrame, values: dict[str, Callable[[Column, Column], Colum
 
     Each round joins the table with itself and doubles the steps behind every link. Ways that have ended are set aside: they
     are looked up, but not joined again."""
+    ways = lambda df: df.select(F.col("node").alias("to"), F.col("to").alias("_to"), *[F.col(v).alias("_" + v) for v in values], F.col("open").alias("_open"))
+    further = F.col("_to").isNotNull()
+    joined = [F.when(further, f(F.col(v), F.col("_" + v))).otherwise(F.col(v)).alias(v) for v, f in values.items()]
     cur = _cut(links.select("node", "to", *values).withColumn("open", F.lit(True)))
-    n = cur.count()
-    ended, steps = None, 1
-    while True:
-        there = cur.select(F.col("node").alias("to"), F.col("to").alias("_to"), *[F.col(v).alias("_" + v) for v in values], F.col("open").alias("_open"))
-        if ended is not None:
-            there = there.unionByName(ended.select(F.col("node").alias("to"), F.col("to").alias("_to"), *[F.col(v).alias("_" + v) for v in values], F.col("open").alias("_open")))
-        more = F.col("_to").isNotNull()
-        moved = cur.join(there, "to", "left").select(
-            "node", F.coalesce("_to", "to").alias("to"), *[F.when(more, f(F.col(v), F.col("_" + v))).otherwise(F.col(v)).alias(v) for v, f in values.items()], F.coalesce("_open", F.lit(False)).alias("open")
-        )
-        moved, steps = _cut(moved), 2 * steps
-        done = moved.filter(~F.col("open"))
-        ended = done if ended is None else _cut(ended.unionByName(done))
-        cur = moved.filter("open")
-        # after as many steps as there are links a way that still goes on is a cycle that it has seen whole
-        if cur.isEmpty() or steps > n:
-            return ended.unionByName(cur)
+    ended, left, steps = cur.limit(0), cur.count(), 1
+    while left:
+        moved = _cut(cur.join(ways(cur).unionByName(ways(ended)), "to", "left").select("node", F.coalesce("_to", "to").alias("to"), *joined, F.coalesce("_open", F.lit(False)).alias("open")))
+        ended, cur, steps = ended.unionByName(moved.filter(~F.col("open"))), moved.filter("open"), 2 * steps
+        before, left = left, cur.count()
+        # a way that ends loses its last open node in every round: if none is lost all are cycles, seen whole after as many steps
+        if left == before and steps > left:
+            break
+    return ended.unionByName(cur)
 
 
 def spread(edges: DataFrame, own: DataFrame) -> DataFrame:
@@ -84,11 +79,13 @@ def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def chains(parents: DataFrame) -> DataFrame:
-    """(commit, chain, place): every commit of (child, parent) on one chain. Of a commit's parents the least continues its chain,
-    and of a commit's children the least does; a chain is named by its oldest commit, whose place is 1."""
-    edges = parents.filter("parent is not null").select("child", "parent").distinct()
+    """(commit, chain, place): every commit of (child, parent) on one chain. Of a commit's parents the first continues its chain
+    (by the column nth if there is one, else the least), and of a commit's children the least does; a chain is named by its oldest
+    commit, whose place is 1."""
+    nth = F.col("nth") if "nth" in parents.columns else F.lit(0)
+    edges = parents.filter("parent is not null").groupBy("child", "parent").agg(F.min(nth).alias("nth"))
     commits = parents.select(F.col("child").alias("commit")).union(edges.select("parent")).distinct()
-    first = edges.groupBy("child").agg(F.min("parent").alias("parent")).groupBy("parent").agg(F.min("child").alias("child"))
+    first = edges.groupBy("child").agg(F.min_by("parent", F.struct("nth", "parent")).alias("parent")).groupBy("parent").agg(F.min("child").alias("child"))
     walked = doubled(first.select(F.col("child").alias("node"), F.col("parent").alias("to"), F.lit(1).cast("long").alias("n")), {"n": lambda a, b: a + b})
     walked = walked.select(F.when(F.col("open"), F.raise_error(F.lit("a commit is its own ancestor"))).otherwise(F.col("node")).alias("commit"), "to", "n")
     return _cut(commits.join(walked, "commit", "left").select("commit", F.coalesce("to", "commit").alias("chain"), (F.coalesce("n", F.lit(0)) + 1).alias("place")))

@@ -52,34 +52,36 @@ def run_reach(spark, d):
     return selection.run_reach(code, tests, l.filter("node % 997 = 3").select("node"))
 
 
-# commits are orders: the first parent is the customer's order before, a merge's other one the last order of its priority
+# commits are orders: the first parent is the order before of a group of customers, a merge's other one the last order of its priority
 @query("""
-    WITH RECURSIVE p AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a, CASE WHEN o_orderkey % 2 = 0 THEN lag(o_orderkey, 7) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) END AS b, o_custkey AS c FROM orders),
+    WITH RECURSIVE p AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey % 64 ORDER BY o_orderkey) AS a, CASE WHEN o_orderkey % 2 = 0 THEN lag(o_orderkey, 7) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) END AS b, o_custkey AS c FROM orders),
     e AS (SELECT child, a AS parent FROM p WHERE a IS NOT NULL UNION SELECT child, b FROM p WHERE b IS NOT NULL),
-    at AS (SELECT max(o_orderkey) AS at FROM orders WHERE o_orderkey % 2 = 0),
-    r AS (SELECT l_suppkey AS id, max(l_orderkey) AS rev FROM lineitem GROUP BY l_suppkey),
-    s AS (SELECT DISTINCT rev AS start FROM r UNION SELECT at FROM at),
+    top AS (SELECT max(o_orderkey) AS top FROM orders WHERE o_orderkey % 2 = 0),
+    g AS (SELECT (top - o_orderkey) // 40 - 1 AS g, max(o_orderkey) AS rev FROM orders, top WHERE top - o_orderkey BETWEEN 40 AND 1039 GROUP BY 1), r AS (SELECT s_suppkey AS id, rev FROM supplier JOIN g ON s_suppkey % 25 = g),
+    s AS (SELECT DISTINCT rev AS start FROM r UNION SELECT top FROM top),
     w AS (SELECT start, start AS node FROM s UNION SELECT w.start, e.parent FROM w JOIN e ON e.child = w.node),
-    n AS (SELECT w.node FROM w JOIN at ON w.start = at.at),
+    n AS (SELECT w.node FROM w JOIN top ON w.start = top.top),
     d AS (SELECT r.id, n.node FROM r CROSS JOIN n WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.start = r.rev AND w.node = n.node)),
     f AS (SELECT r.id, r.rev, r.rev IN (SELECT node FROM n) AS ancestor, (SELECT count(*) FROM d WHERE d.id = r.id) AS distance FROM r),
     t AS (SELECT DISTINCT d.id, 'c/' || (p.c // 100) || '/' || p.c AS path FROM d JOIN p ON p.child = d.node),
     k AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'c/' || (id % 16) || '/' ELSE 'c/' || (id * 13 % 1500 // 100) || '/' || (id * 13 % 1500) END AS path FROM r WHERE id % 17 <> 0),
     h AS (SELECT k.id, string_agg(DISTINCT k.path, ',') AS changed FROM k JOIN t ON t.id = k.id AND (t.path = k.path OR starts_with(t.path, rtrim(k.path, '/') || '/')) GROUP BY k.id),
     x AS (SELECT f.id, CASE WHEN f.id % 17 = 0 THEN 'no-linked-paths' WHEN NOT ancestor THEN 'not-ancestor' END AS reason, distance, coalesce(changed, '') AS changed FROM f LEFT JOIN h ON h.id = f.id)
-    SELECT id, CASE WHEN reason IS NOT NULL THEN 'UNKNOWN' WHEN changed = '' THEN 'current' WHEN distance > 300 THEN 'retired' ELSE 'stale' END AS state, reason, CASE WHEN reason IS NULL THEN distance END AS distance, CASE WHEN reason IS NULL THEN changed ELSE '' END AS changed FROM x
+    SELECT id, CASE WHEN reason IS NOT NULL THEN 'UNKNOWN' WHEN changed = '' THEN 'current' WHEN distance > 60 THEN 'retired' ELSE 'stale' END AS state, reason, CASE WHEN reason IS NULL THEN distance END AS distance, CASE WHEN reason IS NULL THEN changed ELSE '' END AS changed FROM x
 """)
 def history_states(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    own, prior = Window.partitionBy("o_custkey").orderBy("o_orderkey"), Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
+    own, prior = Window.partitionBy(F.col("o_custkey") % 64).orderBy("o_orderkey"), Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
     both = F.array(F.lag("o_orderkey").over(own), F.when(F.col("o_orderkey") % 2 == 0, F.lag("o_orderkey", 7).over(prior)))
-    parents = o.select(F.col("o_orderkey").alias("child"), F.explode(both).alias("parent")).distinct()
+    parents = o.select(F.col("o_orderkey").alias("child"), both.alias("both")).select("child", F.posexplode("both").alias("nth", "parent"))
     file = lambda c: F.concat(F.lit("c/"), F.floor(c / 100).cast("string"), F.lit("/"), c.cast("string"))
     changes = o.select(F.col("o_orderkey").alias("commit"), file(F.col("o_custkey")).alias("path"))
-    records = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.max("l_orderkey").alias("revision"))
+    newest = o.filter("o_orderkey % 2 = 0").agg(F.max("o_orderkey").alias("at"))  # one row
+    back = F.col("at") - F.col("o_orderkey")
+    revisions = o.crossJoin(F.broadcast(newest)).filter((back >= 40) & (back < 1040)).groupBy((F.floor(back / 40) - 1).alias("g")).agg(F.max("o_orderkey").alias("revision"))
+    records = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 25).alias("g")).join(revisions, "g").drop("g")
     k = F.col("id")
     linked = F.when(k % 17 == 0, None).when(k % 3 == 0, F.concat(F.lit("c/"), (k % 16).cast("string"), F.lit("/"))).otherwise(file(k * 13 % 1500))
-    newest = o.filter("o_orderkey % 2 = 0").agg(F.max("o_orderkey").alias("at"))
-    asked = records.withColumn("path", linked).crossJoin(F.broadcast(newest))  # one row
-    got = History(parents, changes).states(asked, F.col("at"), 300)
+    asked = records.withColumn("path", linked).crossJoin(F.broadcast(newest))
+    got = History(parents, changes).states(asked, F.col("at"), 60)
     return got.withColumn("changed", F.array_join("changed", ","))

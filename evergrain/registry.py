@@ -98,7 +98,7 @@ class Repository:
 
 
 class History:
-    """Commits (child, parent): resolution of prefixes, ancestry, distances, changed paths. Histories of any depth: answers come
+    """Commits (child, parent, and nth if parents are ordered): resolution of prefixes, ancestry, distances, changed paths. Histories of any depth: answers come
     from an index of chains, which is built once. changes: (commit, path) of what each commit touched; trees, if given:
     (commit, path, oid), so that a path that was changed and changed back is unchanged."""
 
@@ -120,38 +120,38 @@ class History:
         one = self.parents.sparkSession.createDataFrame([(older, newer)], "older string, newer string")
         return one.select(F.col("older").cast(kind).alias("older"), F.col("newer").cast(kind).alias("newer"))
 
-    def _places(self, pairs: DataFrame, side: str) -> DataFrame:
-        return reachability.ancestor_places(self.parents, self.index, pairs.select(F.col(side).alias("start")))
-
-    def _ranges(self, pairs: DataFrame) -> DataFrame:
-        return reachability.ranges(pairs, self._places(pairs, "newer"), self._places(pairs, "older"))
+    def places(self, pairs: DataFrame) -> DataFrame:
+        """How far each chain is reached from either side of the pairs."""
+        starts = pairs.select(F.col("older").alias("start")).union(pairs.select("newer"))
+        return reachability.ancestor_places(self.parents, self.index, starts)
 
     def ancestors(self, commit: str) -> DataFrame:
         """(node): the commit and all its ancestors."""
-        far = self._places(self._pairs(commit, commit), "newer").select("chain", F.col("place").alias("_far"))
+        far = self.places(self._pairs(commit, commit)).select("chain", F.col("place").alias("_far"))
         return self.index.join(far, "chain").filter("place <= _far").select(F.col("commit").alias("node"))
 
-    def facts(self, pairs: DataFrame) -> DataFrame:
+    def facts(self, pairs: DataFrame, places: DataFrame | None = None) -> DataFrame:
         """(older, newer, ancestor, distance): whether older is newer or an ancestor of it, and how many commits newer has that
         older has not; null where a commit is unknown."""
-        far = self._places(pairs, "newer")
+        far = self.places(pairs) if places is None else places
         at = self.index.select(F.col("commit").alias("older"), "chain", "place")
         found = pairs.select("older", "newer").distinct().join(at, "older", "left")
         known = self.index.select(F.col("commit").alias("newer"), F.lit(True).alias("_known"))
         found = found.join(far.select(F.col("start").alias("newer"), "chain", F.col("place").alias("_far")), ["newer", "chain"], "left").join(known, "newer", "left")
         sure = F.col("place").isNotNull() & F.col("_known").isNotNull()
-        gained = reachability.ranges(pairs, far, self._places(pairs, "older")).groupBy("older", "newer").agg(F.sum(F.col("high") - F.col("low")).alias("_n"))
+        gained = reachability.ranges(pairs, far, far).groupBy("older", "newer").agg(F.sum(F.col("high") - F.col("low")).alias("_n"))
         answer = F.when(sure, F.coalesce(F.col("place") <= F.col("_far"), F.lit(False)))
         return found.join(gained, ["older", "newer"], "left").select("older", "newer", answer.alias("ancestor"), F.when(sure, F.coalesce("_n", F.lit(0).cast("long"))).alias("distance"))
 
-    def changes_between(self, pairs: DataFrame) -> DataFrame:
+    def changes_between(self, pairs: DataFrame, places: DataFrame | None = None) -> DataFrame:
         """(older, newer, path): paths that differ between the trees of both, or without trees those that commits of newer, but not of
         older, touched."""
         if self.trees is not None:
             side = lambda name: pairs.select("older", "newer").distinct().join(self.trees.select(F.col("commit").alias(name), "path", F.col("oid").alias(name + "_oid")), name)
             both = side("older").join(side("newer"), ["older", "newer", "path"], "full_outer")
             return both.filter(~F.col("older_oid").eqNullSafe(F.col("newer_oid"))).select("older", "newer", "path")
-        inside = self._ranges(pairs).join(self.index, "chain").filter("place > low and place <= high").select("older", "newer", "commit")
+        far = self.places(pairs) if places is None else places
+        inside = reachability.ranges(pairs, far, far).join(self.index, "chain").filter("place > low and place <= high").select("older", "newer", "commit")
         return inside.join(self.changes, "commit").select("older", "newer", "path").distinct()
 
     def is_ancestor(self, old: str, new: str) -> bool:
@@ -170,8 +170,10 @@ class History:
         rows = _cut(records.select("id", F.col("revision").alias("older"), "path", at.alias("newer")))
         outside = F.col("path").startswith("@")
         whole = rows.groupBy("id", "older", "newer").agg(F.count("path").alias("_paths"), F.coalesce(F.bool_or(outside), F.lit(False)).alias("_outside"))
-        facts = self.facts(rows.select("older", "newer"))
-        touched = self.changes_between(rows.select("older", "newer")).select("older", "newer", F.explode(ancestors(F.col("path"))).alias("path")).distinct()
+        pairs = rows.select("older", "newer").distinct()
+        places = self.places(pairs)
+        facts = self.facts(pairs, places)
+        touched = self.changes_between(pairs, places).select("older", "newer", F.explode(ancestors(F.col("path"))).alias("path")).distinct()
         asked = rows.withColumn("_linked", F.col("path")).withColumn("path", F.regexp_replace("path", "/$", ""))
         hit = asked.join(touched, ["older", "newer", "path"]).groupBy("id", "older", "newer").agg(F.array_sort(F.collect_set("_linked")).alias("changed"))
         got = whole.join(facts, ["older", "newer"], "left").join(hit, ["id", "older", "newer"], "left")
