@@ -6,8 +6,9 @@ classifier does on training rows of that language, and the codeword with the lea
 the best two marks the text as ambiguous.
 
 The classifiers are fitted on a bounded sample of labelled rows: of every language the ``per_lang`` rows with the smallest
-hash of doc_id whose text has at most ``largest`` bytes; with very many languages fewer of each, so that they are about
-``rows`` in all. Prediction reads text alone, whole.
+hash of doc_id and text, of a long text the first ``largest`` bytes; with very many languages fewer of each, so that they are
+about ``rows`` in all. Every language that has a labelled text is learned, whatever its ids and the length of its texts. Prediction
+reads text alone, whole.
 
 Corners: a null text and a text without a letter give ``und`` with score 0; with no labelled row every text does; one
 language only gives that language; a null lang is no label; ties of codewords go to the smaller name; repeated rows
@@ -141,22 +142,20 @@ def fit(rows: list[tuple[str, bytes]], epochs: int = 12, rate: float = 0.5, deca
 
 def sample(docs: DataFrame, train, per_lang: int, rows: int, largest: int) -> list[tuple[str, bytes]]:
     """The bounded sample of labelled rows: of every language those with the least hash, ``per_lang`` at most, fewer if
-    there are so many languages that they would pass ``rows`` in all (eight at least). Rows are ranked before texts move."""
-    own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), utf8("text").alias("text")).filter(F.col("lang").isNotNull() & train)
-    own = own.filter((F.octet_length("text") > 0) & (F.octet_length("text") <= largest))
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    there are so many languages that they would pass ``rows`` in all (eight at least). Two scans: the first counts, the
+    second moves a few times the sample."""
+    own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), utf8("text").alias("text")).filter(F.col("lang").isNotNull() & train & (F.octet_length("text") > 0))
+    own = own.select("lang", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("mix"), F.substring("text", 1, largest).alias("text"))
+    counts = own.groupBy("lang").agg(F.approx_count_distinct("mix", 0.02).alias("n")).collect()
     if not counts:
         return []
     few = min(per_lang, max(8, rows // len(counts)))
-    # a hashed share of each language, four times what is wanted, so that no language's rows meet in one task
-    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 4 * few / r.n) * (1 << 30))) for r in counts], "lang string, share long")
-    mix = F.xxhash64("doc_id", F.lit(17))
-    order = Window.partitionBy("lang").orderBy("mix", "doc_id")
-    some = own.select("lang", "doc_id", mix.alias("mix")).join(F.broadcast(shares), "lang").filter(F.pmod("mix", F.lit(1 << 30)) < F.col("share"))
-    ids = some.select("lang", "doc_id", "mix").distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= few).select("lang", "doc_id")
-    # both sides that are broadcast have a bound: one row a language, and ``rows`` ids (or eight a language)
-    got = own.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
-    return [(r.lang, bytes(r.text)) for r in got.orderBy("doc_id", "lang").collect()]
+    # a hashed share of each language, four times what is wanted, so that no language's rows meet in one task; one row a language
+    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 4 * few / max(1, r.n)) * (1 << 30))) for r in counts], "lang string, share long")
+    some = own.join(F.broadcast(shares), "lang").filter(F.pmod("mix", F.lit(1 << 30)) < F.col("share")).groupBy("lang", "mix").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("mix")
+    got = some.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= few).select("lang", "mix", "text").collect()
+    return [(r.lang, bytes(r.text)) for r in sorted(got, key=lambda r: (r.mix, r.lang))]
 
 
 def label(model: Model | None, texts: Iterable[bytes]) -> tuple[list[str], list[float], list[float]]:

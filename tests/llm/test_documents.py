@@ -1,6 +1,7 @@
 """Operators over documents against brute force, on tables with every corner."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -285,6 +286,24 @@ def test_langid_without_labels(spark):
     assert {r.lang_pred for r in langid.identify(frame(spark, one)).collect()} == {"en"}
 
 
+def test_langid_learns_every_language(spark):
+    """Rows without an id, rows of one id, long texts only, one row many times: each language is learned."""
+    rng = random.Random(9)
+    alphabet = {"aa": "abcde", "bb": "vwxyz", "cc": "klmno", "dd": "fghij", "ee": "pqrst"}
+    make = lambda lang, n=30: words(rng, n, alphabet[lang])
+    row = lambda i, text, lang: (i, text, lang, "s", 1, "x", 1, "y", 0)
+    hot, (one, other) = make("ee"), [i for i in range(7000, 7100) if not fold(i, 4)][:2]
+    rows = [row(i, make("aa"), "aa") for i in range(60)] + [row(None, make("bb"), "bb") for _ in range(30)] + [row(one, make("cc"), "cc") for _ in range(30)]
+    rows += [row(8000 + i, make("dd", 20_000), "dd") for i in range(16)] + [row(other, hot, "ee")] * 300
+    rows += [row(20_000 + k, make(lang), None) for k, lang in enumerate(alphabet)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(frame(spark, rows)).filter("doc_id >= 20000").collect()}
+    assert got == {20_000 + k: lang for k, lang in enumerate(alphabet)}
+    model = langid.learned(frame(spark, rows), langid.held_out("doc_id", 4), per_lang=5, largest=64)
+    assert model.langs == sorted(alphabet)
+    sample = langid.sample(frame(spark, rows), langid.F.lit(True), 5, 20_000, 64)
+    assert {lang: sum(x == lang for x, _ in sample) for lang in alphabet} == {"aa": 5, "bb": 5, "cc": 5, "dd": 5, "ee": 1} and all(len(t) <= 64 for _, t in sample)
+
+
 def test_codewords_differ():
     for k in (2, 3, 4, 7, 20):
         code = langid.codewords(k).astype(int)
