@@ -72,7 +72,10 @@ TOKENS = {
 TAGS = {t: k for k, names in enumerate(GROUPS.values()) for t in names}
 PLAIN = TAGS["div"]
 _TOKEN = {w: k for k, words in enumerate(TOKENS.values()) for w in words.split()}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_ENDS = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
+_DIGITS = re.compile(r"&#0*([1-9][0-9]{7,});?")
 _NAMED = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARKS = re.compile(r"[.,;:!?。，、]")
@@ -80,6 +83,61 @@ _MARKS = re.compile(r"[.,;:!?。，、]")
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
+class Tags:
+    """Tags and comments of a page, in order. A tag ends at the first > outside of quotes; where quotes never close it ends at
+    the first > of all; without any > it is text. What was found once not to close is remembered, so a page is
+    read in time that grows with its length, however it is broken."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.quotes = {q: source.rfind(q) for q in "\"'"}
+        self.open: set[int] = set()  # quotes that lead to no end of a tag
+
+    def _end(self, at: int) -> int | None:
+        """The first > outside of quotes from ``at``."""
+        seen = []
+        while True:
+            m = _STOP.search(self.source, at)
+            if m and m[0] == ">":
+                return m.start()
+            if not m or m.start() in self.open or m.start() >= self.quotes[m[0]]:
+                self.open.update(seen)
+                if m:
+                    self.open.add(m.start())
+                return None
+            seen.append(m.start())
+            at = self.source.index(m[0], m.end()) + 1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it closes, lower-case name (empty of comments) and attributes of the first tag from ``at``."""
+        s = self.source
+        while (at := s.find("<", at)) >= 0:
+            if s.startswith("<!--", at):
+                end = s.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(s), False, "", ""
+            if at > self.last:
+                at = s.find("<!--", at)
+                if at < 0:
+                    return None
+                continue
+            closing = s.startswith("/", at + 1)
+            m = _NAME.match(s, at + 1 + closing)
+            if m:
+                end = self._end(m.end())
+                if end is None:
+                    end = s.index(">", m.end())
+                return at, end + 1, closing, m[0].lower(), s[m.end() : end]
+            if s[at + 1 : at + 2] in ("!", "?"):
+                return at, s.index(">", at) + 1, False, "", ""
+            at += 1
+        return None
+
+
+def decoded(text: str) -> str:
+    """Character references become characters; numbers beyond all characters become U+FFFD, however long."""
+    return entities.unescape(_DIGITS.sub("\ufffd", text))
+
+
 def flags(attributes: str) -> int:
     """Bits of TOKENS that class, id and role hold."""
     out = 0
@@ -100,17 +158,18 @@ class Page:
         self.parent, self.tag, self.flags, self.leaf, self.depth = [-1], [TAGS["body"]], [0], [False], [0]
         self.text, self.words, self.marks, self.linked = [""], [0], [0], [0]
         stack: list[tuple[int, str]] = [(0, "body")]
-        open_tags: dict[str, int] = {"body": 1}
+        places: dict[str, list[int]] = {"body": [0]}  # of open elements in the stack
         buffer: list[str] = []
         linked = links = 0
         silent: list[str] = []  # open elements that give no text
+        names: Counter[str] = Counter()  # the same, counted
         inner: Counter[str] = Counter()  # blocks that were opened in them
-        at, n = 0, len(source)
+        at, n, tags = 0, len(source), Tags(source)
 
         def flush():
             nonlocal linked
             if buffer:
-                text = " ".join(entities.unescape("".join(buffer)).split())
+                text = " ".join(decoded("".join(buffer)).split())
                 buffer.clear()
                 if text:
                     self._add(stack[-1][0], self.tag[stack[-1][0]], self.flags[stack[-1][0]], text, linked)
@@ -118,31 +177,38 @@ class Page:
 
         def pop():
             _, name = stack.pop()
-            open_tags[name] -= 1
+            places[name].pop()
+
+        def top(some: set[str]) -> int:
+            return max((places[t][-1] for t in some if places.get(t)), default=-1)
 
         while at < n:
-            m = _TAG.search(source, at)
-            stop = m.start() if m else n
+            found = tags.next(at)
+            stop = found[0] if found else n
             if stop > at and not silent:
                 buffer.append(source[at:stop])
                 if links:
                     linked += stop - at
-            if not m:
+            if not found:
                 break
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
+            _, at, closing, name, attributes = found
             if not name:
                 continue
-            closing, attributes = m[1] or m[4], m[3] or m[6] or ""
             if name in SILENT:
                 if name in RAW and not closing:
-                    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                    at = end.end() if end else n
+                    m = _ENDS[name].search(source, at)
+                    end = source.find(">", m.end()) if m else -1
+                    at = end + 1 if end >= 0 else n
                 elif closing:
-                    if name in silent:
-                        del silent[len(silent) - 1 - silent[::-1].index(name) :]
+                    if names[name]:
+                        while names[name]:
+                            last = silent.pop()
+                            names[last] -= 1
+                            if last == name:
+                                break
                 elif not attributes.endswith("/"):
                     silent.append(name)
+                    names[name] += 1
                 if not silent:
                     inner.clear()
                 continue
@@ -151,8 +217,9 @@ class Page:
                     inner[name] -= 1
                     continue
                 # the end of a block around them, or a page's body, closes what was never closed; so does any block a head
-                if name == "body" or (closing and open_tags.get(name)) or (not closing and set(silent) == {"head"}):
+                if name == "body" or (closing and places.get(name)) or (not closing and names["head"] == len(silent)):
                     silent.clear()
+                    names.clear()
                     inner.clear()
                 elif not closing:
                     inner[name] += 1
@@ -170,7 +237,7 @@ class Page:
             if name in ("html", "body"):
                 continue
             if closing:
-                if open_tags.get(name):
+                if places.get(name):
                     while stack[-1][1] != name:
                         pop()
                     pop()
@@ -179,18 +246,15 @@ class Page:
                 pop()
             if name in CLOSES:
                 like, walls = CLOSES[name]
-                if any(open_tags.get(t) for t in like):
-                    k = len(stack) - 1
-                    while k > 0 and stack[k][1] not in walls and stack[k][1] not in like:
-                        k -= 1
-                    if stack[k][1] in like:
-                        while len(stack) > k:
-                            pop()
+                k = top(like)
+                if k > top(walls):
+                    while len(stack) > k:
+                        pop()
             if plain and name in ("article", "main", "section", "nav", "aside", "header", "footer"):
                 group = PLAIN
             self._add(stack[-1][0], group, flags(attributes))
+            places.setdefault(name, []).append(len(stack))
             stack.append((len(self.parent) - 1, name))
-            open_tags[name] = open_tags.get(name, 0) + 1
         flush()
 
     def _add(self, parent: int, tag: int, bits: int, text: str | None = None, linked: int = 0) -> None:
@@ -271,7 +335,9 @@ def decode(odds: np.ndarray, parent: np.ndarray) -> np.ndarray:
 def extract(model: Boosted, sources: list[str]) -> list[str]:
     pages = [Page(s) for s in sources]
     x, parent, _ = features(pages)
-    kept = decode(model.log_odds(x), parent)
+    step = 1 << 16  # nodes at a time: bounds memory for any page
+    odds = [model.log_odds(x[lo : lo + step]) for lo in range(0, len(x), step)]
+    kept = decode(np.concatenate(odds) if odds else np.zeros(0), parent)
     out, at = [], 0
     for p in pages:
         n = len(p.parent)

@@ -270,6 +270,63 @@ def test_pipeline_corners(spark, tmp_path):
         assert stage(spark, none, str(tmp_path)).count() == 0
 
 
+def test_broken_pages_are_read_in_linear_time():
+    """Tags, quotes, comments and elements that never close, in pages of 3 MB."""
+    import time
+
+    for part in ("<a b='", "<a ", "<a<a", '<a ">" ', "</script ", "<script></script ", "<!--", "<svg><div>", "<p id=\"a' ", "&#99999", "<dt><dl>"):
+        start = time.perf_counter()
+        mainpage.Page(part * (3_000_000 // len(part)))
+        assert time.perf_counter() - start < 30, part
+    mainpage.Page("<dt><dl>" + "<div>" * 200_000 + "<dt></dt>" * 150_000)
+    assert mainpage.Page("<p>&#" + "9" * 100_000 + ";&#0000000000065;").text[-1] == "\ufffdA"
+
+
+def test_tags_end_where_they_end():
+    tags = mainpage.Tags("a < b <p x='>' y=\">\">t</P ><!-- <i> --><b c=\"<br>d<!x><3 >")
+    at, got = 0, []
+    while found := tags.next(at):
+        at = found[1]
+        got.append(found[2:])
+    assert got == [(False, "p", " x='>' y=\">\""), (True, "p", " "), (False, "", ""), (False, "b", ' c="<br'), (False, "", "")]
+
+
+#: Pages of layouts that the maker of training pages does not know; lines of main text begin with +.
+LAYOUTS = [
+    """<html><body><div id="top-bar"><a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport</a></div>
+    <div class="columns"><div class="left-rail"><h4>Most read</h4><ol><li><a href="1">First of all</a></li><li><a href="2">Second one</a></li></ol></div>
+    <div class="center"><h1>+A long road to the river</h1><p>+The river rose in the night, and by the morning the lower fields were under water, as they had been twice before.</p>
+    <p>+People who live near the bridge said that they had moved their animals to the hill in time; others were less lucky.</p>
+    <p>+The council will meet on Monday to decide, once more, about the wall that was planned forty years ago.</p></div></div>
+    <div id="footer">Copyright 2020. All rights reserved. <a href="/p">Privacy</a> <a href="/t">Terms</a></div></body></html>""",
+    """<body><header><nav><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></nav></header><main><article><h2>+Bread without kneading</h2>
+    <p>+Mix the flour, the salt and the yeast; add the water, and stir until no dry flour is left in the bowl.</p><ul><li>+Four cups of flour, sifted</li><li>+Two cups of water, warm</li></ul>
+    <p>+Let it rest until the next day, then bake it in a hot pot for half an hour, and longer without the lid.</p></article>
+    <section class="comments"><h3>Comments</h3><div class="comment">Ann: I tried this with rye, and it was very good, thank you!</div></section></main>
+    <aside><p>Subscribe to our letter</p><form><input name=e><button>Send</button></form></aside><footer><p>Imprint</p></footer></body>""",
+    """<table width=100%><tr><td><a href=x>Index</a> | <a href=y>Archive</a> | <a href=z>About</a></td></tr></table>
+    <div class="post-body"><p>+In the old days the mail came twice a week, on a cart, and everybody knew the driver by his name.</p><blockquote>+He never was late, not even in the winter of the great snow.</blockquote>
+    <p>+When the railway was opened, he sold the horses, and began to grow apples behind the station.</p></div><div class="advertisement">Buy cheap apples now! <a href=q>Here</a></div><div class="cookie-consent">We use cookies. <button>Fine</button></div>""",
+]
+
+
+def test_main_text_of_layouts_written_by_hand(spark):
+    """Most blocks of pages that no maker made: at least nine in ten are judged right."""
+    import re
+
+    blocks = [re.findall(r">([^<>]*[^<>\s][^<>]*)<", p.replace("\n", " ")) for p in LAYOUTS]
+    table = spark.createDataFrame([(k, None, p.replace("+", "")) for k, p in enumerate(LAYOUTS)], "page_id long, url string, html string")
+    got = {r.page_id: set(r.text.split("\n")) for r in mainpage.main_text(table).collect()}
+    good = total = 0
+    for k, own in enumerate(blocks):
+        text = " ".join(got[k])
+        for b in own:
+            b = " ".join(b.split())
+            main, total = b.startswith("+"), total + 1
+            good += (b.lstrip("+") in text) == main
+    assert good >= 0.9 * total, (good, total)
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
