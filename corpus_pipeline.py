@@ -27,19 +27,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked at 0.8 over shingles of five words, one row stays: that with the least doc_id, null
     last, of equal ids that with the least hash. A row is known by a hash of its doc_id and text, so rows that share an
-    id, or have none, are decided apart; rows equal in both are one."""
-    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+    id, or have none, are decided apart; rows equal in both are one. Where a second hash tells rows of one hash apart, none of
+    them is removed."""
+    named = (F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+    row, check = F.xxhash64(*named), F.xxhash64(F.lit("check"), *named)
     # the columns of docs travel as one, so that none of their names can meet one of ours
-    own = docs.select(F.struct("*").alias("_own"), row.alias("_row"))
+    own = docs.select(F.struct("*").alias("_own"), row.alias("_row"), check.alias("_check"))
     found = keep(jaccard.classes(own.select(F.col("_row").alias("doc_id"), F.col("_own.text").alias("text")), width=5, percent=80), "near-classes")
     rows = found.select(F.col("doc_id").alias("_row"), "component_id", "n_shingles").distinct()
-    ids = own.select("_row", F.col("_own.doc_id").cast("long").alias("doc_id")).distinct()
+    ids = own.groupBy("_row").agg(F.min(F.col("_own.doc_id").cast("long")).alias("doc_id"), (F.min("_check") == F.max("_check")).alias("_sure"))
+    ids = keep(ids, "near-ids")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).getField("_row")
     stays = rows.join(ids, "_row").groupBy("component_id").agg(first.alias("_row")).select("_row")
-    gone = keep(rows.select("_row").join(stays, "_row", "left_anti"), "near-gone")
+    sure = ids.filter("_sure").select("_row")
+    gone = keep(rows.select("_row").join(stays, "_row", "left_anti").join(sure, "_row", "left_semi"), "near-gone")
     kept = own.join(gone, "_row", "left_anti")
     # of rows with words that agree in id and text one stays; only those are moved
-    again = keep(found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_again")).count().filter("count > 1").select("_again"), "near-again")
+    again = keep(found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_again")).count().filter("count > 1").join(sure.withColumnRenamed("_row", "_again"), "_again", "left_semi").select("_again"), "near-again")
     if again.isEmpty():
         return kept.select("_own.*")
     like = F.col("_row") == F.col("_again")
