@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import sweep
 from .joins import ancestors
 from .sequence import numbered
 
@@ -35,11 +36,10 @@ def line_states(units: DataFrame, keys: Sequence[str]) -> DataFrame:
     return units.filter(~F.col("blank")).groupBy(*keys).agg(F.bool_or("ran").alias("ran"))
 
 
-def innermost(points: DataFrame, bodies: DataFrame, keys: Sequence[str], low: str, high: str, point: Sequence[str]) -> DataFrame:
-    """The narrowest body (open, close) strictly around [low, high]; an insertion (low > high) may lie on its edges."""
-    inside = ((F.col("open") < F.col(low)) & (F.col(high) < F.col("close"))) | ((F.col(low) > F.col(high)) & (F.col("open") <= F.col(low)) & (F.col(high) <= F.col("close")))
-    best = Window.partitionBy(*point).orderBy(F.col("close") - F.col("open"), F.desc("open"))
-    return points.join(bodies, list(keys)).filter(inside).withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+def innermost(points: DataFrame, bodies: DataFrame, keys: Sequence[str], low: str, high: str) -> DataFrame:
+    """Points with the narrowest body (open, close) strictly around [low, high]; the lines high and low beside an insertion (low = high + 1)
+    may be its edges."""
+    return points.join(sweep.around(points, bodies, keys, low, high), [*keys, low, high])
 
 
 def line_tests(changed: DataFrame, lines: DataFrame, body_tests: DataFrame, body: str, line: str) -> DataFrame:

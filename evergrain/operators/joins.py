@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sweep
+
 
 def change_status(base: DataFrame, head: DataFrame, key: str, mode: str, digest: str) -> DataFrame:
     """added, deleted, type-changed, modified, unchanged or unknown for every key of either side."""
@@ -48,9 +50,11 @@ def match_state(matches: Column) -> Column:
     return F.when(matches == 0, "missing").when(matches == 1, "associated").otherwise("ambiguous")
 
 
-def containing(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str) -> DataFrame:
-    """Points inside closed spans, joined on keys; the range is a residual of a hash or merge join."""
-    return points.join(spans, list(keys)).filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
+def containing(points: DataFrame, spans: DataFrame, keys: Sequence[str], low: str, high: str, start: str, end: str) -> DataFrame:
+    """Points (low to high, one column for both is a place) inside closed spans, once for each span around them."""
+    ask = points.withColumn("_to", F.col(high))
+    wide = spans.withColumn("open", F.col(start).cast("long") - 1).withColumn("close", F.col(end).cast("long") + 1)
+    return ask.join(sweep.around(ask, wide, keys, low, "_to", every=True), [*keys, low, "_to"]).drop("_to", "open", "close")
 
 
 def overlapping(a: DataFrame, b: DataFrame, width: int, start: str, end: str, prefix: str = "o_") -> DataFrame:

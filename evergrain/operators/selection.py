@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import reachability
+from . import reachability, sweep
 from .graph import _cut
 
 
@@ -195,20 +195,23 @@ def observed_bindings(changed: DataFrame, bindings: DataFrame, file: str, names:
 def hunk_tests(hunks: DataFrame, methods: DataFrame, lines: DataFrame, file: str) -> DataFrame:
     """file, hunk, state, tests: the tests of the executable lines of the innermost method around each hunk (start, end);
     an insertion (end < start) may touch the method's edges; outside of every method the hunk falls back."""
-    inside = ((F.col("open") < F.col("start")) & (F.col("end") < F.col("close"))) | ((F.col("end") < F.col("start")) & (F.col("open") <= F.col("end")) & (F.col("start") <= F.col("close")))
-    best = Window.partitionBy(file, "hunk").orderBy(F.col("close") - F.col("open"), F.desc("open"))
-    method = hunks.join(methods, file).filter(inside).withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(file, "hunk", "open", "close")
-    tests = method.join(lines, file).filter((F.col("line") > F.col("open")) & (F.col("line") < F.col("close"))).groupBy(file, "hunk").agg(F.array_sort(F.collect_set("test")).alias("tests"))
+    at = [file, "open", "close"]
+    method = hunks.select(file, "hunk", "start", "end").join(sweep.around(hunks, methods.select(*at), [file], "start", "end"), [file, "start", "end"]).select(file, "hunk", "open", "close")
+    # a line's tests go to every chosen method around it, however many hunks chose that
+    ran = lines.select(file, "line", F.col("line").alias("_to"), "test").distinct()
+    inside = ran.join(sweep.around(ran, method.select(*at).distinct(), [file], "line", "_to", every=True), [file, "line", "_to"])
+    tests = method.join(inside.groupBy(*at).agg(F.array_sort(F.collect_set("test")).alias("tests")), at).select(file, "hunk", "tests")
     all_ = hunks.select(file, "hunk").join(method.select(file, "hunk", F.lit(1).alias("_m")), [file, "hunk"], "left").join(tests, [file, "hunk"], "left")
     state = F.when(F.col("_m").isNull(), "outside a method").when(F.col("tests").isNull(), "no executed line").otherwise("selected")
     return all_.select(file, "hunk", state.alias("state"), F.coalesce(F.array_join("tests", ","), F.lit("")).alias("tests"))
 
 
-def with_fallback(selected: DataFrame, state: str, good: str, tests: str) -> DataFrame:
-    """One row: whole, reason, tests: one change that can't be placed makes the whole selection fall back, by its first reason."""
+def with_fallback(selected: DataFrame, state: str, good: str, tests: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, whole, reason, tests: one part of a change that can't be placed makes its whole selection fall back, by its first
+    reason. by: columns that name a change; none: all rows are one."""
     bad = F.min(F.when(F.col(state) != good, F.col(state)))
     every = F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_set(F.split(tests, ","))), lambda t: t != "")))
-    return selected.agg(bad.isNotNull().alias("whole"), bad.alias("reason"), F.when(bad.isNull(), F.array_join(every, ",")).alias("tests"))
+    return selected.groupBy(*by).agg(bad.isNotNull().alias("whole"), bad.alias("reason"), F.when(bad.isNull(), F.array_join(every, ",")).alias("tests"))
 
 
 def tests_of_files(blocks: DataFrame, file: str, tests: str, order: DataFrame, test: str) -> DataFrame:

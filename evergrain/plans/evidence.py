@@ -457,16 +457,16 @@ def attempt_sums(spark, d):
 
 
 @query("""
-    WITH b AS (SELECT l_suppkey AS f, l_partkey AS open, l_partkey + 2 + CAST(l_quantity AS BIGINT) AS close FROM lineitem WHERE l_linenumber = 1), q AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS lo FROM lineitem WHERE l_linenumber = 2),
-    h AS (SELECT q.f, lo, open, close, row_number() OVER (PARTITION BY q.f, lo ORDER BY close - open, open DESC) AS k FROM q JOIN b ON q.f = b.f AND (lo % 2 = 0 AND open < lo AND lo < close OR lo % 2 = 1 AND open <= lo AND lo - 1 <= close))
+    WITH b AS (SELECT l_suppkey AS f, l_partkey AS open, l_partkey + 2 + CAST(l_quantity AS BIGINT) AS close FROM lineitem), q AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS lo FROM lineitem),
+    h AS (SELECT q.f, lo, open, close, row_number() OVER (PARTITION BY q.f, lo ORDER BY close - open, open DESC) AS k FROM q JOIN b ON q.f = b.f AND (lo % 2 = 0 AND open < lo AND lo < close OR lo % 2 = 1 AND open <= lo - 1 AND lo <= close))
     SELECT DISTINCT f, lo, open, close FROM h WHERE k = 1
 """)
 def innermost_bodies(spark, d):
     li = table(spark, d, "lineitem")
-    bodies = li.filter("l_linenumber = 1").select(F.col("l_suppkey").alias("f"), F.col("l_partkey").alias("open"), (F.col("l_partkey") + 2 + F.col("l_quantity").cast("long")).alias("close"))
+    bodies = li.select(F.col("l_suppkey").alias("f"), F.col("l_partkey").alias("open"), (F.col("l_partkey") + 2 + F.col("l_quantity").cast("long")).alias("close"))
     # an odd place is an insertion: its high end lies before its low one
-    points = li.filter("l_linenumber = 2").select(F.col("l_suppkey").alias("f"), F.col("l_partkey").alias("lo")).distinct().withColumn("hi", F.col("lo") - F.col("lo") % 2)
-    return evidence.innermost(points, bodies, ["f"], "lo", "hi", ["f", "lo"]).select("f", "lo", "open", "close")
+    points = li.select(F.col("l_suppkey").alias("f"), F.col("l_partkey").alias("lo")).distinct().withColumn("hi", F.col("lo") - F.col("lo") % 2)
+    return evidence.innermost(points, bodies, ["f"], "lo", "hi").select("f", "lo", "open", "close")
 
 
 @query("""
@@ -480,8 +480,8 @@ def line_test_widening(spark, d):
 
 
 _HUNKS = """
-    m AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS open, l_partkey + 40 AS close FROM lineitem WHERE l_linenumber = 1), h AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS hunk, l_partkey AS lo, l_partkey + l_partkey % 3 - 1 AS hi FROM lineitem WHERE l_linenumber = 2),
-    l AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS line, 't' || l_orderkey % 50 AS test FROM lineitem WHERE l_linenumber = 3),
+    m AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS open, l_partkey + 9 + l_orderkey % 32 AS close FROM lineitem), h AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS hunk, l_partkey AS lo, l_partkey + l_partkey % 3 - 1 AS hi FROM lineitem),
+    l AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS line, 't' || l_orderkey % 50 AS test FROM lineitem WHERE l_quantity > 5),
     w AS (SELECT h.file, hunk, open, close, row_number() OVER (PARTITION BY h.file, hunk ORDER BY close - open, open DESC) AS k FROM h JOIN m ON h.file = m.file AND (open < lo AND hi < close OR hi < lo AND open <= hi AND lo <= close)),
     t AS (SELECT w.file, hunk, list_sort(list_distinct(list(test))) AS tests FROM w JOIN l ON l.file = w.file AND line > open AND line < close WHERE k = 1 GROUP BY w.file, hunk),
     r AS (SELECT h.file, h.hunk, CASE WHEN w.open IS NULL THEN 'outside a method' WHEN t.tests IS NULL THEN 'no executed line' ELSE 'selected' END AS state, coalesce(array_to_string(t.tests, ','), '') AS tests
@@ -490,10 +490,10 @@ _HUNKS = """
 
 
 def _hunk_tests(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), "l_partkey", "l_orderkey", "l_linenumber")
-    methods = li.filter("l_linenumber = 1").select("file", F.col("l_partkey").alias("open"), (F.col("l_partkey") + 40).alias("close")).distinct()
-    hunks = li.filter("l_linenumber = 2").select("file", F.col("l_partkey").alias("hunk"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_partkey") % 3 - 1).alias("end")).distinct()
-    lines = li.filter("l_linenumber = 3").select("file", F.col("l_partkey").alias("line"), F.concat(F.lit("t"), (F.col("l_orderkey") % 50).cast("string")).alias("test")).distinct()
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), "l_partkey", "l_orderkey", "l_quantity")
+    methods = li.select("file", F.col("l_partkey").alias("open"), (F.col("l_partkey") + 9 + F.col("l_orderkey") % 32).alias("close")).distinct()
+    hunks = li.select("file", F.col("l_partkey").alias("hunk"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_partkey") % 3 - 1).alias("end")).distinct()
+    lines = li.filter("l_quantity > 5").select("file", F.col("l_partkey").alias("line"), F.concat(F.lit("t"), (F.col("l_orderkey") % 50).cast("string")).alias("test")).distinct()
     return selection.hunk_tests(hunks, methods, lines, "file")
 
 
@@ -503,16 +503,16 @@ def hunk_methods(spark, d):
 
 
 @query(f"""
-    WITH {_HUNKS} SELECT hunk % 7 AS change, min(CASE WHEN state = 'outside a method' AND hunk % 7 < 3 THEN state END) IS NOT NULL AS whole, min(CASE WHEN state = 'outside a method' AND hunk % 7 < 3 THEN state END) AS reason FROM r GROUP BY 1
+    WITH {_HUNKS}, s AS (SELECT hunk % 7 AS change, CASE WHEN hunk % 7 < 3 THEN state ELSE 'selected' END AS state, tests FROM r),
+    c AS (SELECT change, min(CASE WHEN state = 'outside a method' THEN state END) AS reason FROM s GROUP BY 1), u AS (SELECT DISTINCT change, unnest(string_split(tests, ',')) AS test FROM s),
+    a AS (SELECT change, coalesce(string_agg(test, ',' ORDER BY test) FILTER (WHERE test <> ''), '') AS tests FROM u GROUP BY change)
+    SELECT c.change, reason IS NOT NULL AS whole, reason, CASE WHEN reason IS NULL THEN sha256(tests) END AS tests FROM c JOIN a ON a.change = c.change
 """)
 def change_fallback(spark, d):
-    out = None
-    rows = graph._cut(_hunk_tests(spark, d))
-    for k in range(7):
-        own = rows.filter(F.col("hunk") % 7 == k).withColumn("s", F.when((F.col("state") == "outside a method") & F.lit(k < 3), F.col("state")).otherwise("selected"))
-        one = evidence_row = selection.with_fallback(own, "s", "selected", "tests").select(F.lit(k).cast("long").alias("change"), "whole", "reason")
-        out = one if out is None else out.unionByName(evidence_row)
-    return out
+    change = F.col("hunk") % 7
+    state = F.when((F.col("state") == "outside a method") & (change < 3), F.col("state")).otherwise("selected")
+    rows = _hunk_tests(spark, d).select(change.alias("change"), state.alias("state"), "tests")
+    return selection.with_fallback(rows, "state", "selected", "tests", ["change"]).withColumn("tests", F.sha2("tests", 256))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'A' || p_size % 2 || ',B' || p_size END AS ids FROM part")
@@ -576,7 +576,7 @@ def observed_bindings(spark, d):
 def docstring_containment(spark, d):
     u = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_partkey").alias("doc_start"), (F.col("l_partkey") + 30).alias("doc_end"))
     e = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("s"), (F.col("o_custkey") + 10).alias("t"))
-    hit = joins.containing(e, u, ["o_orderkey"], "s", "doc_start", "doc_end").filter("t <= doc_end")
+    hit = joins.containing(e, u, ["o_orderkey"], "s", "t", "doc_start", "doc_end")
     return hit.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("units"), F.min("l_linenumber").alias("first"))
 
 

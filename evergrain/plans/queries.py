@@ -214,7 +214,7 @@ def claim_association(spark, d):
 def blocks_at_line(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), micros("o_orderdate").alias("s")).withColumn("e", F.col("s") + 2592000000000)
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), micros("l_shipdate").alias("at"))
-    return joins.containing(li, o, ["k"], "at", "s", "e").groupBy(F.col("k").alias("l_orderkey")).agg(F.count(F.lit(1)).alias("inside"))
+    return joins.containing(li, o, ["k"], "at", "at", "s", "e").groupBy(F.col("k").alias("l_orderkey")).agg(F.count(F.lit(1)).alias("inside"))
 
 
 _SPANS = "SELECT o_orderkey AS k, o_custkey AS c, CAST(epoch_us(o_orderdate) // 86400000000 AS BIGINT) AS s, CAST(epoch_us(o_orderdate) // 86400000000 AS BIGINT) + CAST(o_orderkey % 40 AS BIGINT) AS e FROM orders"

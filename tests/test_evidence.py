@@ -40,7 +40,7 @@ def test_folds(spark):
 def test_joins(spark):
     bodies = spark.createDataFrame([("f", 1, 100), ("f", 10, 20)], "f string, open int, close int")
     points = spark.createDataFrame([("f", 12, 13), ("f", 10, 11), ("f", 20, 19)], "f string, lo int, hi int")
-    got = evidence.innermost(points, bodies, ["f"], "lo", "hi", ["f", "lo"]).collect()
+    got = evidence.innermost(points, bodies, ["f"], "lo", "hi").collect()
     assert {(r.lo, r.open) for r in got} == {(12, 10), (10, 1), (20, 10)}
     changed = spark.createDataFrame([("b", 1), ("c", 1), ("c", 2)], "body string, line int")
     lines = spark.createDataFrame([("b", 1, "t1"), ("c", 1, "t2")], "body string, line int, test string")
