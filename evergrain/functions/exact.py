@@ -84,23 +84,6 @@ def environment_digest(key: bytes):
     return digest
 
 
-_HUNK = T.StructType([T.StructField(n, T.IntegerType()) for n in ("old_start", "old_count", "new_start", "new_count")])
-
-
-@F.pandas_udf(T.ArrayType(_HUNK))
-def line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Hunks between two texts by lines; starts are 1-based."""
-    import difflib
-
-    def one(a, b):
-        if a is None or b is None:
-            return None
-        ops = difflib.SequenceMatcher(None, a.split("\n"), b.split("\n"), autojunk=False).get_opcodes()
-        return [{"old_start": i + 1, "old_count": j - i, "new_start": k + 1, "new_count": m - k} for kind, i, j, k, m in ops if kind != "equal"]
-
-    return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
-
-
 @F.pandas_udf(T.StringType())
 def apply_hunks(old: pd.Series, hunks: pd.Series) -> pd.Series:
     """The new text: hunks (old_start, lines taken, lines put) in ascending order on the lines of the old one; null where a hunk

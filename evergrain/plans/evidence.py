@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import digest, exact, lexers, predicates, text
+from ..functions import diff, digest, exact, lexers, predicates, text
 from ..operators import columnar, evidence, graph, intervals, joins, report, search, selection, sequence
 from ..sources import archives, formats
 from ..sources.tables import table
@@ -859,7 +859,7 @@ def patch_and_relocate(spark, d):
     first = F.get(lines, F.lit(0))
     hunk = F.array(F.struct(F.lit(1).alias("start"), F.array(first).alias("gone"), F.array(first).alias("new")), F.struct((F.size(lines) + 1).alias("start"), F.array().cast("array<string>").alias("gone"), F.array(F.lit("end")).alias("new"))).cast(exact.HUNKS)
     out = docs.select("doc_id", "text", exact.apply_hunks("text", hunk).alias("patched"))
-    out = out.withColumn("hunks", F.size(exact.line_diff(F.col("text"), F.col("patched"))))
+    out = out.withColumn("hunks", F.size(diff.line_diff(F.col("text"), F.col("patched"))))
     anchors = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("line"), F.lit(1).alias("width"), F.sha2(first, 256).alias("digest"))
     at = evidence.relocate(anchors, docs.select(F.col("doc_id").cast("string").alias("path"), "text")).select(F.col("id").alias("doc_id"), "state")
     return out.join(at, "doc_id").select("doc_id", "state", "patched", "hunks")

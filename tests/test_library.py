@@ -7,9 +7,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from evergrain.functions import digest, exact, text
+from evergrain.functions import diff, digest, exact, text
 from evergrain.operators import coverage, graph, intervals, joins, report, search, sequence
 from evergrain.plans import evidence as _evidence  # noqa: F401 registers its queries
+from evergrain.plans import graphs as _graphs  # noqa: F401 as well
+from evergrain.plans import texts as _texts  # noqa: F401 as well
 from evergrain.plans import queries as plans
 from evergrain.sources import formats
 from evergrain.streaming import events
@@ -69,8 +71,8 @@ def test_exact_functions(spark):
     assert got(exact.canonical_json, '{"a": 1.5}') is None and got(exact.canonical_json, '{"a": 1, "a": 2}') is None
     assert got(exact.repair_utf8, bytearray(b"a\xff\xc3b"), "binary") == "a��b"
     assert got(exact.decode_vlq, "AAgBC") == [0, 0, 16, 1] and got(exact.decode_vlq, "!") is None
-    h = spark.createDataFrame([("a\nb\nc", "a\nx\nc\nd")], "o string, n string").select(exact.line_diff("o", "n").alias("x")).first().x
-    assert [tuple(r) for r in h] == [(2, 1, 2, 1), (4, 0, 4, 1)]
+    h = spark.createDataFrame([("a\nb\nc", "a\nx\nc\nd")], "o string, n string").select(diff.line_diff(F.col("o"), F.col("n")).alias("x")).first().x
+    assert [tuple(r) for r in h] == [(2, 1, 2, 1, False), (4, 0, 4, 1, False)]
     with pytest.raises(ValueError):
         exact.environment_digest(b"short")
 
