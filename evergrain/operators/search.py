@@ -145,7 +145,8 @@ def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, rounds: int = 4
     each = pairs.select(key, (F.col(a) - F.col(b)).alias("d"))
 
     round_ = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    u = F.pmod(F.xxhash64(key, "round"), F.lit(1 << 30)) / float(1 << 30)
+    named = F.md5(F.concat(F.col(key).cast("string"), F.lit(":"), F.col("round").cast("string")).cast("binary"))
+    u = F.conv(F.substring(named, 1, 8), 16, 10).cast("long") / float(1 << 32)
     weight = sum((u >= c).cast("int") for c in cuts)
     means = each.withColumn("round", round_).groupBy("round").agg((F.sum(weight * F.col("d")) / F.sum(weight)).alias("m"))
     q = means.agg(F.round(F.percentile("m", F.lit(low)), 9).alias("low"), F.round(F.percentile("m", F.lit(high)), 9).alias("high"))

@@ -274,14 +274,17 @@ def query_intents(spark, d):
     return table(spark, d, "documents").select("doc_id", predicates.query_intent(words, ["the", "and", "of"], ["der", "und", "die"]).alias("intent"))
 
 
-@query("""
+@query(r"""
     SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: x LIKE '#%' OR contains(lower(x), 'status'))) AS lines, contains(lower(text), 'the') AS may_hold,
-        len(list_filter(list_distinct(regexp_extract_all(text, '[A-Z][A-Z0-9]*(?:-[A-Z][A-Z0-9]*)*-[0-9]+')), lambda x: TRUE)) >= 0 AS ids FROM documents
+        array_to_string(regexp_extract_all(concat(text, ' ', upper(source), '-', doc_id, ', A1-B2-', doc_id % 7, 'x Z-', doc_id % 5, '; lower-', doc_id, ' -X-', doc_id, ' QQ-', lang, '-1'), '\b[A-Z][A-Z0-9]*(?:-[A-Z][A-Z0-9]*)*-[0-9]+\b'), ',') AS ids FROM documents
 """)
 def cheap_conditions(spark, d):
     lines = F.filter(F.split("text", "\n"), lambda x: predicates.heading_or_status(x))
     may = text.holds_longest(F.col("text"), F.array(F.lit("of"), F.lit("the"), F.lit("and")))
-    return table(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"), may.alias("may_hold"), (F.size(text.requirement_ids(F.col("text"))) >= 0).alias("ids"))
+    n = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    key = F.col("doc_id")
+    named = F.concat(n(F.col("text")), F.lit(" "), n(F.upper("source")), F.lit("-"), n(key), F.lit(", A1-B2-"), n(key % 7), F.lit("x Z-"), n(key % 5), F.lit("; lower-"), n(key), F.lit(" -X-"), n(key), F.lit(" QQ-"), n(F.col("lang")), F.lit("-1"))
+    return table(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"), may.alias("may_hold"), F.array_join(text.requirement_ids(named), ",").alias("ids"))
 
 
 @query("""
@@ -387,14 +390,10 @@ def escapes_and_folds(spark, d):
 
 
 @query("""
-    SELECT doc_id, CASE WHEN strlen(text) <= 200 THEN text ELSE NULL END AS short, strlen(text) > 200 AS cut FROM documents
+    SELECT doc_id, CASE WHEN strlen(text) <= 200 THEN text ELSE left(text, CAST(list_max(list_filter(range(1, 198), lambda n: strlen(left(text, CAST(n AS BIGINT))) <= 197)) AS BIGINT)) || '...' END AS line FROM documents
 """)
 def bounded_lines(spark, d):
-    line = text.bounded_line(F.col("text"))
-    whole = F.octet_length("text") <= 200
-    # a cut line is a prefix and three dots, of 197 to 200 bytes
-    fits = line.endswith("...") & F.col("text").startswith(F.expr("substring(l, 1, length(l) - 3)")) & F.octet_length("l").between(197, 200)
-    return table(spark, d, "documents").select("doc_id", "text", line.alias("l")).select("doc_id", F.when(whole, F.col("l")).alias("short"), F.when(whole, F.lit(False)).otherwise(fits).alias("cut"))
+    return table(spark, d, "documents").select("doc_id", text.bounded_line(F.col("text")).alias("line"))
 
 
 @query("""
@@ -424,16 +423,28 @@ def lexer_masks(spark, d):
 # --- digests and measures
 
 
-@query("""
-    SELECT event_id, sha256('event' || chr(0) || event_type) AS domain, sha1('blob ' || length(event_type) || chr(0) || event_type) AS blob, CASE WHEN value BETWEEN 0 AND 86400 THEN CAST(round(value * 1000) AS BIGINT) END AS ms, value < 0 OR value > 86400 AS invalid, event_id % 5 <> 0 AS same_environment FROM events
+_PADS = ["".join(f"{(b ^ pad):02x}" for b in (b"k" * 16).ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+def _mac(message: str) -> str:
+    """HMAC-SHA256 of a blob in SQL, as a blob."""
+    return f"unhex(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || {message}))))"
+
+
+def _framed(parts: list[tuple[str, str]]) -> str:
+    return " || ".join(f"unhex('{len(name):016x}') || encode('{name}') || unhex('{32:016x}') || {_mac(f'encode({value})')}" for name, value in parts)
+
+
+@query(f"""
+    SELECT event_id, sha256('event' || chr(0) || event_type) AS domain, sha1('blob ' || length(event_type) || chr(0) || event_type) AS blob, CASE WHEN value BETWEEN 0 AND 86400 THEN CAST(round(value * 1000) AS BIGINT) END AS ms, value < 0 OR value > 86400 AS invalid,
+        lower(hex({_mac('(' + _framed([("A", "event_type"), ("B", "CASE WHEN event_id % 5 = 0 THEN '2' ELSE '1' END")]) + ')')})) AS environment FROM events
 """)
 def digests_and_durations(spark, d):
     e = table(spark, d, "events")
     ms, bad = digest.milliseconds(F.col("value"), 1000.0)
     hmac = exact.environment_digest(b"k" * 16)
-    env = lambda v: F.create_map(F.lit("A"), F.col("event_type"), F.lit("B"), v)
-    other = F.when(F.col("event_id") % 5 == 0, "2").otherwise("1")
-    return e.select("event_id", digest.domain_hash("event", F.col("event_type")).alias("domain"), digest.blob_id(F.col("event_type")).alias("blob"), ms.alias("ms"), bad.alias("invalid"), (hmac(env(F.lit("1"))) == hmac(env(other))).alias("same_environment"))
+    env = F.create_map(F.lit("B"), F.when(F.col("event_id") % 5 == 0, "2").otherwise("1"), F.lit("A"), F.col("event_type"))
+    return e.select("event_id", digest.domain_hash("event", F.col("event_type")).alias("domain"), digest.blob_id(F.col("event_type")).alias("blob"), ms.alias("ms"), bad.alias("invalid"), hmac(env).alias("environment"))
 
 
 @query("SELECT user_id, CAST(least(18446744073709551615, sum(CAST(event_id AS HUGEINT)) + CASE WHEN user_id % 2 = 0 THEN 18446744073709551615 ELSE 0 END) AS VARCHAR) AS total FROM events GROUP BY user_id")
@@ -444,13 +455,14 @@ def saturated_counts(spark, d):
 
 
 @query("""
-    SELECT user_id, CASE WHEN bool_or(value < 0) OR sum(CAST(value * 100 AS BIGINT)) > 86400000 THEN CASE WHEN bool_or(value < 0) THEN 'INVALID' WHEN bool_or(event_type = 'error') THEN 'NOT_MEASURED' ELSE 'INVALID' END WHEN bool_or(event_type = 'error') THEN 'NOT_MEASURED' ELSE 'MEASURED' END AS state,
-        CASE WHEN NOT bool_or(value < 0) AND NOT bool_or(event_type = 'error') AND sum(CAST(trunc(value * 100) AS BIGINT)) <= 86400000 THEN CAST(sum(CAST(trunc(value * 100) AS BIGINT)) AS BIGINT) END AS ms
-    FROM events WHERE event_id % 97 < 2 GROUP BY user_id
+    SELECT user_id, day, CASE WHEN bool_or(value < 0) OR sum(ms) > 86400000 THEN CASE WHEN bool_or(value < 0) THEN 'INVALID' WHEN bool_or(ms IS NULL) THEN 'NOT_MEASURED' ELSE 'INVALID' END WHEN bool_or(ms IS NULL) THEN 'NOT_MEASURED' ELSE 'MEASURED' END AS state,
+        CASE WHEN NOT bool_or(value < 0) AND NOT bool_or(ms IS NULL) AND sum(ms) <= 86400000 THEN CAST(sum(ms) AS BIGINT) END AS ms
+    FROM (SELECT user_id, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, value, CASE WHEN event_type <> 'error' THEN CAST(trunc(value * 100) AS BIGINT) END AS ms FROM events) GROUP BY user_id, day
 """)
 def attempt_sums(spark, d):
-    e = table(spark, d, "events").filter("event_id % 97 < 2").select("user_id", F.when(F.col("event_type") != "error", (F.col("value") * 100).cast("long")).alias("ms"), (F.col("value") < 0).alias("bad"))
-    return selection.attempts(e, ["user_id"], "ms", "bad")
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000)
+    e = table(spark, d, "events").select("user_id", day.alias("day"), F.when(F.col("event_type") != "error", (F.col("value") * 100).cast("long")).alias("ms"), (F.col("value") < 0).alias("bad"))
+    return selection.attempts(e, ["user_id", "day"], "ms", "bad")
 
 
 # --- joins
@@ -560,11 +572,11 @@ def first_globs(spark, d):
 
 
 @query("""
-    WITH c AS (SELECT 'f' || s_suppkey AS file FROM supplier), b AS (SELECT 'f' || l_suppkey % 90 AS file, l_linenumber AS screen, l_orderkey % 4 AS test FROM lineitem WHERE l_quantity > 20)
+    WITH c AS (SELECT 'f' || s_suppkey AS file FROM supplier), b AS (SELECT 'f' || l_suppkey % 90 AS file, l_linenumber AS screen, l_orderkey % 4 AS test FROM lineitem)
     SELECT c.file, coalesce(array_to_string(list_sort(list_distinct(list('s' || screen) FILTER (WHERE screen IS NOT NULL))), ','), '') AS screens, coalesce(array_to_string(list_sort(list_distinct(list('t' || test) FILTER (WHERE test IS NOT NULL))), ','), '') AS tests FROM c LEFT JOIN b ON b.file = c.file GROUP BY c.file
 """)
 def observed_bindings(spark, d):
-    b = table(spark, d, "lineitem").filter("l_quantity > 20").select(F.concat(F.lit("f"), (F.col("l_suppkey") % 90).cast("string")).alias("file"), tag("s", "l_linenumber").alias("screens"), F.concat(F.lit("t"), (F.col("l_orderkey") % 4).cast("string")).alias("tests"))
+    b = table(spark, d, "lineitem").select(F.concat(F.lit("f"), (F.col("l_suppkey") % 90).cast("string")).alias("file"), tag("s", "l_linenumber").alias("screens"), F.concat(F.lit("t"), (F.col("l_orderkey") % 4).cast("string")).alias("tests"))
     got = selection.observed_bindings(table(spark, d, "supplier").select(tag("f", "s_suppkey").alias("file")), b, "file", ["screens", "tests"])
     return got.select("file", F.array_join("screens", ",").alias("screens"), F.array_join("tests", ",").alias("tests"))
 
@@ -582,11 +594,11 @@ def docstring_containment(spark, d):
 
 @query("""
     SELECT p_partkey, count(l_partkey) AS matches, CASE WHEN count(l_partkey) = 0 THEN 'missing' WHEN count(l_partkey) = 1 THEN 'associated' ELSE 'ambiguous' END AS state, CASE WHEN count(l_partkey) = 0 THEN 'NOT_MATCHED' WHEN count(l_partkey) > 1 THEN 'AMBIGUOUS' END AS abstained
-    FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50 AND l_linenumber < 4) ON l_partkey = p_partkey GROUP BY p_partkey
+    FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND CAST(l_quantity AS BIGINT) = p_size GROUP BY p_partkey
 """)
 def outcome_states(spark, d):
-    n = table(spark, d, "lineitem").filter("l_quantity = 50 and l_linenumber < 4").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
-    p = table(spark, d, "part").select("p_partkey").join(n, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0).cast("long")).alias("matches"))
+    n = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").cast("long").alias("p_size")).agg(F.count(F.lit(1)).alias("n"))
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("p_size")).join(n, ["p_partkey", "p_size"], "left").select("p_partkey", F.coalesce("n", F.lit(0).cast("long")).alias("matches"))
     state = joins.match_state(F.col("matches"))
     return p.select("p_partkey", "matches", state.alias("state"), F.when(state == "missing", "NOT_MATCHED").when(state == "ambiguous", "AMBIGUOUS").alias("abstained"))
 
@@ -624,15 +636,15 @@ def changed_under(spark, d):
 
 
 @query("""
-    WITH u AS (SELECT p_partkey AS package, CASE WHEN p_size = 7 THEN NULL ELSE p_brand || p_size END AS digest FROM part), r AS (SELECT l_partkey AS package, CASE WHEN l_linenumber % 2 = 0 THEN p_brand || p_size ELSE 'old' END AS recorded, l_orderkey AS record FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 47 AND l_discount < 0.05),
+    WITH u AS (SELECT p_partkey AS package, CASE WHEN p_size = 7 THEN NULL ELSE p_brand || p_size END AS digest FROM part), r AS (SELECT l_partkey AS package, CASE WHEN l_linenumber = 7 THEN p_brand || p_size ELSE 'old' END AS recorded, l_orderkey AS record FROM lineitem JOIN part ON l_partkey = p_partkey WHERE (l_quantity - 1) * 0.002 > l_discount AND p_size % 4 > 0),
     j AS (SELECT u.package, u.digest, min(CASE WHEN recorded = digest THEN record END) AS witness, count(record) AS n FROM u LEFT JOIN r ON u.package = r.package GROUP BY 1, 2)
     SELECT package, CASE WHEN witness IS NOT NULL THEN 'REUSE' ELSE 'RUN' END AS decision, CASE WHEN witness IS NOT NULL THEN 'match' WHEN digest IS NULL THEN 'no digest' WHEN n > 0 THEN 'digest differs' ELSE 'no record' END AS reason, witness FROM j
 """)
 def record_reuse(spark, d):
     own = F.concat("p_brand", F.col("p_size").cast("string"))
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("package"), F.when(F.col("p_size") != 7, own).alias("digest"), own.alias("own"))
-    r = table(spark, d, "lineitem").filter("l_quantity > 47").select(F.col("l_partkey").alias("package"), "l_linenumber", F.col("l_orderkey").alias("record"), (F.col("l_discount") < 0.05).alias("admitted")).join(p.select("package", "own"), "package")
-    records = r.select("package", F.when(F.col("l_linenumber") % 2 == 0, F.col("own")).otherwise("old").alias("digest"), "record", "admitted")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("package"), F.when(F.col("p_size") != 7, own).alias("digest"), own.alias("own"), "p_size")
+    r = table(spark, d, "lineitem").select(F.col("l_partkey").alias("package"), "l_linenumber", F.col("l_orderkey").alias("record"), ((F.col("l_quantity") - 1) * 0.002 > F.col("l_discount")).alias("admitted")).join(p.select("package", "own", "p_size"), "package")
+    records = r.select("package", F.when(F.col("l_linenumber") == 7, F.col("own")).otherwise("old").alias("digest"), "record", (F.col("admitted") & (F.col("p_size") % 4 > 0)).alias("admitted"))
     return selection.reuse(p.select("package", "digest"), records, ["package"], "digest")
 
 
@@ -851,18 +863,24 @@ def chain_prefixes(spark, d):
 
 
 @query("""
-    SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN 'live' ELSE 'live' END AS state, text || chr(10) || 'end' AS patched, 1 AS hunks FROM documents WHERE text IS NOT NULL
+    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN l[2] = l[1] THEN 'live' ELSE 'moved' END WHEN 1 THEN 'changed' WHEN 2 THEN 'gone' ELSE 'live' END AS state, CASE WHEN doc_id % 4 = 0 AND l[2] IS DISTINCT FROM l[1] THEN 1 END AS moved_to,
+        CASE WHEN doc_id % 3 = 0 THEN 'new ' || doc_id || substr(text, length(l[1]) + 1) ELSE text END || chr(10) || 'end' AS patched, CASE WHEN doc_id % 3 = 0 AND len(l) > 1 THEN 2 ELSE 1 END AS hunks FROM d
 """)
 def patch_and_relocate(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text").filter("text is not null")
-    lines = F.split("text", "\n")
+    lines, key = F.split("text", "\n"), F.col("doc_id")
     first = F.get(lines, F.lit(0))
-    hunk = F.array(F.struct(F.lit(1).alias("start"), F.array(first).alias("gone"), F.array(first).alias("new")), F.struct((F.size(lines) + 1).alias("start"), F.array().cast("array<string>").alias("gone"), F.array(F.lit("end")).alias("new"))).cast(exact.HUNKS)
+    head = F.when(key % 3 == 0, F.concat(F.lit("new "), key.cast("string"))).otherwise(first)
+    hunk = F.array(F.struct(F.lit(1).alias("start"), F.array(first).alias("gone"), F.array(head).alias("new")), F.struct((F.size(lines) + 1).alias("start"), F.array().cast("array<string>").alias("gone"), F.array(F.lit("end")).alias("new"))).cast(exact.HUNKS)
     out = docs.select("doc_id", "text", exact.apply_hunks("text", hunk).alias("patched"))
     out = out.withColumn("hunks", F.size(diff.line_diff(F.col("text"), F.col("patched"))))
-    anchors = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("line"), F.lit(1).alias("width"), F.sha2(first, 256).alias("digest"))
-    at = evidence.relocate(anchors, docs.select(F.col("doc_id").cast("string").alias("path"), "text")).select(F.col("id").alias("doc_id"), "state")
-    return out.join(at, "doc_id").select("doc_id", "state", "patched", "hunks")
+    # the first line, looked for in its place, one line too low, under another digest, and in a file that is not there
+    kind, path = key % 4, key.cast("string")
+    digest_ = F.when(kind == 1, F.sha2(F.concat(first, F.lit("?")), 256)).otherwise(F.sha2(first, 256))
+    anchors = docs.select(key.alias("id"), F.when(kind == 2, F.concat(F.lit("no/"), path)).otherwise(path).alias("path"), F.when(kind == 0, 2).otherwise(1).alias("line"), F.lit(1).alias("width"), digest_.alias("digest"))
+    at = evidence.relocate(anchors, docs.select(path.alias("path"), "text")).select(F.col("id").alias("doc_id"), "state", "moved_to")
+    return out.join(at, "doc_id").select("doc_id", "state", "moved_to", "patched", "hunks")
 
 
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -974,8 +992,13 @@ def personal_ranks(spark, d):
     return graph.personal_rank(edges, spark.createDataFrame([("s1",)], "node string"))
 
 
-@query("SELECT round(avg(CAST(p_size AS DOUBLE) - length(p_name)), 9) AS mean, TRUE AS around FROM part")
+@query("""
+    WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) - length(p_name) AS d FROM part),
+    w AS (SELECT r.round, d, CAST('0x' || substr(md5(p_partkey || ':' || r.round), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM p, range(400) r(round)),
+    x AS (SELECT round, d, CASE WHEN u >= 0.9994058151824183 THEN 6 WHEN u >= 0.9963401531726563 THEN 5 WHEN u >= 0.9810118431238462 THEN 4 WHEN u >= 0.9196986029286058 THEN 3 WHEN u >= 0.7357588823428847 THEN 2 WHEN u >= 0.36787944117144233 THEN 1 ELSE 0 END AS w FROM w),
+    m AS (SELECT round, sum(w * d) / sum(w) AS m FROM x GROUP BY round)
+    SELECT (SELECT round(avg(d), 9) FROM p) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m
+""")
 def bootstrap_interval(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.length("p_name").cast("double").alias("b"))
-    r = search.paired_bootstrap(p, "p_partkey", "a", "b", rounds=400)
-    return r.select("mean", ((F.col("low") < F.col("mean")) & (F.col("mean") < F.col("high"))).alias("around"))
+    return search.paired_bootstrap(p, "p_partkey", "a", "b", rounds=400)
