@@ -78,6 +78,33 @@ def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return spread(back, seeds.select("node", F.lit(1).alias("bits"))).filter("bits <> 0").select("node")
 
 
+def witnesses(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, hops, parent, kind): why a node is reached from the seeds (node) along edges (src, dst, kind): a shortest way, whose
+    last step is of the least kind, then from the least parent. Seeds have no parent. The table is all chains, their shared
+    beginnings stored once."""
+    held = _cut(seeds.select("node", F.lit(0).alias("hops")).distinct())
+    step = edges.select(F.col("src").alias("parent"), "dst", "kind")
+    front, parts, hops = held.select("node"), [], 0
+    while not front.isEmpty():
+        hops += 1
+        next_ = step.join(front.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("kind", "parent")).alias("w"))
+        next_ = _cut(next_.join(held.select("node"), "node", "left_anti").select("node", F.lit(hops).alias("hops"), "w.parent", "w.kind"))
+        parts.append(next_)
+        front, held = next_.select("node"), held.select("node", "hops").unionByName(next_.select("node", "hops"))
+    out = seeds.select("node", F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent"), F.lit(None).cast(edges.schema["kind"].dataType).alias("kind")).distinct()
+    for part in parts:
+        out = out.unionByName(part)
+    return _cut(out)
+
+
+def written_out(found: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, chain): chains of witnesses() from their seeds to the nodes (all, or those of ``nodes``), by pointer doubling."""
+    links = found.filter("parent is not null").select("node", F.col("parent").alias("to"), F.array("node").alias("way"))
+    walked = doubled(links, {"way": lambda a, b: F.concat(a, b)})
+    all_ = found.select("node").join(walked, "node", "left").select("node", F.when(F.col("to").isNull(), F.array("node")).otherwise(F.reverse(F.concat("way", F.array("to")))).alias("chain"))
+    return all_ if nodes is None else all_.join(nodes.select("node").distinct(), "node", "left_semi")
+
+
 def chains(parents: DataFrame) -> DataFrame:
     """(commit, chain, place): every commit of (child, parent) on one chain. Of a commit's parents the first continues its chain
     (by the column nth if there is one, else the least), and of a commit's children the least does; a chain is named by its oldest

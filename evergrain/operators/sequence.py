@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import _cut
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key in total order, by a partial aggregate instead of a sort."""
@@ -51,18 +53,18 @@ def first_n(df: DataFrame, keys: Sequence[str], item: str, n: int) -> DataFrame:
     return got.select(*keys, F.array_join(F.slice("_i", 1, n), ",").alias("shown"), F.greatest(F.size("_i") - n, F.lit(0)).alias("more"))
 
 
-def numbered(df: DataFrame, key: Column, then: Sequence[Column], name: str = "place", parts: int = 64) -> DataFrame:
-    """df with its place, from 1, in the total order (key, then): ranges of the key are numbered apart and shifted by the
-    sizes of those before them. Bounds come from a bounded sample of keys; any bounds give the same places."""
-    keyed = df.withColumn("_k", key)
-    some = [r._k for r in keyed.select("_k").filter("_k is not null").orderBy(F.xxhash64("_k")).limit(parts * 16).collect()]
-    bounds = sorted(set(some))[15::16]
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("_k"))) if bounds else F.lit(0)
-    keyed = keyed.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    sizes = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    here = F.row_number().over(Window.partitionBy("_part").orderBy("_k", *then))
-    return keyed.join(F.broadcast(before), "_part").withColumn(name, (here + F.col("_before")).cast("long")).drop("_k", "_part", "_before")
+def numbered(df: DataFrame, key: Column, then: Sequence[Column], name: str = "place") -> DataFrame:
+    """df with its place, from 1, in the total order (key, then), null keys first: ranges of that order are sorted and numbered apart,
+    and shifted by the sizes of those before them. Rows of one key, or of none, part by the further order."""
+    order = [F.col(f"_o{k}") for k in range(len(then) + 1)]
+    keyed = df.select("*", *[c.alias(f"_o{k}") for k, c in enumerate([key, *then])]).repartitionByRange(*order).sortWithinPartitions(*order)
+    # the upper bits are the range, the lower ones the row in it
+    placed = _cut(keyed.drop(*[f"_o{k}" for k in range(len(order))]).withColumn("_at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("_part", before.alias("_before"))  # a row a range
+    return placed.withColumn("_part", part).join(F.broadcast(shifts), "_part").withColumn(name, (row + F.col("_before") + 1).cast("long")).drop("_at", "_part", "_before")
 
 
 def new_minimum_stop(rounds: DataFrame, keys: Sequence[str], at: str, left: str) -> DataFrame:

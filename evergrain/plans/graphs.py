@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import selection
+from ..operators import reachability, selection
 from ..registry import History
 from ..sources.tables import table
 from .queries import query
@@ -52,6 +52,24 @@ def run_reach(spark, d):
     return selection.run_reach(code, tests, l.filter("node % 997 = 3").select("node"))
 
 
+@query("""
+    WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS node, l_orderkey AS o, l_suppkey AS s, l_partkey AS p, epoch_us(l_shipdate) // 2592000000000 AS m FROM lineitem),
+    e AS (SELECT * FROM (SELECT node AS src, lead(node) OVER (PARTITION BY s, m ORDER BY node, p) AS dst, 0 AS kind FROM l UNION ALL SELECT node, CASE WHEN p % 9 = 0 THEN lead(node) OVER (PARTITION BY o ORDER BY node, s, p) END, 1 FROM l
+        UNION ALL SELECT node, CASE WHEN p % 31 = 0 THEN lag(node) OVER (PARTITION BY o ORDER BY node, s, p) END, 2 FROM l) WHERE dst IS NOT NULL),
+    b AS (SELECT node, 0 AS hops FROM l WHERE node % 61 = 3 UNION SELECT e.dst, hops + 1 FROM b JOIN e ON e.src = b.node WHERE hops < 90), h AS (SELECT node, min(hops) AS hops FROM b GROUP BY node),
+    w AS (SELECT h.node, h.hops, e.src AS parent, e.kind, row_number() OVER (PARTITION BY h.node ORDER BY e.kind, e.src) AS r FROM h JOIN e ON e.dst = h.node JOIN h u ON u.node = e.src AND u.hops = h.hops - 1),
+    c AS (SELECT node, hops, CAST(NULL AS INTEGER) AS kind, CAST(node AS VARCHAR) AS chain FROM h WHERE hops = 0 UNION ALL SELECT w.node, w.hops, w.kind, c.chain || '>' || w.node FROM c JOIN w ON w.parent = c.node AND w.r = 1)
+    SELECT node, CAST(hops AS INTEGER) AS hops, kind, chain FROM c
+""")
+def witness_chains(spark, d):
+    l, _, _ = _graph(spark, d)  # noqa: E741
+    month, order = Window.partitionBy("s", "m").orderBy("node", "p"), Window.partitionBy("o").orderBy("node", "s", "p")
+    ends = F.array(F.lead("node").over(month), F.when(F.col("p") % 9 == 0, F.lead("node").over(order)), F.when(F.col("p") % 31 == 0, F.lag("node").over(order)))
+    edges = l.select(F.col("node").alias("src"), ends.alias("ends")).select("src", F.posexplode("ends").alias("kind", "dst")).filter("dst is not null")
+    found = reachability.witnesses(edges, l.filter("node % 61 = 3").select("node"))
+    return found.join(reachability.written_out(found), "node").select("node", "hops", "kind", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
+
+
 # commits are orders: the first parent is the order before of a group of customers, a merge's other one the last order of its priority
 @query("""
     WITH RECURSIVE p AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey % 64 ORDER BY o_orderkey) AS a, CASE WHEN o_orderkey % 2 = 0 THEN lag(o_orderkey, 7) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) END AS b, o_custkey AS c FROM orders),

@@ -68,8 +68,9 @@ def tier_counts(spark, d):
     SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most, count(*) AS n FROM events GROUP BY event_type
 """)
 def wall_percentiles(spark, d):
-    e = table(spark, d, "events").groupBy("event_type")
-    return e.agg(report.nearest_rank("value", 0.5).alias("p50"), report.nearest_rank("value", 0.95).alias("p95"), F.max("value").alias("most"), F.count(F.lit(1)).alias("n"))
+    e = table(spark, d, "events")
+    ranks = report.nearest_ranks(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).drop("n")
+    return e.groupBy("event_type").agg(F.max("value").alias("most"), F.count(F.lit(1)).alias("n")).join(ranks, "event_type", "left")
 
 
 @query("""
@@ -81,7 +82,9 @@ def strict_median_ratio(spark, d):
     part = F.when(F.col("l_discount") >= 0.01, F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0))
     o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(report.poisoned_ratio(part, F.col("l_quantity")).alias("ratio"))
     j = o.join(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy("o_orderpriority").agg(F.round(report.strict_median(F.col("ratio"), F.col("ratio").isNotNull()), 6).alias("strict_median"), F.count("ratio").alias("complete"), F.count(F.lit(1)).alias("n"), F.round(F.median("ratio"), 6).alias("loose_median"))
+    counts = j.groupBy("o_orderpriority").agg(F.count("ratio").alias("complete"), F.count(F.lit(1)).alias("n"))
+    got = counts.join(report.medians(j, ["o_orderpriority"], "ratio", "m").drop("n"), "o_orderpriority", "left")
+    return got.select("o_orderpriority", F.when(F.col("complete") == F.col("n"), F.round("m", 6)).alias("strict_median"), "complete", "n", F.round("m", 6).alias("loose_median"))
 
 
 @query("""

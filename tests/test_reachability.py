@@ -114,3 +114,31 @@ def test_states_of_records(spark):
     assert [r.path for r in back.changed("c4", "c6").collect()] == ["src/a.py"] and back.changed("c4", "c8").count() == 0
     with pytest.raises(Exception, match="own ancestor"):
         reachability.chains(spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string")).collect()
+
+
+def test_witness_chains(spark):
+    rng = random.Random(6)
+    pairs = sorted({(rng.randrange(50), rng.randrange(50), rng.randrange(3)) for _ in range(110)})
+    seeds = [3, 8, 400]
+    found = reachability.witnesses(spark.createDataFrame(pairs, "src long, dst long, kind int"), spark.createDataFrame([(s,) for s in [*seeds, 3]], "node long"))
+    hops, level = dict.fromkeys(seeds, 0), seeds
+    want = {s: (0, None, None) for s in seeds}
+    while level:
+        new = {}
+        for a, b, kind in pairs:
+            if a in level and b not in hops:
+                new[b] = min(new.get(b, (kind, a)), (kind, a))
+        for b, (kind, a) in new.items():
+            hops[b] = hops[a] + 1
+            want[b] = (hops[b], a, kind)
+        level = list(new)
+    rows = found.collect()
+    assert len(rows) == len(want) and {r.node: (r.hops, r.parent, r.kind) for r in rows} == want
+    chains = {r.node: r.chain for r in reachability.written_out(found).collect()}
+
+    def up(x):
+        return [x] if want[x][1] is None else [*up(want[x][1]), x]
+
+    assert chains == {x: up(x) for x in want}
+    some = spark.createDataFrame([(3,), (999,)], "node long")
+    assert [r.chain for r in reachability.written_out(found, some).collect()] == [[3]]

@@ -102,7 +102,7 @@ def test_places_are_exact(spark):
 
     rng = random.Random(1)
     rows = [(k, rng.randint(0, 40)) for k in range(500)] + [(500, None)]
-    got = {r.k: r.place for r in sequence.numbered(spark.createDataFrame(rows, "k long, v long"), F.col("v"), [F.col("k")], parts=8).collect()}
+    got = {r.k: r.place for r in sequence.numbered(spark.createDataFrame(rows, "k long, v long"), F.col("v"), [F.col("k")]).collect()}
     want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
     assert got == {k: n for n, (k, _) in enumerate(want, 1)}
 
