@@ -56,10 +56,9 @@ def first_n(df: DataFrame, keys: Sequence[str], item: str, n: int) -> DataFrame:
 def numbered(df: DataFrame, key: Column, then: Sequence[Column], name: str = "place") -> DataFrame:
     """df with its place, from 1, in the total order (key, then), null keys first: ranges of that order are sorted and numbered apart,
     and shifted by the sizes of those before them. Rows of one key, or of none, part by the further order."""
-    order = [F.col(f"_o{k}") for k in range(len(then) + 1)]
-    keyed = df.select("*", *[c.alias(f"_o{k}") for k, c in enumerate([key, *then])]).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = df.repartitionByRange(key, *then).sortWithinPartitions(key, *then)
     # the upper bits are the range, the lower ones the row in it
-    placed = _cut(keyed.drop(*[f"_o{k}" for k in range(len(order))]).withColumn("_at", F.monotonically_increasing_id()))
+    placed = _cut(dealt.withColumn("_at", F.monotonically_increasing_id()))
     part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
