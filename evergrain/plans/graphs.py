@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import reachability, selection
+from ..operators import coverage, reachability, selection
 from ..registry import History
 from ..sources.tables import table
 from .queries import query
@@ -103,3 +103,23 @@ def history_states(spark, d):
     asked = records.withColumn("path", linked).crossJoin(F.broadcast(newest))
     got = History(parents, changes).states(asked, F.col("at"), 60)
     return got.withColumn("changed", F.array_join("changed", ","))
+
+
+# runs are line numbers, files are suppliers: spans of parts that were executed or not
+@query("""
+    WITH x AS (SELECT DISTINCT l_suppkey AS f, l_linenumber AS run, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e, l_returnflag <> 'N' AS hit FROM lineitem),
+    p AS (SELECT f, s AS pos FROM x WHERE s < e UNION SELECT f, e FROM x WHERE s < e), b AS (SELECT f, pos, lead(pos) OVER (PARTITION BY f ORDER BY pos) AS nxt FROM p),
+    c AS (SELECT b.f, b.pos, b.nxt, coalesce(string_agg(DISTINCT CAST(run AS VARCHAR), ',' ORDER BY CAST(run AS VARCHAR)) FILTER (WHERE hit), '') AS runs FROM b JOIN x ON x.f = b.f AND x.s <= b.pos AND b.pos < x.e WHERE nxt IS NOT NULL GROUP BY 1, 2, 3),
+    m AS (SELECT *, CASE WHEN lag(nxt) OVER w = pos AND lag(runs) OVER w = runs THEN 0 ELSE 1 END AS n FROM c WINDOW w AS (PARTITION BY f ORDER BY pos)),
+    g AS (SELECT *, sum(n) OVER (PARTITION BY f ORDER BY pos) AS g FROM m),
+    o AS (SELECT f, min(pos) AS s, max(nxt) AS e, any_value(runs) AS runs FROM g GROUP BY f, g)
+    SELECT run || '' AS run, count(*) AS blocks, count(*) FILTER (WHERE list_contains(string_split(runs, ','), run || '')) AS executed, CAST(sum(CASE WHEN list_contains(string_split(runs, ','), run || '') THEN e - s ELSE 0 END) AS BIGINT) AS units, min(f || ':' || s || '.1,' || e || '.1 1 ' || CASE WHEN list_contains(string_split(runs, ','), run || '') THEN 1 ELSE 0 END) AS first_line
+    FROM o JOIN (SELECT DISTINCT f AS file, run FROM x) r ON r.file = o.f GROUP BY run
+""")
+def coverage_records(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_linenumber").alias("run"), F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("e"), (F.col("l_returnflag") != "N").alias("hit"))
+    blocks = coverage.common_blocks(li, "file", "run", "s", "e", "hit")
+    lines = coverage.profiles(blocks, li, "file", "run")
+    part = lambda k: F.regexp_extract("line", r":(\d+)\.1,(\d+)\.1 1 ([01])$", k).cast("long")
+    ran = part(3) == 1
+    return lines.groupBy("run").agg(F.count(F.lit(1)).alias("blocks"), F.count(F.when(ran, 1)).alias("executed"), F.sum(F.when(ran, part(2) - part(1)).otherwise(0)).alias("units"), F.min("line").alias("first_line"))
