@@ -57,16 +57,42 @@ def identifier_graph(definers: DataFrame, mentions: DataFrame, most_definers: in
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def personal_rank(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, hops: int = 3, top: int = 5) -> DataFrame:
-    """(node, score): personalised PageRank over (src, dst, weight), pushed a few hops; the best nodes that are no seeds."""
-    total = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    step = edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p"))
+def forward_push(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, least: float = 1e-5, most_nodes: int = 1 << 20, most_arcs: int = 1 << 21, most_pushes: int = 200_000) -> DataFrame | None:
+    """(node, rank, residual): personalised PageRank over (src, dst, weight) by pushing: every node whose residual is ``least`` or
+    more keeps the restart's share of it and hands the rest on by weight, all of them at once, until no residual is that
+    great. Rank and residual sum to 1, but for what nodes without edges keep to themselves. None past a bound on nodes, arcs or
+    pushes: an answer that was cut would not be one."""
+    sized = edges.groupBy("src").agg(F.sum("weight").alias("out"), F.count(F.lit(1)).alias("arcs"))
+    step = _cut(edges.join(sized.select("src", "out"), "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p")))
+    size = step.agg(F.count(F.lit(1)).alias("arcs"), F.approx_count_distinct("src").alias("nodes")).first()
     own = seeds.select("node").distinct()
-    mass = own.withColumn("mass", F.lit(1.0) / own.count())
-    score = mass.select("node", (F.col("mass") * restart).alias("score"))
-    for _ in range(hops):
-        moved = mass.join(step, mass.node == step.src).groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("mass") * F.col("p")) * (1 - restart)).alias("mass"))
-        mass = _cut(moved)
-        score = score.unionByName(mass.select("node", (F.col("mass") * restart).alias("score")))
-    ranked = score.groupBy("node").agg(F.round(F.sum("score"), 9).alias("score")).join(own, "node", "left_anti")
+    n = own.count()
+    if size.arcs > most_arcs or size.nodes > most_nodes or not n:
+        return None
+    held = own.select("node", F.lit(0.0).alias("rank"), F.lit(1.0 / n).alias("residual"))
+    pushes = 0
+    while True:
+        held = _cut(held)
+        active = held.filter(F.col("residual") >= least)
+        now = active.count()
+        if not now:
+            return held
+        pushes += now
+        if pushes > most_pushes:
+            return None
+        hot = F.col("residual") >= least
+        kept = held.select("node", F.when(hot, F.col("rank") + F.col("residual") * restart).otherwise(F.col("rank")).alias("rank"), F.when(hot, 0.0).otherwise(F.col("residual")).alias("residual"))
+        given = active.join(step, active.node == step.src).groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("residual") * F.col("p")) * (1 - restart)).alias("given"))
+        held = kept.join(given, "node", "full_outer").select("node", F.coalesce("rank", F.lit(0.0)).alias("rank"), (F.coalesce("residual", F.lit(0.0)) + F.coalesce("given", F.lit(0.0))).alias("residual"))
+
+
+def personal_rank(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, hops: int = 3, top: int = 5, most_seeds: int = 16, **bounds) -> DataFrame:
+    """(node, score): the best nodes by forward_push() that are no seeds and within ``hops`` of one; of more seeds than
+    ``most_seeds`` the first are taken. No rows without a seed, or past a bound of forward_push()."""
+    own = _cut(seeds.select("node").distinct().orderBy("node").limit(most_seeds))
+    pushed = forward_push(edges, own, restart, **bounds)
+    if pushed is None:
+        return own.select("node", F.lit(0.0).alias("score")).limit(0)
+    near = reach(edges, own, hops).select("node")
+    ranked = pushed.filter("rank > 0").select("node", F.round("rank", 7).alias("score")).join(near, "node", "left_semi").join(own, "node", "left_anti")
     return ranked.orderBy(F.desc("score"), "node").limit(top)

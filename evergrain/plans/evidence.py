@@ -982,9 +982,15 @@ def span_budget(spark, d):
 
 
 @query("""
-    WITH e AS (SELECT src, dst, count(*) AS weight FROM (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem) GROUP BY 1, 2), o AS (SELECT src, sum(weight) AS out FROM e GROUP BY src), p AS (SELECT e.src, e.dst, CAST(weight AS DOUBLE) / out AS p FROM e JOIN o ON o.src = e.src),
-    m0 AS (SELECT 's1' AS node, 1.0 AS mass), m1 AS (SELECT dst AS node, sum(mass * p) * 0.85 AS mass FROM m0 JOIN p ON src = node GROUP BY 1), m2 AS (SELECT dst AS node, sum(mass * p) * 0.85 AS mass FROM m1 JOIN p ON src = node GROUP BY 1), m3 AS (SELECT dst AS node, sum(mass * p) * 0.85 AS mass FROM m2 JOIN p ON src = node GROUP BY 1)
-    SELECT node, round(sum(mass * 0.15), 9) AS score FROM (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) WHERE node <> 's1' GROUP BY node ORDER BY score DESC, node LIMIT 5
+    WITH RECURSIVE e AS (SELECT src, dst, count(*) AS weight FROM (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem) GROUP BY 1, 2),
+    o AS (SELECT src, sum(weight) AS out FROM e GROUP BY src), p AS (SELECT e.src, e.dst, CAST(weight AS DOUBLE) / out AS p FROM e JOIN o ON o.src = e.src),
+    t AS (SELECT 0 AS round, 's1' AS node, CAST(0 AS DOUBLE) AS rank, CAST(1 AS DOUBLE) AS r
+        UNION ALL SELECT round + 1, node, sum(rank), sum(r) FROM (
+            SELECT round, x.node, rank, r FROM (SELECT round, unnest([{'node': t.node, 'rank': t.rank + CASE WHEN t.r >= 0.00001 THEN 0.15 * t.r ELSE 0 END, 'r': CASE WHEN t.r >= 0.00001 THEN 0 ELSE t.r END}]
+                || CASE WHEN t.r >= 0.00001 THEN list_transform(n.l, lambda y: {'node': y.dst, 'rank': CAST(0 AS DOUBLE), 'r': t.r * 0.85 * y.p}) ELSE [] END, recursive := true), max(t.r) OVER () AS most
+                FROM t JOIN (SELECT src, list({'dst': dst, 'p': p}) AS l FROM p GROUP BY src) n ON n.src = t.node) x WHERE most >= 0.00001) GROUP BY round, node),
+    l AS (SELECT node, rank FROM t WHERE round = (SELECT max(round) FROM t))
+    SELECT node, round(rank, 7) AS score FROM l WHERE node <> 's1' AND rank > 0 ORDER BY score DESC, node LIMIT 5
 """)
 def personal_ranks(spark, d):
     li = table(spark, d, "lineitem").select(tag("s", "l_suppkey").alias("a"), tag("p", "l_partkey").alias("b"))

@@ -38,3 +38,28 @@ def test_paired_bootstrap(spark):
     df = spark.range(60).select("id", (F.col("id") % 7 + 1.0).alias("a"), (F.col("id") % 5 * 1.0).alias("b"))
     r = search.paired_bootstrap(df, "id", "a", "b", rounds=400).first()
     assert r.low < r.mean < r.high and r.high - r.low < 3
+
+
+def test_forward_push_leaves_small_residuals(spark):
+    import random
+
+    rng = random.Random(5)
+    pairs = {(a, b): rng.randint(1, 4) for a in range(40) for b in rng.sample(range(40), 3) if a != b}
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", w) for (a, b), w in pairs.items()], "src string, dst string, weight long")
+    seeds = spark.createDataFrame([("n1",), ("n2",), ("n1",)], "node string")
+    got = {r.node: (r.rank, r.residual) for r in graph.forward_push(edges, seeds, least=2e-3).collect()}
+    assert all(0 <= r < 2e-3 for _, r in got.values()) and abs(sum(p + r for p, r in got.values()) - 1) < 1e-9
+    out = {a: sum(w for (x, _), w in pairs.items() if x == a) for a in range(40)}
+    mass, rank = {1: 0.5, 2: 0.5}, dict.fromkeys(range(40), 0.0)
+    for _ in range(300):
+        new = dict.fromkeys(range(40), 0.0)
+        for a, m in mass.items():
+            rank[a] += 0.15 * m
+            for (x, b), w in pairs.items():
+                if x == a:
+                    new[b] += 0.85 * m * w / out[a]
+        mass = new
+    total = sum(r for _, r in got.values())
+    assert all(-1e-9 <= rank[a] - got.get(f"n{a}", (0, 0))[0] <= total for a in range(40))
+    assert graph.forward_push(edges, seeds, most_pushes=3) is None and graph.forward_push(edges, seeds, most_arcs=5) is None and graph.forward_push(edges, seeds.limit(0)) is None
+    assert graph.personal_rank(edges, seeds.limit(0)).count() == 0 and graph.personal_rank(edges, seeds, most_nodes=3).count() == 0
