@@ -57,17 +57,18 @@ def identifier_graph(definers: DataFrame, mentions: DataFrame, most_definers: in
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def forward_push(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, least: float = 1e-5, most_nodes: int = 1 << 20, most_arcs: int = 1 << 21, most_pushes: int = 200_000) -> DataFrame | None:
+def forward_push(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, least: float = 1e-5, most_nodes: int | None = 1 << 20, most_arcs: int | None = 1 << 21, most_pushes: int | None = 200_000) -> DataFrame | None:
     """(node, rank, residual): personalised PageRank over (src, dst, weight) by pushing: every node whose residual is ``least`` or
     more keeps the restart's share of it and hands the rest on by weight, all of them at once, until no residual is that
     great. Rank and residual sum to 1, but for what nodes without edges keep to themselves. None past a bound on nodes, arcs or
-    pushes: an answer that was cut would not be one."""
+    pushes: an answer that was cut would not be one. A bound of None is none: a push keeps at least ``restart * least`` of a sum
+    of 1, so their number has an end of its own."""
     sized = edges.groupBy("src").agg(F.sum("weight").alias("out"), F.count(F.lit(1)).alias("arcs"))
     step = _cut(edges.join(sized.select("src", "out"), "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p")))
-    size = step.agg(F.count(F.lit(1)).alias("arcs"), F.approx_count_distinct("src").alias("nodes")).first()
     own = seeds.select("node").distinct()
     n = own.count()
-    if size.arcs > most_arcs or size.nodes > most_nodes or not n:
+    over = lambda value, most: most is not None and value > most
+    if not n or over(step.count(), most_arcs) or (most_nodes is not None and over(step.agg(F.approx_count_distinct("src")).first()[0], most_nodes)):
         return None
     held = own.select("node", F.lit(0.0).alias("rank"), F.lit(1.0 / n).alias("residual"))
     pushes = 0
@@ -78,7 +79,7 @@ def forward_push(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, leas
         if not now:
             return held
         pushes += now
-        if pushes > most_pushes:
+        if over(pushes, most_pushes):
             return None
         hot = F.col("residual") >= least
         kept = held.select("node", F.when(hot, F.col("rank") + F.col("residual") * restart).otherwise(F.col("rank")).alias("rank"), F.when(hot, 0.0).otherwise(F.col("residual")).alias("residual"))

@@ -63,3 +63,16 @@ def test_forward_push_leaves_small_residuals(spark):
     assert all(-1e-9 <= rank[a] - got.get(f"n{a}", (0, 0))[0] <= total for a in range(40))
     assert graph.forward_push(edges, seeds, most_pushes=3) is None and graph.forward_push(edges, seeds, most_arcs=5) is None and graph.forward_push(edges, seeds.limit(0)) is None
     assert graph.personal_rank(edges, seeds.limit(0)).count() == 0 and graph.personal_rank(edges, seeds, most_nodes=3).count() == 0
+
+
+def test_ranks_without_bounds_are_whole(spark, monkeypatch):
+    """The query ranks tables of any size: no bound of the operator applies to it."""
+    from evergrain.plans import evidence
+
+    rows = [(s, p) for s in range(1, 30) for p in range(s, s + 6)]
+    li = spark.createDataFrame(rows, "l_suppkey long, l_partkey long")
+    monkeypatch.setattr(evidence, "table", lambda *_: li)
+    small = graph.forward_push
+    monkeypatch.setattr(graph, "forward_push", lambda *a, **k: small(*a, **{"most_nodes": 3, "most_arcs": 3, "most_pushes": 3, **k}))
+    got = evidence.personal_ranks(spark, "")
+    assert got.count() == 5
