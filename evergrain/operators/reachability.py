@@ -82,15 +82,20 @@ def witnesses(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, hops, parent, kind): why a node is reached from the seeds (node) along edges (src, dst, kind): a shortest way, whose
     last step is of the least kind, then from the least parent. Seeds have no parent. The table is all chains, their shared
     beginnings stored once."""
-    held = _cut(seeds.select("node", F.lit(0).alias("hops")).distinct())
-    step = edges.select(F.col("src").alias("parent"), "dst", "kind")
-    front, parts, hops = held.select("node"), [], 0
+    # edges are made once, the least of its kind for each pair; a node is left once its way in is known, and its edges go with it
+    step = _cut(edges.filter("src <> dst").groupBy(F.col("src").alias("parent"), "dst").agg(F.min("kind").alias("kind")))
+    seeds = _cut(seeds.select("node").distinct())
+    front, held, parts, hops, kept, gone = seeds, seeds, [], 0, step.count(), seeds.count()
     while not front.isEmpty():
         hops += 1
-        next_ = step.join(front.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("kind", "parent")).alias("w"))
-        next_ = _cut(next_.join(held.select("node"), "node", "left_anti").select("node", F.lit(hops).alias("hops"), "w.parent", "w.kind"))
+        into = step.join(front.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("kind", "parent")).alias("w"))
+        next_ = _cut(into.join(held, "node", "left_anti").select("node", F.lit(hops).alias("hops"), "w.parent", "w.kind"))
         parts.append(next_)
-        front, held = next_.select("node"), held.select("node", "hops").unionByName(next_.select("node", "hops"))
+        front, held = next_.select("node"), held.unionByName(next_.select("node"))
+        gone += next_.count()
+        if 4 * gone > kept:  # edges into nodes that are held lead nowhere new
+            step = _cut(step.join(held.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+            kept, gone, held = step.count(), 0, next_.select("node")
     out = seeds.select("node", F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent"), F.lit(None).cast(edges.schema["kind"].dataType).alias("kind")).distinct()
     for part in parts:
         out = out.unionByName(part)
