@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.graph import _cut
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """path, line, value: lines of text files with their number, whole files per row split inside Spark."""
@@ -25,7 +26,8 @@ def coverprofile(lines: DataFrame) -> DataFrame:
     shape = r"^(.+):([0-9]+)\.([0-9]+),([0-9]+)\.([0-9]+) ([0-9]+) ([0-9]+)$"
     mode = F.regexp_extract("value", r"^mode: (set|count|atomic)$", 1)
     modes = lines.filter(F.col("value").startswith("mode:")).groupBy("path").agg(F.min(mode).alias("low"), F.max(mode).alias("high"))
-    rows = lines.filter((F.col("value") != "") & ~F.col("value").startswith("mode:")).join(modes, "path", "left")
+    # a row a path, written, so that few of them are sent to the lines: a long profile is not one task
+    rows = lines.filter((F.col("value") != "") & ~F.col("value").startswith("mode:")).join(_cut(modes), "path", "left")
     part = lambda k, kind: F.regexp_extract("value", shape, k).try_cast(kind)
     bad = ~F.col("value").rlike(shape) | (F.coalesce("low", F.lit("")) == "") | (F.col("low") != F.col("high"))
     note = F.concat(F.lit("cover profile "), "path", F.lit(" line "), F.col("line").cast("string"))

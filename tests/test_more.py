@@ -116,3 +116,13 @@ def test_bootstrap_is_dealt_over_tasks(spark):
     at = lambda p: means[int(49 * p)] + (49 * p - int(49 * p)) * (means[int(49 * p) + 1] - means[int(49 * p)])
     row = got.first()
     assert abs(row.low - at(0.025)) < 1e-8 and abs(row.high - at(0.975)) < 1e-8
+
+
+def test_cover_profile_sends_the_modes(spark):
+    """A long profile is not joined in the one task of its path."""
+    from evergrain.sources import formats
+
+    lines = spark.range(5000).select(F.concat(F.lit("p"), (F.col("id") % 1).cast("string")).alias("path"), F.col("id").alias("line"), F.when(F.col("id") == 0, "mode: set").otherwise(F.concat(F.lit("a.go:1.2,"), F.col("id").cast("string"), F.lit(".9 1 2"))).alias("value"))
+    got = formats.coverprofile(lines)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 4999 and "BroadcastHashJoin" in plan and "hashpartitioning(path" not in plan
