@@ -39,27 +39,28 @@ def doubled(links: DataFrame, values: dict[str, Callable[[Column, Column], Colum
     return ended.unionByName(cur)
 
 
-def spread(edges: DataFrame, own: DataFrame) -> DataFrame:
+def spread(edges: DataFrame, own: DataFrame, written: bool = False) -> DataFrame:
     """(node, bits): of every node of ``edges`` (src, dst) and ``own`` (node, bits) the union of the bits of all that it
-    reaches along edges, its own included."""
-    every = _cut(edges.select("src", "dst").distinct())
-    either = every.select(F.col("src").alias("node")).union(every.select("dst"))
-    edges = every.filter("src <> dst")
-    bits = own.groupBy("node").agg(F.bit_or(F.col("bits").cast("long")).alias("bits"))
-    bits = _cut(either.distinct().join(bits, "node", "full_outer").select("node", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))
-    single = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to")).filter("n = 1")
-    links = single.select(F.col("src").alias("node"), "to").join(bits, "node")
+    reaches along edges, its own included. written: the edges are distinct and cheap to read again."""
+    none, no = F.lit(None), F.lit(0).cast("long")
+    edges = edges.select("src", "dst") if written else _cut(edges.select("src", "dst").distinct())
+    # one pass counts a node's ways on, finds the least and joins its bits: nobody is looked up
+    leave = F.col("src") != F.col("dst")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.when(leave, F.col("dst")).alias("to")), F.struct(F.col("dst").alias("node"), none.cast(edges.schema["dst"].dataType).alias("to")))).alias("x")).select("x.node", "x.to", no.alias("bits"))
+    nodes = ends.unionByName(own.select("node", none.cast(edges.schema["dst"].dataType).alias("to"), F.col("bits").cast("long").alias("bits")))
+    nodes = _cut(nodes.groupBy("node").agg(F.bit_or("bits").alias("bits"), F.count("to").alias("n"), F.min("to").alias("to")))
+    edges, links = edges.filter("src <> dst"), nodes.filter("n = 1").select("node", "to", "bits")
     if links.isEmpty():
-        chains, core, held = None, edges, bits
+        chains, core, held = None, edges, nodes.select("node", "bits")
     else:
         chains = _cut(doubled(links, {"bits": lambda a, b: a.bitwiseOR(b)}))
         # edges of branching nodes lead to the ends of chains, and the bits on the way are the node's own
         ends = chains.select(F.col("node").alias("dst"), "to", F.col("bits").alias("more"), "open")
-        branching = edges.join(single.select("src"), "src", "left_anti").join(ends, "dst", "left")
-        branching = _cut(branching.select("src", F.when(F.col("open"), F.lit(None)).otherwise(F.coalesce("to", "dst")).alias("dst"), F.coalesce("more", F.lit(0).cast("long")).alias("more")))
+        branching = edges.join(nodes.filter("n > 1").select(F.col("node").alias("src")), "src", "left_semi").join(ends, "dst", "left")
+        branching = _cut(branching.select("src", F.when(F.col("open"), F.lit(None)).otherwise(F.coalesce("to", "dst")).alias("dst"), F.coalesce("more", no).alias("more")))
         core = _cut(branching.filter("dst is not null and src <> dst").select("src", "dst").distinct())
         gained = branching.groupBy(F.col("src").alias("node")).agg(F.bit_or("more").alias("more"))
-        held = bits.join(chains.select("node"), "node", "left_anti").join(gained, "node", "left").select("node", F.col("bits").bitwiseOR(F.coalesce("more", F.lit(0).cast("long"))).alias("bits"))
+        held = nodes.filter("n <> 1").join(gained, "node", "left").select("node", F.col("bits").bitwiseOR(F.coalesce("more", no)).alias("bits"))
     held = _cut(held)
     front = held.filter("bits <> 0")
     while not front.isEmpty():
@@ -72,10 +73,10 @@ def spread(edges: DataFrame, own: DataFrame) -> DataFrame:
     return held.unionByName(chains.join(far, "to", "left").select("node", F.when(F.col("open"), F.col("bits")).otherwise(F.col("bits").bitwiseOR(F.coalesce("_far", F.lit(0).cast("long")))).alias("bits")))
 
 
-def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node): the seeds (node) and all they reach along (src, dst)."""
+def reached(edges: DataFrame, seeds: DataFrame, written: bool = False) -> DataFrame:
+    """(node): the seeds (node) and all they reach along (src, dst); ``written`` as in spread()."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return spread(back, seeds.select("node", F.lit(1).alias("bits"))).filter("bits <> 0").select("node")
+    return spread(back, seeds.select("node", F.lit(1).alias("bits")), written).filter("bits <> 0").select("node")
 
 
 def witnesses(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -81,8 +81,12 @@ def closure_and_one(code: DataFrame, tests: DataFrame, seeds: DataFrame) -> Data
 def run_reach(code: DataFrame, tests: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): what the seeds together reach: users over code edges, however far, then one level over test edges. A seed is
     in it only if an edge leads to it."""
-    inside = _cut(reachability.reached(code, seeds)).withColumnRenamed("node", "src")
-    return code.join(inside, "src", "left_semi").select(F.col("dst").alias("node")).union(tests.join(inside, "src", "left_semi").select("dst")).distinct()
+    code, seeds = _cut(code.select("src", "dst").distinct()), _cut(seeds.select("node").distinct())
+    inside = _cut(reachability.reached(code, seeds, written=True))
+    # what is inside and no seed was led to; only a seed is looked up
+    back = code.join(seeds.withColumnRenamed("node", "dst"), "dst", "left_semi").join(inside.withColumnRenamed("node", "src"), "src", "left_semi")
+    users = tests.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").select("dst")
+    return inside.join(seeds, "node", "left_anti").union(back.select("dst")).union(users).distinct()
 
 
 #: Bits of what a unit adds to those that reach it.

@@ -142,3 +142,14 @@ def test_witness_chains(spark):
     assert chains == {x: up(x) for x in want}
     some = spark.createDataFrame([(3,), (999,)], "node long")
     assert [r.chain for r in reachability.written_out(found, some).collect()] == [[3]]
+
+
+def test_graph_is_made_by_two_shuffles(spark, tmp_path):
+    """Copies and the order's window share one shuffle, the month's window takes the other."""
+    from evergrain.plans import graphs
+
+    rows = [(o, n, 1 + (o * 7 + n) % 5, 1 + (o * 31 + n * 9) % 40) for o in range(60) for n in range(1, 5)]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").selectExpr("*", "timestamp'2020-01-01' AS l_shipdate")
+    li.write.parquet(str(tmp_path / "lineitem.parquet"))
+    _, code, _ = graphs._graph(spark, str(tmp_path))
+    assert code.count() > 0 and code._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
