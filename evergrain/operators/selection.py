@@ -200,14 +200,16 @@ def hunk_tests(hunks: DataFrame, methods: DataFrame, lines: DataFrame, file: str
     """file, hunk, state, tests: the tests of the executable lines of the innermost method around each hunk (start, end);
     an insertion (end < start) may touch the method's edges; outside of every method the hunk falls back."""
     at = [file, "open", "close"]
-    method = hunks.select(file, "hunk", "start", "end").join(sweep.around(hunks, methods.select(*at), [file], "start", "end"), [file, "start", "end"]).select(file, "hunk", "open", "close")
+    asked = hunks.select(file, "hunk", "start", "end")
+    # written once: its bodies, the lines in them and the result are all read from it
+    method = _cut(sweep.nearest(asked, methods.select(*at), [file], "start", "end", "left").select(file, "hunk", "open", "close"))
     # a line's tests go to every chosen method around it, however many hunks chose that
-    ran = lines.select(file, "line", F.col("line").alias("_to"), "test").distinct()
-    inside = ran.join(sweep.around(ran, method.select(*at).distinct(), [file], "line", "_to", every=True), [file, "line", "_to"])
-    tests = method.join(inside.groupBy(*at).agg(F.array_sort(F.collect_set("test")).alias("tests")), at).select(file, "hunk", "tests")
-    all_ = hunks.select(file, "hunk").join(method.select(file, "hunk", F.lit(1).alias("_m")), [file, "hunk"], "left").join(tests, [file, "hunk"], "left")
-    state = F.when(F.col("_m").isNull(), "outside a method").when(F.col("tests").isNull(), "no executed line").otherwise("selected")
-    return all_.select(file, "hunk", state.alias("state"), F.coalesce(F.array_join("tests", ","), F.lit("")).alias("tests"))
+    ran = lines.select(file, "line", F.col("line").alias("_to"), "test")
+    inside = sweep.meeting(ran, method.select(*at).filter("open is not null").distinct(), [file], "line", "_to").select(*at, "test").distinct()
+    tests = inside.groupBy(*at).agg(F.array_join(F.array_sort(F.collect_list("test")), ",").alias("tests"))
+    all_ = method.join(tests, at, "left")
+    state = F.when(F.col("open").isNull(), "outside a method").when(F.col("tests").isNull(), "no executed line").otherwise("selected")
+    return all_.select(file, "hunk", state.alias("state"), F.coalesce("tests", F.lit("")).alias("tests"))
 
 
 def with_fallback(selected: DataFrame, state: str, good: str, tests: str, by: Sequence[str] = ()) -> DataFrame:

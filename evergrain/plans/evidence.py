@@ -503,9 +503,10 @@ _HUNKS = """
 
 def _hunk_tests(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), "l_partkey", "l_orderkey", "l_quantity")
-    methods = li.select("file", F.col("l_partkey").alias("open"), (F.col("l_partkey") + 9 + F.col("l_orderkey") % 32).alias("close")).distinct()
-    hunks = li.select("file", F.col("l_partkey").alias("hunk"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_partkey") % 3 - 1).alias("end")).distinct()
-    lines = li.filter("l_quantity > 5").select("file", F.col("l_partkey").alias("line"), F.concat(F.lit("t"), (F.col("l_orderkey") % 50).cast("string")).alias("test")).distinct()
+    methods = li.select("file", F.col("l_partkey").alias("open"), (F.col("l_partkey") + 9 + F.col("l_orderkey") % 32).alias("close"))
+    hunks = li.select("file", F.col("l_partkey").alias("hunk"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_partkey") % 3 - 1).alias("end"))
+    lines = li.filter("l_quantity > 5").select("file", F.col("l_partkey").alias("line"), F.concat(F.lit("t"), (F.col("l_orderkey") % 50).cast("string")).alias("test"))
+    # the operator takes sets: rows that are alike meet there
     return selection.hunk_tests(hunks, methods, lines, "file")
 
 

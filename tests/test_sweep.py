@@ -1,10 +1,10 @@
-"""Containment by sweep against all pairs."""
+"""Containment by blocks against all pairs."""
 
 import random
 
 import pytest
 
-from evergrain.operators import joins, sweep
+from evergrain.operators import joins, selection, sweep
 
 
 def inside(q, b):
@@ -57,3 +57,40 @@ def test_containing(spark):
     spans = spark.createDataFrame([("k", 1, 5, "A"), ("k", 5, 5, "B"), ("k", 6, 9, "C"), ("m", 0, 4, "D")], "k string, s int, e int, span string")
     got = {(r.name, r.span) for r in joins.containing(points, spans, ["k"], "at", "at", "s", "e").collect()}
     assert got == {("p", "A"), ("q", "A"), ("r", "A"), ("q", "B"), ("r", "B")}
+
+
+def test_nearest_keeps_the_columns_of_its_questions(spark):
+    """Packed lengths, lengths past them, and bodies with columns of their own give one answer; it is made without Python."""
+    rng = random.Random(3)
+    spans = [(o, o + rng.choice([0, 2, 5, 60])) for o in (rng.randint(-40, 300) for _ in range(400))]
+    asked = [(k, p, p + rng.randint(-1, 6)) for k, p in enumerate(rng.randint(-50, 320) for _ in range(300))]
+    q = spark.createDataFrame([("f", *a) for a in asked] * 2 + [("f", 900, None, 1), (None, 901, 5, 5), ("g", 902, 5, 5)], "f string, k int, lo int, hi int")
+    for extra in ([], [(-(1 << 33), 1 << 33)]):
+        bodies = spans + extra
+        want = {}
+        for k, lo, hi in asked:
+            around = [b for b in bodies if inside((lo, hi), b)]
+            want[k] = min(around, key=lambda b: (b[1] - b[0], -b[0])) if around else (None, None)
+        b = spark.createDataFrame([("f", *b) for b in bodies], "f string, open long, close long")
+        for body in (b, b.selectExpr("f", "open", "close", "open || '' AS name")):
+            found = sweep.nearest(q, body, ["f"], "lo", "hi", "left")
+            got = found.collect()
+            assert len(got) == 303 and {r.k: (r.open, r.close) for r in got} == want | {900: (None, None), 901: (None, None), 902: (None, None)}
+            assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
+            assert sweep.nearest(q, body, ["f"], "lo", "hi").count() == sum(x[0] is not None for x in want.values())
+
+
+def test_hunks_that_are_alike_and_lines_of_one_body(spark):
+    rng = random.Random(4)
+    methods = [(f, o, o + rng.choice([3, 9, 30])) for f in "ab" for o in rng.choices(range(100), k=60)]
+    hunks = [(f, p, p, p + p % 3 - 1) for f in "ab" for p in rng.choices(range(-5, 120), k=80)]
+    lines = [(f, p, f"t{rng.randint(0, 4)}") for f in "ab" for p in rng.choices(range(0, 60), k=90)]
+    frame = spark.createDataFrame
+    got = selection.hunk_tests(frame(hunks, "f string, hunk int, start int, end int"), frame(methods, "f string, open int, close int"), frame(lines, "f string, line int, test string"), "f").collect()
+    want = {}
+    for f, hunk, lo, hi in hunks:
+        around = [m[1:] for m in methods if m[0] == f and inside((lo, hi), m[1:])]
+        body = min(around, key=lambda b: (b[1] - b[0], -b[0])) if around else None
+        tests = sorted({t for g, p, t in lines if body and g == f and body[0] < p < body[1]})
+        want[f, hunk] = ("selected" if tests else "no executed line" if body else "outside a method", ",".join(tests))
+    assert len(got) == len(want) and {(r.f, r.hunk): (r.state, r.tests) for r in got} == want
