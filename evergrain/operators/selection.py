@@ -215,9 +215,12 @@ def hunk_tests(hunks: DataFrame, methods: DataFrame, lines: DataFrame, file: str
 def with_fallback(selected: DataFrame, state: str, good: str, tests: str, by: Sequence[str] = ()) -> DataFrame:
     """by, whole, reason, tests: one part of a change that can't be placed makes its whole selection fall back, by its first
     reason. by: columns that name a change; none: all rows are one."""
-    bad = F.min(F.when(F.col(state) != good, F.col(state)))
-    every = F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_set(F.split(tests, ","))), lambda t: t != "")))
-    return selected.groupBy(*by).agg(bad.isNotNull().alias("whole"), bad.alias("reason"), F.when(bad.isNull(), F.array_join(every, ",")).alias("tests"))
+    bad = F.when(F.col(state) != good, F.col(state))
+    # equal names of a change meet before they are gathered; the null beside them keeps rows without tests
+    names = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.split(tests, ","), F.array().cast("array<string>")))
+    told = selected.select(*by, bad.alias("_bad"), F.explode(names).alias("_test")).groupBy(*by, "_test").agg(F.min("_bad").alias("_bad"))
+    bad, every = F.min("_bad"), F.array_sort(F.collect_list(F.when(F.col("_test") != "", F.col("_test"))))
+    return told.groupBy(*by).agg(bad.isNotNull().alias("whole"), bad.alias("reason"), F.when(bad.isNull(), F.array_join(every, ",")).alias("tests"))
 
 
 def tests_of_files(blocks: DataFrame, file: str, tests: str, order: DataFrame, test: str) -> DataFrame:

@@ -94,3 +94,14 @@ def test_hunks_that_are_alike_and_lines_of_one_body(spark):
         tests = sorted({t for g, p, t in lines if body and g == f and body[0] < p < body[1]})
         want[f, hunk] = ("selected" if tests else "no executed line" if body else "outside a method", ",".join(tests))
     assert len(got) == len(want) and {(r.f, r.hunk): (r.state, r.tests) for r in got} == want
+
+
+def test_fallback_meets_equal_names_first(spark):
+    rows = [(1, "good", "a,b"), (1, "good", "b,c"), (1, "good", None), (2, "lost", "a"), (2, "bad", ""), (None, "good", ""), (None, "good", "z,z")]
+    df = spark.createDataFrame(rows, "k int, state string, tests string")
+    got = selection.with_fallback(df, "state", "good", "tests", ["k"])
+    assert {tuple(r) for r in got.collect()} == {(1, False, None, "a,b,c"), (2, True, "bad", None), (None, False, None, "z")}
+    assert [tuple(r) for r in selection.with_fallback(df.filter("k = 1"), "state", "good", "tests").collect()] == [(False, None, "a,b,c")]
+    assert [tuple(r) for r in selection.with_fallback(df.limit(0), "state", "good", "tests").collect()] == [(False, None, "")]
+    # a change's lists of tests are not gathered whole
+    assert "collect_set" not in got._jdf.queryExecution().optimizedPlan().toString()
