@@ -54,7 +54,7 @@ def containing(points: DataFrame, spans: DataFrame, keys: Sequence[str], low: st
     """Points (low to high, one column for both is a place) inside closed spans, once for each span around them."""
     ask = points.withColumn("_to", F.col(high))
     wide = spans.withColumn("open", F.col(start).cast("long") - 1).withColumn("close", F.col(end).cast("long") + 1)
-    return ask.join(sweep.around(ask, wide, keys, low, "_to", every=True), [*keys, low, "_to"]).drop("_to", "open", "close")
+    return sweep.meeting(ask, wide, keys, low, "_to").drop("_to", "open", "close")
 
 
 def overlapping(a: DataFrame, b: DataFrame, width: int, start: str, end: str, prefix: str = "o_") -> DataFrame:
