@@ -27,15 +27,15 @@ def _met(questions: DataFrame, bodies: DataFrame, keys: Sequence[str], low: str,
     """Each question, with its columns and _block, and each body around it, with all but its keys."""
     block = lambda c: F.floor(c / width)
     own = bodies.filter(F.col("open").isNotNull() & (_place("open") <= _place("close")))
-    own = own.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in bodies.columns if c not in keys], F.explode(F.sequence(block(_place("open")), block(_place("close")))).alias("_at"))
+    own = own.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in bodies.columns if c not in keys], F.explode(F.sequence(block(_place("open")), block(_place("close")))).alias("_body_block"))
     asked = questions.withColumn("_block", block(_place(low)))
     from_, to, open_, close = (_place(c) for c in (low, high, "open", "close"))
     # a range lies strictly inside; the lines beside an insertion may be the edges
     inside = ((from_ <= to) & (open_ < from_) & (to < close)) | ((from_ > to) & (open_ <= to) & (from_ <= close))
-    same = inside & (F.col("_block") == F.col("_at"))
+    same = inside & (F.col("_block") == F.col("_body_block"))
     for i, c in enumerate(keys):
         same &= F.col(c) == F.col(f"_k{i}")
-    return asked.join(own, same, how).drop("_at", *[f"_k{i}" for i in range(len(keys))])
+    return asked.join(own, same, how).drop("_body_block", *[f"_k{i}" for i in range(len(keys))])
 
 
 def _measured(bodies: DataFrame) -> tuple[int, int]:

@@ -29,9 +29,9 @@ class BoundedWriter(DataSourceWriter):
             raise FileExistsError(folder)
         self.folder, self.most = folder, most
         self.staging = f"{folder}.staging-{uuid.uuid4().hex}"
+        os.makedirs(self.staging)  # here alone: a task that outlives the job must not make it again
 
     def write(self, iterator: Iterator) -> Part:
-        os.makedirs(self.staging, exist_ok=True)
         name, size, rows = f"part-{uuid.uuid4().hex}.jsonl", 0, 0
         with open(os.path.join(self.staging, name), "wb") as f:
             for row in iterator:
@@ -62,7 +62,10 @@ class BoundedWriter(DataSourceWriter):
         self._drop()
 
     def _drop(self) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        gone = f"{self.staging}.gone"
+        if os.path.exists(self.staging):
+            os.rename(self.staging, gone)  # nothing can be opened in it any more
+        shutil.rmtree(gone, ignore_errors=True)
 
 
 class BoundedSink(DataSource):

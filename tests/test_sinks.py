@@ -55,3 +55,14 @@ def test_sink_leaves_all_or_nothing(spark, tmp_path):
     os.remove(f"{at}/{sorted(n for n in os.listdir(at) if n.endswith('.jsonl'))[0]}")
     with pytest.raises(ValueError, match="parts"):
         sinks.read_index(spark, at, "id long")
+
+
+def test_blocks_are_joined_without_python_and_profiles_tell_their_numbers(spark):
+    rows = [("f", "r1", 0, 4, True), ("f", "r2", 2, 6, True), ("f", "r2", 2, 6, True), ("f", "r3", 6, 8, False)]
+    df = spark.createDataFrame(rows, "file string, run string, s int, e int, hit boolean")
+    blocks = coverage.common_blocks(df, "file", "run", "s", "e", "hit")
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+    assert {(r.start, r.end, tuple(r.runs)) for r in blocks.collect()} == {(0, 2, ("r1",)), (2, 4, ("r1", "r2")), (4, 6, ("r2",)), (6, 8, ())}
+    lines = coverage.profiles(blocks, df, "file", "run").collect()
+    assert len(lines) == 12 and all(r.line == f"{r.file}:{r.start}.1,{r.end}.1 1 {int(r.ran)}" for r in lines)
