@@ -17,8 +17,9 @@ def redundancy(sets: DataFrame, owner: str, item: str, owners: DataFrame | None
     ``owners`` lists alone). equal: others have just its items; by is the first of them. subset: another has all of them and more; by
     is the tightest. union: others have each of them. low-unique: ``low_unique`` at most are its own. Others are not listed.
 
-    Only the holders of an owner's rarest item can contain it, so candidates follow that item's count; sets are compared by counts
-    of shared items, and equal ones by a digest, so a large class of equal sets is no set of pairs."""
+    Only the holders of an owner's rarest item can contain it, so candidates follow that item's count; a mask of 64 bits of each set
+    leaves out most that lack an item before sets are compared by counts of shared items. Equal ones are known by a digest, so a large
+    class of equal sets is no set of pairs."""
     rows = sets.select(owner, item).distinct()
     df = rows.groupBy(item).agg(F.count(F.lit(1)).alias("_df"))
     rated = rows.join(df, item)
@@ -26,16 +27,17 @@ def redundancy(sets: DataFrame, owner: str, item: str, owners: DataFrame | None
         F.count(F.lit(1)).alias("size"),
         F.count(F.when(F.col("_df") == 1, 1)).alias("unique"),
         F.min_by(item, F.struct("_df", item)).alias("_rare"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(item).cast("string"))), ","), 256).alias("_set"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(item), F.lit(64)).cast("int"))).alias("_mask"),
+        F.unhex(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(item).cast("string"))), ","), 256)).alias("_set"),
     )
     sized = _cut(sized)
     alike = sized.groupBy("_set").agg(F.count(F.lit(1)).alias("_like"), F.min(owner).alias("_first"))
     second = sized.join(alike.filter("_like > 1").select("_set", "_first"), "_set").filter(F.col(owner) != F.col("_first")).groupBy("_set").agg(F.min(owner).alias("_second"))
     # one owner stands for each set; only those with no item of their own can be contained
     heads = alike.select(F.col("_first").alias(owner), "_set", "_like").join(sized.drop("_set"), owner)
-    asked = heads.filter(F.col("unique") == 0).select(owner, "size", F.col("_rare").alias(item))
-    holders = rows.join(heads.select(F.col(owner)), owner, "left_semi").withColumnRenamed(owner, "_by").join(heads.select(F.col(owner).alias("_by"), F.col("size").alias("_by_size")), "_by")
-    near = asked.join(holders, item).filter("_by_size > size").select(owner, "size", "_by", "_by_size")
+    asked = heads.filter(F.col("unique") == 0).select(owner, "size", F.col("_rare").alias(item), "_mask")
+    holders = rows.withColumnRenamed(owner, "_by").join(heads.select(F.col(owner).alias("_by"), F.col("size").alias("_by_size"), F.col("_mask").alias("_by_mask")), "_by")
+    near = asked.join(holders, item).filter((F.col("_by_size") > F.col("size")) & (F.col("_by_mask").bitwiseAND(F.col("_mask")) == F.col("_mask"))).select(owner, "size", "_by", "_by_size")
     shared = near.join(rows, owner).join(rows.withColumnRenamed(owner, "_by"), ["_by", item]).groupBy(owner, "size", "_by", "_by_size").agg(F.count(F.lit(1)).alias("_n"))
     tight = shared.filter("_n = size").groupBy(owner).agg(F.min(F.struct("_by_size", "_by")).getField("_by").alias("_tight"))
     tight = tight.join(heads.select(owner, "_set"), owner).select("_set", "_tight")

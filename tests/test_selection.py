@@ -186,3 +186,15 @@ def test_patches_that_do_not_stand(spark):
     rows = [("a\nb\nc", [(2, ["b"], ["x", "y"])]), ("a\nb", [(2, ["z"], [])]), ("a\nb", [(1, ["a"], []), (1, ["a"], [])]), (None, [])]
     df = spark.createDataFrame(rows, f"old string, hunks {exact.HUNKS}")
     assert [r.n for r in df.select(exact.apply_hunks("old", "hunks").alias("n")).collect()] == ["a\nx\ny\nc", None, None, None]
+
+
+def test_candidates_are_masked_before_they_are_compared(spark):
+    """Sets past 64 items fill their mask, and items that share a bit pass it: the counts decide."""
+    rng = random.Random(6)
+    sets = {o: set(rng.sample(range(100), rng.choice([1, 2, 3, 70, 90]))) for o in range(120)} | {200: set(range(100)), 201: set(range(100))}
+    got = selection.redundancy(spark.createDataFrame([(o, i) for o, s in sets.items() for i in s], "o long, i long"), "o", "i")
+    for r in got.collect():
+        equal, over = [x for x, u in sets.items() if u == sets[r.o] and x != r.o], [(len(u), x) for x, u in sets.items() if u > sets[r.o]]
+        assert (r.kind, r.by) == (("equal", min(equal)) if equal else ("subset", min(over)[1]))
+    assert got.count() == len(sets)
+    assert "_by_mask" in got._jdf.queryExecution().optimizedPlan().toString()
