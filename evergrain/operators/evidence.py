@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import sweep
+from .graph import _cut
 from .joins import ancestors
 from .sequence import numbered
 
@@ -99,20 +100,24 @@ def dictionary(values: DataFrame, key: str) -> DataFrame:
 
 
 def lineage(parents: DataFrame, node: str, parent: str, depth: int = 16) -> DataFrame:
-    """(node, chain, state): the way up; cycles and chains past depth are named, not followed."""
-    walk = parents.select(node, F.col(parent).alias("_at"), F.array(node).alias("chain"), F.when(F.col(parent).isNull(), "root").otherwise("open").alias("state"))
-    step = parents.select(F.col(node).alias("_at"), F.col(parent).alias("_next"))
-    for _ in range(depth):
-        cycle = F.array_contains("chain", F.col("_at"))
-        moved = walk.join(step, "_at", "left")
-        live = F.col("state") == "open"
-        walk = moved.select(
-            node,
-            F.when(live & ~cycle, F.col("_next")).otherwise(F.col("_at")).alias("_at"),
-            F.when(live & ~cycle, F.concat("chain", F.array("_at"))).otherwise(F.col("chain")).alias("chain"),
-            F.when(live & cycle, "cycle").when(live & F.col("_next").isNull(), "root").otherwise(F.col("state")).alias("state"),
-        )
-    return walk.select(node, "chain", F.when(F.col("state") == "open", "too deep").otherwise(F.col("state")).alias("state"))
+    """(node, chain, state): the way up; cycles and chains past depth are named, not followed.
+
+    A way is doubled each round by that of the node it leads to. Ways that have ended are set aside: they would meet under one null key."""
+    ways = parents.select(node, F.array(node).alias("chain"), F.col(parent).alias("_at"))
+    have = 1
+    while have <= depth:
+        ways = _cut(ways)
+        take = min(have, depth + 1 - have)  # the last round needs a part alone
+        on = ways.select(F.col(node).alias("_at"), F.slice("chain", 1, take).alias("_more"), F.when(F.size("chain") > take, F.get("chain", F.lit(take))).otherwise(F.col("_at")).alias("_on"), F.lit(True).alias("_in"))
+        open_ = ways.filter("_at is not null").join(on, "_at", "left")
+        moved = open_.select(node, F.concat("chain", F.when(F.col("_in"), F.col("_more")).otherwise(F.array("_at"))).alias("chain"), F.col("_on").alias("_at"))
+        ways = moved.unionByName(ways.filter("_at is null"))
+        have += take
+    # the first place whose node stands before it
+    again = F.array_position(F.transform("chain", lambda x, k: F.array_position("chain", x) <= k), True)
+    ways = ways.withColumn("_again", again)
+    state = F.when(F.col("_again") > 0, "cycle").when(F.col("_at").isNull(), "root").otherwise("too deep")
+    return ways.select(node, F.when(F.col("_again") > 0, F.slice("chain", F.lit(1), (F.col("_again") - 1).cast("int"))).otherwise(F.col("chain")).alias("chain"), state.alias("state"))
 
 
 def relocate(anchors: DataFrame, files: DataFrame) -> DataFrame:

@@ -74,3 +74,25 @@ def test_lineage_and_anchors(spark):
     anchors = spark.createDataFrame([(1, "f", 2, 1, h("b")), (2, "f", 1, 1, h("c")), (3, "f", 1, 1, h("q")), (4, "g", 1, 1, h("a"))], "id int, path string, line int, width int, digest string")
     files = spark.createDataFrame([("f", "a\nb\nc")], "path string, text string")
     assert {r.id: (r.state, r.moved_to) for r in evidence.relocate(anchors, files).collect()} == {1: ("live", None), 2: ("moved", 3), 3: ("changed", None), 4: ("gone", None)}
+
+
+def test_ways_up_of_any_shape(spark):
+    from evergrain.operators import evidence
+
+    up = {k: k + 1 for k in range(40)} | {50: None, 51: 50, 60: 61, 61: 62, 62: 60, 63: 60, 70: 70, 80: 999}
+    df = spark.createDataFrame(list(up.items()), "n long, p long")
+    for depth in (0, 1, 5, 16, 17):
+        want = {}
+        for k in up:
+            chain, at, state = [k], up[k], "root" if up[k] is None else "open"
+            for _ in range(depth):
+                if state == "open" and at in chain:
+                    state = "cycle"
+                elif state == "open":
+                    chain, at = [*chain, at], up.get(at)
+                    state = "root" if at is None else "open"
+            want[k] = (chain, "too deep" if state == "open" else state)
+        ways = evidence.lineage(df, "n", "p", depth)
+        assert {r.n: (r.chain, r.state) for r in ways.collect()} == want, depth
+        # ended ways have no part in a join, where they would meet in one task
+        assert ways._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
