@@ -7,6 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+#: Rows of names that one task takes.
+_ROWS = 200_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -51,10 +56,20 @@ def identifier_graph(definers: DataFrame, mentions: DataFrame, most_definers: in
     """(src, dst, weight), both ways: files joined by names (name, path) that one defines and the other mentions. Names
     are 4 to 128 ASCII characters, not all in lower case; common ones carry nothing, so each name's pairs are bounded."""
     fit = F.col("name").rlike("^[A-Za-z_][A-Za-z0-9_]{3,127}$") & F.col("name").rlike("[A-Z_]") & ~F.col("name").rlike("^[A-Z][a-z0-9]*$")
-    few = lambda df, most: df.filter(fit).select("name", "path").distinct().join(df.filter(fit).groupBy("name").agg(F.count_distinct("path").alias("_n")).filter(F.col("_n") <= most), "name").drop("_n")
-    pairs = few(definers, most_definers).withColumnRenamed("path", "a").join(few(mentions, most_mentions).withColumnRenamed("path", "b"), "name").filter("a <> b")
-    one = pairs.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count_distinct("name").alias("weight"))
-    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    # tasks are as many as the rows need: what one of them holds does not grow with the tables
+    n = max(1, -(-(definers.count() + mentions.count()) // _ROWS))
+
+    def few(df, most, at):
+        rows = df.filter(fit).select("name", "path").repartition(n, "name").distinct()
+        held = rows.withColumn("_n", F.count("path").over(Window.partitionBy("name")))
+        return held.filter(F.col("_n") <= most).select("name", F.col("path").alias(at))
+
+    pairs = few(definers, most_definers, "a").join(few(mentions, most_mentions, "b"), "name").filter("a <> b")
+    # a name's rows stay together until its pairs are told apart
+    named = pairs.select("name", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    one = named.select("src", "dst").repartition(n, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return one.select(F.explode(ways).alias("_e"), "weight").select("_e.src", "_e.dst", "weight")
 
 
 def forward_push(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, least: float = 1e-5, most_nodes: int | None = 1 << 20, most_arcs: int | None = 1 << 21, most_pushes: int | None = 200_000) -> DataFrame | None:

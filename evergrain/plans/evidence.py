@@ -301,9 +301,9 @@ def eligible_names(spark, d):
         UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) <= 50))) u
 """)
 def identifier_edges(spark, d):
-    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
     name = F.concat(F.lit("partName"), F.col("l_partkey").cast("string"), F.lit("_X"))
-    return graph.identifier_graph(li.select(name.alias("name"), tag("p", "l_partkey").alias("path")).distinct(), li.select(name.alias("name"), tag("s", "l_suppkey").alias("path")))
+    return graph.identifier_graph(li.select(name.alias("name"), tag("p", "l_partkey").alias("path")), li.select(name.alias("name"), tag("s", "l_suppkey").alias("path")))
 
 
 @query("SELECT event_id FROM events WHERE event_type NOT IN ('click') AND user_id % 10 <> 3")

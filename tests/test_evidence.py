@@ -96,3 +96,20 @@ def test_ways_up_of_any_shape(spark):
         assert {r.n: (r.chain, r.state) for r in ways.collect()} == want, depth
         # ended ways have no part in a join, where they would meet in one task
         assert ways._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
+
+
+def test_names_are_dealt_by_their_number(spark, monkeypatch):
+    from evergrain.operators import graph
+
+    monkeypatch.setattr(graph, "_ROWS", 10, raising=False)
+    definers = [(f"nameOf_{k}", f"p{k}") for k in range(40)] + [("nameOf_1", "p1"), ("nameOf_2", "s3"), ("lower", "p1")]
+    mentions = [(f"nameOf_{k % 40}", f"s{k % 9}") for k in range(200)] + [("nameOf_2", "p2"), ("nameOf_7", "p7"), (None, "s1")] + [("nameOf_0", f"t{k}") for k in range(60)]
+    got = graph.identifier_graph(spark.createDataFrame(definers, "name string, path string"), spark.createDataFrame(mentions, "name string, path string"))
+    pairs: dict = {}
+    for name in {n for n, _ in definers if n != "lower"}:
+        a, b = ({p for n, p in rows if n == name} for rows in (definers, mentions))
+        if len(a) <= 5 and len(b) <= 50:
+            for x, y in {(min(x, y), max(x, y)) for x in a for y in b if x != y}:
+                pairs[x, y] = pairs.get((x, y), 0) + 1
+    assert sorted(map(tuple, got.collect())) == sorted([(x, y, n) for (x, y), n in pairs.items()] + [(y, x, n) for (x, y), n in pairs.items()])
+    assert got.rdd.getNumPartitions() == -(-(len(definers) + len(mentions)) // 10)
