@@ -17,20 +17,26 @@ from pyspark.sql import functions as F
 
 from .graph import _cut
 
+#: Open ways that are sent to all tasks.
+_FEW = 1 << 20
+
 
 def doubled(links: DataFrame, values: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
     """(node, to, *values, open): every node's link (node, to, *values) followed to its end, a node without a link, its values
     joined on the way by ``values[name](own, further)``. open: the way never ends, and the values cover its whole cycle.
 
     Each round joins the table with itself and doubles the steps behind every link. Ways that have ended are set aside: they
-    are looked up, but not joined again."""
+    are looked up, but not joined again, and once few ways are open only what those lead to is."""
     ways = lambda df: df.select(F.col("node").alias("to"), F.col("to").alias("_to"), *[F.col(v).alias("_" + v) for v in values], F.col("open").alias("_open"))
     further = F.col("_to").isNotNull()
     joined = [F.when(further, f(F.col(v), F.col("_" + v))).otherwise(F.col(v)).alias(v) for v, f in values.items()]
     cur = _cut(links.select("node", "to", *values).withColumn("open", F.lit(True)))
     ended, left, steps = cur.limit(0), cur.count(), 1
     while left:
-        moved = _cut(cur.join(ways(cur).unionByName(ways(ended)), "to", "left").select("node", F.coalesce("_to", "to").alias("to"), *joined, F.coalesce("_open", F.lit(False)).alias("open")))
+        done = ways(ended)
+        if left <= _FEW:  # what few open ways lead to is picked out where it lies: ended ways are not shuffled again
+            done = done.join(F.broadcast(cur.select("to").distinct()), "to", "left_semi")
+        moved = _cut(cur.join(ways(cur).unionByName(done), "to", "left").select("node", F.coalesce("_to", "to").alias("to"), *joined, F.coalesce("_open", F.lit(False)).alias("open")))
         ended, cur, steps = ended.unionByName(moved.filter(~F.col("open"))), moved.filter("open"), 2 * steps
         before, left = left, cur.count()
         # a way that ends loses its last open node in every round: if none is lost all are cycles, seen whole after as many steps

@@ -153,3 +153,13 @@ def test_graph_is_made_by_two_shuffles(spark, tmp_path):
     li.write.parquet(str(tmp_path / "lineitem.parquet"))
     _, code, _ = graphs._graph(spark, str(tmp_path))
     assert code.count() > 0 and code._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+
+
+def test_doubling_looks_up_what_open_ways_lead_to(spark, monkeypatch):
+    rows = [(k, k + 1, 1) for k in range(60)] + [(100, 101, 1), (101, 100, 1), (200, 60, 1)]
+    links = spark.createDataFrame(rows, "node long, to long, n long")
+    got = []
+    for few in (0, 1 << 20):
+        monkeypatch.setattr(reachability, "_FEW", few)
+        got.append({r.node: (r.to, r.n) for r in reachability.doubled(links, {"n": lambda a, b: a + b}).collect() if not r.open})
+    assert got[0] == got[1] == {k: (60, 60 - k) for k in range(60)} | {200: (60, 1)}
