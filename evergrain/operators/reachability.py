@@ -4,14 +4,18 @@ Flags spread backwards as bit masks: a node's mask is the union of those of all
 its end has gained a bit. Chains (nodes with one successor) are closed first by pointer doubling, so a path of n nodes
 takes log n rounds; what is left takes as many rounds as its longest shortest path. Every loop runs until nothing changes.
 
-Histories are cut into chains of first parents. What a commit reaches on a chain is all of it up to a place, so a set of
+Histories are cut into chains of first parents; ranges of commits follow the links inside them first, so that doubling
+has only what leads from range to range. What a commit reaches on a chain is all of it up to a place, so a set of
 ancestors is one place a chain: distances are differences of places, ancestry is a comparison.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ from .graph import _cut
 
 #: Open ways that are sent to all tasks.
 _FEW = 1 << 20
+#: Links that one task follows, about.
+_ROWS = 1 << 18
 
 
 def doubled(links: DataFrame, values: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
@@ -45,6 +51,53 @@ def doubled(links: DataFrame, values: dict[str, Callable[[Column, Column], Colum
     return ended.unionByName(cur)
 
 
+def _within(links: DataFrame, value: str, n: int, both: np.ufunc) -> DataFrame:
+    """(node, to, value, open): each of n links followed while its way stays in the node's range of about _ROWS of them. open: it never
+    leaves; such a node leads to itself."""
+
+    # it names nothing of this module: Python workers need no copy of the package
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        node, to = rows["node"].combine_chunks(), rows["to"].combine_chunks()
+        then = pc.fill_null(pc.index_in(to, value_set=node, skip_nulls=True), -1).to_numpy(zero_copy_only=False).copy()
+        sums, last, steps = rows[value].to_numpy().copy(), np.arange(len(to)), 1
+        going = np.flatnonzero(then >= 0)
+        while len(going) and steps <= len(to):
+            on = then[going]
+            sums[going], last[going], then[going] = both(sums[going], sums[on]), last[on], then[on]
+            going, steps = going[then[going] >= 0], 2 * steps
+        open_ = pa.array(then >= 0)
+        out = pa.table({"node": node, "to": pc.if_else(open_, node, to.take(pa.array(last))), value: pa.array(sums), "open": open_})
+        yield from out.to_batches(max_chunksize=1 << 16)
+
+    kinds = {f.name: f.dataType.simpleString() for f in links.schema}
+    dealt = links.select("node", "to", value).repartitionByRange(-(-n // _ROWS), "node")
+    return dealt.mapInArrow(follow, f"node {kinds['node']}, to {kinds['to']}, {value} {kinds[value]}, open boolean")
+
+
+def followed(links: DataFrame, value: str, add: Callable[[Column, Column], Column], both: np.ufunc) -> DataFrame:
+    """doubled() for one value, a long, joined by ``add``, in numpy by ``both``. Ranges of nodes follow the links inside them; then only
+    nodes that another range leads to have to be followed, which are few where keys go along the links. These are dealt to ranges
+    again, and doubled as soon as a deal saves less than half."""
+    cur, levels = _cut(links.select("node", "to", value)), []
+    left = before = cur.count()
+    while left and (not levels or 2 * left <= before):
+        short = _cut(_within(cur, value, left, both))
+        levels.append(short)
+        entered = short.filter("not open").select(F.col("to").alias("node")).distinct()
+        cur = _cut(short.join(entered, "node", "left_semi").select("node", "to", value))
+        before, left = left, cur.count()
+    out = doubled(cur, {value: add}) if left or not levels else levels.pop()
+    for short in reversed(levels):
+        on = out.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col(value).alias("_more"), F.col("open").alias("_open"))
+        more = F.when(F.col("_to").isNotNull(), add(F.col(value), F.col("_more"))).otherwise(F.col(value))
+        out = _cut(short.join(on, "to", "left").select("node", F.coalesce("_to", "to").alias("to"), more.alias(value), (F.col("open") | F.coalesce("_open", F.lit(False))).alias("open")))
+    return out
+
+
 def spread(edges: DataFrame, own: DataFrame, written: bool = False) -> DataFrame:
     """(node, bits): of every node of ``edges`` (src, dst) and ``own`` (node, bits) the union of the bits of all that it
     reaches along edges, its own included. written: the edges are distinct and cheap to read again."""
@@ -122,10 +175,10 @@ def chains(parents: DataFrame) -> DataFrame:
     (by the column nth if there is one, else the least), and of a commit's children the least does; a chain is named by its oldest
     commit, whose place is 1."""
     nth = F.col("nth") if "nth" in parents.columns else F.lit(0)
-    edges = parents.filter("parent is not null").groupBy("child", "parent").agg(F.min(nth).alias("nth"))
+    edges = parents.filter("parent is not null")
     commits = parents.select(F.col("child").alias("commit")).union(edges.select("parent")).distinct()
-    first = edges.groupBy("child").agg(F.min_by("parent", F.struct("nth", "parent")).alias("parent")).groupBy("parent").agg(F.min("child").alias("child"))
-    walked = doubled(first.select(F.col("child").alias("node"), F.col("parent").alias("to"), F.lit(1).cast("long").alias("n")), {"n": lambda a, b: a + b})
+    first = edges.groupBy("child").agg(F.min_by("parent", F.struct(nth, "parent")).alias("parent")).groupBy("parent").agg(F.min("child").alias("child"))
+    walked = followed(first.select(F.col("child").alias("node"), F.col("parent").alias("to"), F.lit(1).cast("long").alias("n")), "n", lambda a, b: a + b, np.add)
     walked = walked.select(F.when(F.col("open"), F.raise_error(F.lit("a commit is its own ancestor"))).otherwise(F.col("node")).alias("commit"), "to", "n")
     return _cut(commits.join(walked, "commit", "left").select("commit", F.coalesce("to", "commit").alias("chain"), (F.coalesce("n", F.lit(0)) + 1).alias("place")))
 
@@ -134,7 +187,7 @@ def ancestor_places(parents: DataFrame, index: DataFrame, starts: DataFrame) ->
     """(start, chain, place): how far each chain of ``index`` is reached from each commit of ``starts`` (start). An edge between
     chains is followed again only for places that it was not followed for."""
     at = lambda name, prefix: index.select(F.col("commit").alias(name), F.col("chain").alias(prefix + "chain"), F.col("place").alias(prefix + "place"))
-    cross = parents.filter("parent is not null").select("child", "parent").distinct().join(at("child", "c_"), "child").join(at("parent", "p_"), "parent")
+    cross = parents.filter("parent is not null").select("child", "parent").join(at("child", "c_"), "child").join(at("parent", "p_"), "parent")
     cross = _cut(cross.filter(F.col("c_chain") != F.col("p_chain")).groupBy("c_chain", "c_place", "p_chain").agg(F.max("p_place").alias("p_place")))
     held = _cut(starts.select("start").distinct().join(at("start", ""), "start"))
     front = held.withColumn("before", F.lit(0).cast("long"))

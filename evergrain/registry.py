@@ -105,9 +105,13 @@ class History:
     def __init__(self, parents: DataFrame, changes: DataFrame, trees: DataFrame | None = None):
         self.parents, self.changes, self.trees = parents, changes, trees
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        return _cut(self.parents)
+
     @cached_property
     def index(self) -> DataFrame:
-        return reachability.chains(self.parents)
+        return reachability.chains(self.edges)
 
     def resolve(self, prefix: str) -> DataFrame:
         """(commit, state): one match is resolved, several are ambiguous, none is unknown."""
@@ -123,7 +127,7 @@ class History:
     def places(self, pairs: DataFrame) -> DataFrame:
         """How far each chain is reached from either side of the pairs."""
         starts = pairs.select(F.col("older").alias("start")).union(pairs.select("newer"))
-        return reachability.ancestor_places(self.parents, self.index, starts)
+        return reachability.ancestor_places(self.edges, self.index, starts)
 
     def ancestors(self, commit: str) -> DataFrame:
         """(node): the commit and all its ancestors."""
@@ -134,9 +138,12 @@ class History:
         """(older, newer, ancestor, distance): whether older is newer or an ancestor of it, and how many commits newer has that
         older has not; null where a commit is unknown."""
         far = self.places(pairs) if places is None else places
-        at = self.index.select(F.col("commit").alias("older"), "chain", "place")
+        # the index is read once, for the commits that are asked for
+        asked = pairs.select(F.col("older").alias("commit")).union(pairs.select("newer")).distinct()
+        mine = _cut(self.index.join(asked, "commit", "left_semi"))
+        at = mine.select(F.col("commit").alias("older"), "chain", "place")
         found = pairs.select("older", "newer").distinct().join(at, "older", "left")
-        known = self.index.select(F.col("commit").alias("newer"), F.lit(True).alias("_known"))
+        known = mine.select(F.col("commit").alias("newer"), F.lit(True).alias("_known"))
         found = found.join(far.select(F.col("start").alias("newer"), "chain", F.col("place").alias("_far")), ["newer", "chain"], "left").join(known, "newer", "left")
         sure = F.col("place").isNotNull() & F.col("_known").isNotNull()
         gained = reachability.ranges(pairs, far, far).groupBy("older", "newer").agg(F.sum(F.col("high") - F.col("low")).alias("_n"))
@@ -151,7 +158,9 @@ class History:
             both = side("older").join(side("newer"), ["older", "newer", "path"], "full_outer")
             return both.filter(~F.col("older_oid").eqNullSafe(F.col("newer_oid"))).select("older", "newer", "path")
         far = self.places(pairs) if places is None else places
-        inside = reachability.ranges(pairs, far, far).join(self.index, "chain").filter("place > low and place <= high").select("older", "newer", "commit")
+        # written, so that they are planned by their true size: few ranges, or few commits, meet a long table where it lies
+        inside = _cut(reachability.ranges(pairs, far, far)).join(self.index, "chain").filter("place > low and place <= high")
+        inside = _cut(inside.select("older", "newer", "commit"))
         return inside.join(self.changes, "commit").select("older", "newer", "path").distinct()
 
     def is_ancestor(self, old: str, new: str) -> bool:
@@ -170,7 +179,7 @@ class History:
         rows = _cut(records.select("id", F.col("revision").alias("older"), "path", at.alias("newer")))
         outside = F.col("path").startswith("@")
         whole = rows.groupBy("id", "older", "newer").agg(F.count("path").alias("_paths"), F.coalesce(F.bool_or(outside), F.lit(False)).alias("_outside"))
-        pairs = rows.select("older", "newer").distinct()
+        pairs = _cut(rows.select("older", "newer").distinct())
         places = self.places(pairs)
         facts = self.facts(pairs, places)
         touched = self.changes_between(pairs, places).select("older", "newer", F.explode(ancestors(F.col("path"))).alias("path")).distinct()

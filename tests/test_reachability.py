@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql.functions import udf
 
 from evergrain import registry
 from evergrain.operators import reachability, selection
@@ -163,3 +165,47 @@ def test_doubling_looks_up_what_open_ways_lead_to(spark, monkeypatch):
         monkeypatch.setattr(reachability, "_FEW", few)
         got.append({r.node: (r.to, r.n) for r in reachability.doubled(links, {"n": lambda a, b: a + b}).collect() if not r.open})
     assert got[0] == got[1] == {k: (60, 60 - k) for k in range(60)} | {200: (60, 1)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ways_inside_ranges_are_followed_by_one_task(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    # ways down, ways that cross, cycles inside a range and over several
+    rows = [(k, rng.randrange(max(0, k - 4), k) if k % 3 else rng.randrange(200), 1 << rng.randrange(40)) for k in range(1, 200) if k % 29]
+    to = {k: (p, b) for k, p, b in rows}
+    want = {}
+    for k in to:
+        node, bits, seen = k, 0, set()
+        while node in to and node not in seen:
+            seen.add(node)
+            bits |= to[node][1]
+            node = to[node][0]
+        want[f"{k:04}"] = (None if node in to else f"{node:04}", bits, node in to)
+    assert {w[2] for w in want.values()} == {True, False}
+    links = spark.createDataFrame([(f"{k:04}", f"{p:04}", b) for k, p, b in rows], "node string, to string, bits long")
+    for most in (1 << 18, 20):
+        monkeypatch.setattr(reachability, "_ROWS", most)
+        got = reachability.followed(links, "bits", lambda a, b: a.bitwiseOR(b), np.bitwise_or).collect()
+        assert len(got) == len(rows) and {r.node: (None if r.open else r.to, r.bits, r.open) for r in got} == want
+
+
+def test_chains_along_their_keys_are_not_doubled(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rows of the whole history are doubled")
+
+    monkeypatch.setattr(reachability, "doubled", refuse)
+    monkeypatch.setattr(reachability, "_ROWS", 100)
+    n, acc = 3000, spark.sparkContext.accumulator(0)
+
+    @udf("long")
+    def counted(x):
+        acc.add(1)
+        return x
+
+    rows = [(k, k - 3 if k >= 3 else None) for k in range(n)]
+    parents = spark.createDataFrame(rows, "child long, parent long").select(counted("child").alias("child"), "parent")
+    history = registry.History(parents, spark.createDataFrame([(n - 1, "a")], "commit long, path string"))
+    assert {(r.commit, r.chain, r.place) for r in history.index.collect()} == {(k, k % 3, k // 3 + 1) for k in range(n)}
+    pairs = spark.createDataFrame([(n - 31, n - 1), (0, n - 1)], "older long, newer long")
+    assert {(r.older, r.ancestor, r.distance) for r in history.facts(pairs).collect()} == {(n - 31, True, 10), (0, False, n // 3)}
+    assert acc.value == n  # parents are made once
