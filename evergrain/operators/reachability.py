@@ -1,11 +1,11 @@
 """Reachability over whole graphs without a row per (seed, node) and without a bound on depth.
 
 Flags spread backwards as bit masks: a node's mask is the union of those of all it reaches, and an edge is followed again only when
-its end has gained a bit. Chains (nodes with one successor) are closed first by pointer doubling, so a path of n nodes
-takes log n rounds; what is left takes as many rounds as its longest shortest path. Every loop runs until nothing changes.
+its end has gained a bit. Chains (nodes with one successor) are closed first, inside ranges of nodes and then by pointer doubling, so a
+path of n nodes takes some log n rounds; what is left takes as many rounds as its longest shortest path. Every loop runs until nothing
+changes.
 
-Histories are cut into chains of first parents; ranges of commits follow the links inside them first, so that doubling
-has only what leads from range to range. What a commit reaches on a chain is all of it up to a place, so a set of
+Histories are cut into chains of first parents, closed in the same way. What a commit reaches on a chain is all of it up to a place, so a set of
 ancestors is one place a chain: distances are differences of places, ancestry is a comparison.
 """
 
@@ -112,7 +112,7 @@ def spread(edges: DataFrame, own: DataFrame, written: bool = False) -> DataFrame
     if links.isEmpty():
         chains, core, held = None, edges, nodes.select("node", "bits")
     else:
-        chains = _cut(doubled(links, {"bits": lambda a, b: a.bitwiseOR(b)}))
+        chains = _cut(followed(links, "bits", lambda a, b: a.bitwiseOR(b), np.bitwise_or))
         # edges of branching nodes lead to the ends of chains, and the bits on the way are the node's own
         ends = chains.select(F.col("node").alias("dst"), "to", F.col("bits").alias("more"), "open")
         branching = edges.join(nodes.filter("n > 1").select(F.col("node").alias("src")), "src", "left_semi").join(ends, "dst", "left")
