@@ -863,10 +863,19 @@ def chain_prefixes(spark, d):
     return c.join(nxt, "o").select("o", selection.same_prefix(F.col("c"), F.col("b"), F.lit(2)).alias("same"))
 
 
-@query("""
-    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN l[2] = l[1] THEN 'live' ELSE 'moved' END WHEN 1 THEN 'changed' WHEN 2 THEN 'gone' ELSE 'live' END AS state, CASE WHEN doc_id % 4 = 0 AND l[2] IS DISTINCT FROM l[1] THEN 1 END AS moved_to,
-        CASE WHEN doc_id % 3 = 0 THEN 'new ' || doc_id || substr(text, length(l[1]) + 1) ELSE text END || chr(10) || 'end' AS patched, CASE WHEN doc_id % 3 = 0 AND len(l) > 1 THEN 2 ELSE 1 END AS hunks FROM d
+# In the SQL, last lines that read 'end' are a common suffix of both texts. If the second line repeats the first one or the line put for it, the
+# shortest edit that deletes last keeps the repeats and drops or puts one after them: a hunk more, if another line stands behind. Where 'end' and
+# the new line take turns, the last line goes instead.
+@query("""
+    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, 'new ' || doc_id AS w FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT *, substr(text, length(l[1]) + 1) AS rest, list_position(l, l[1] || '?') AS other FROM d), r AS (SELECT *, regexp_replace(rest, '(\\nend)+$', '') AS body FROM e)
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN l[2] = l[1] THEN 'live' ELSE 'moved' END WHEN 1 THEN CASE WHEN other > 0 THEN 'moved' ELSE 'changed' END WHEN 2 THEN 'gone' ELSE 'live' END AS state,
+        CASE WHEN doc_id % 4 = 0 AND l[2] IS DISTINCT FROM l[1] THEN 1 WHEN doc_id % 4 = 1 AND other > 0 THEN other END AS moved_to,
+        CASE WHEN doc_id % 3 = 0 THEN w || rest ELSE text END || chr(10) || 'end' AS patched,
+        CASE WHEN doc_id % 3 = 0 AND text <> '' AND l[1] <> w AND body <> '' THEN
+            CASE WHEN l[2] IN (l[1], w) AND len(list_distinct(string_split(body, chr(10))[2:])) > 1 AND replace(l[1] || body || chr(10), 'end' || chr(10) || w || chr(10), '') <> '' THEN 3 ELSE 2 END
+        ELSE 1 END AS hunks
+    FROM r
 """)
 def patch_and_relocate(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text").filter("text is not null")
@@ -877,11 +886,12 @@ def patch_and_relocate(spark, d):
     out = docs.select("doc_id", "text", exact.apply_hunks("text", hunk).alias("patched"))
     out = out.withColumn("hunks", F.size(diff.line_diff(F.col("text"), F.col("patched"))))
     # the first line, looked for in its place, one line too low, under another digest, and in a file that is not there
-    kind, path = key % 4, key.cast("string")
+    # (an id that stands twice, or is null, has a file for each of its texts)
+    kind, path = key % 4, F.concat_ws("/", key.cast("string"), F.sha2("text", 256))
     digest_ = F.when(kind == 1, F.sha2(F.concat(first, F.lit("?")), 256)).otherwise(F.sha2(first, 256))
-    anchors = docs.select(key.alias("id"), F.when(kind == 2, F.concat(F.lit("no/"), path)).otherwise(path).alias("path"), F.when(kind == 0, 2).otherwise(1).alias("line"), F.lit(1).alias("width"), digest_.alias("digest"))
-    at = evidence.relocate(anchors, docs.select(path.alias("path"), "text")).select(F.col("id").alias("doc_id"), "state", "moved_to")
-    return out.join(at, "doc_id").select("doc_id", "state", "moved_to", "patched", "hunks")
+    anchors = out.select(F.struct("doc_id", "patched", "hunks").alias("id"), F.when(kind == 2, F.concat(F.lit("no/"), path)).otherwise(path).alias("path"), F.when(kind == 0, 2).otherwise(1).alias("line"), F.lit(1).alias("width"), digest_.alias("digest"))
+    at = evidence.relocate(anchors, docs.select(path.alias("path"), "text").dropDuplicates(["path"]))
+    return at.select("id.doc_id", "state", "moved_to", "id.patched", "id.hunks")
 
 
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")

@@ -113,3 +113,28 @@ def test_names_are_dealt_by_their_number(spark, monkeypatch):
                 pairs[x, y] = pairs.get((x, y), 0) + 1
     assert sorted(map(tuple, got.collect())) == sorted([(x, y, n) for (x, y), n in pairs.items()] + [(y, x, n) for (x, y), n in pairs.items()])
     assert got.rdd.getNumPartitions() == -(-(len(definers) + len(mentions)) // 10)
+
+
+def test_patches_of_repeated_lines_agree_with_sql(spark, tmp_path):
+    """A first line that stands again, alone or with a question mark, lines that the patch puts itself, ids that are null or stand twice."""
+    import duckdb
+
+    import __spark_entry__
+    from evergrain.functions import diff
+
+    texts = ["a", "", "a\nb", "a\na", "a\na\nb", "a\na\na\nb\nb", "a\nb\na", "\n\nb", "a\nend\nend", "a\na\nb\nend", "end\nend", "a\nb\na?", "a\na?", "a\nnew 3\nb", "new 3\nb", "new 3\nnew 3\nb", "end\nnew 3\nend\nnew 3", "a\nend\na\nend\na"]
+    rows = [(k, x) for k in (0, 1, 2, 3, 4) for x in texts] + [(None, "a\na"), (-3, "b\nb\nc"), (5, None), (6, "a\na\nb"), (6, "a\na\nb")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in __spark_entry__.queries()["patch_and_relocate"](spark, str(tmp_path)).collect()]
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        assert sorted(map(repr, got)) == sorted(map(repr, c.execute(__spark_entry__.oracle_sql()["patch_and_relocate"]).fetchall()))
+    want = []
+    for k, x in rows:
+        if x is not None:
+            old, kind, put = x.split("\n"), 3 if k in (None, -3) else k % 4, k is not None and k % 3 == 0
+            new = [f"new {k}" if put else old[0], *old[1:], "end"]
+            moved = {0: 1 if old[1:2] != old[:1] else None, 1: old.index(old[0] + "?") + 1 if old[0] + "?" in old else None}.get(kind)
+            state = "moved" if moved else ("live", "changed", "gone", "live")[kind]
+            want.append((k, state, moved, "\n".join(new), len(diff.hunks(old if x else [], new))))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
