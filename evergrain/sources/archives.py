@@ -5,37 +5,54 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that one database is to have, and MB of rows after which a range goes on in another one.
+_ROWS, _MB = 500_000, 32
+
+
 def to_sqlite(df: DataFrame, table: str, index: str, parts: int = 8) -> DataFrame:
-    """(part, content): one database for each hash range of ``index``, written in one transaction, indexed and compacted. Parts
-    are to be as many as keep a database in a task's memory; bytes leave tasks as rows, so any sink can take them."""
-    names = df.columns
+    """(part, content): databases of the hash ranges of ``index``, each written in one transaction, indexed and compacted. Ranges are
+    ``parts``, or more if the rows need them; one whose rows are many or wide all the same (a key has one part) goes on in
+    further databases of its part, so a task holds one of bounded size. Bytes leave tasks as rows, so any sink can take them."""
+    names, limit = df.columns, _MB << 20
     quoted = ", ".join(f'"{c}"' for c in names)
+    n = max(parts, -(-df.count() // _ROWS))
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sqlite3
 
-        open_dbs: dict[int, sqlite3.Connection] = {}
-        for batch in batches:
-            for part, rows in batch.groupby("_part"):
-                db = open_dbs.get(part)
-                if db is None:
-                    db = open_dbs[part] = sqlite3.connect(":memory:")
-                    db.execute(f'CREATE TABLE "{table}" ({quoted})')
-                values = rows[names].astype(object).where(rows[names].notna(), None).itertuples(index=False, name=None)
-                db.executemany(f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(names))})', values)
-        for part, db in open_dbs.items():
+        def opened() -> sqlite3.Connection:
+            db = sqlite3.connect(":memory:")
+            db.execute(f'CREATE TABLE "{table}" ({quoted})')
+            return db
+
+        def closed(part: int, db: sqlite3.Connection) -> pa.RecordBatch:
             db.execute(f'CREATE INDEX "{table}_{index}" ON "{table}" ("{index}")')
             db.commit()
             db.execute("VACUUM")
-            yield pd.DataFrame({"part": [int(part)], "content": [bytes(db.serialize())]})
+            content = db.serialize()
             db.close()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([content], pa.binary())], ["part", "content"])
 
-    dealt = df.withColumn("_part", F.pmod(F.xxhash64(index), F.lit(parts)).cast("int")).repartition(parts, "_part")
-    return dealt.mapInPandas(build, "part int, content binary")
+        db, part = None, 0
+        for batch in batches:
+            # a task has the rows of one part alone
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                db, part = db or opened(), some.column("_part")[0].as_py()
+                db.executemany(f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(names))})', zip(*(some.column(c).to_pylist() for c in names), strict=True))
+                if db.execute("PRAGMA page_count").fetchone()[0] * db.execute("PRAGMA page_size").fetchone()[0] >= limit:
+                    yield closed(part, db)
+                    db = None
+        if db:
+            yield closed(part, db)
+
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(index), F.lit(n)).cast("int")).repartitionById(n, "_part")
+    return dealt.mapInArrow(build, "part int, content binary")
 
 
 def from_sqlite(databases: DataFrame, table: str, schema: str, where: str = "", values: tuple = (), batch: int = 4096) -> DataFrame:

@@ -140,6 +140,21 @@ def test_archives(spark):
     assert [(r.context, r.url) for r in sorted(got, key=lambda r: r.place)] == [(-1, "a"), (2, "b"), (10, "c")]
 
 
+def test_databases_are_of_bounded_size(spark, monkeypatch):
+    """Ranges follow the rows, and a key of half the rows goes on in further databases of its part."""
+    monkeypatch.setattr(archives, "_ROWS", 500, raising=False)
+    monkeypatch.setattr(archives, "_MB", 1, raising=False)
+    df = spark.range(20_000).selectExpr("if(id % 2 = 0, 7, id) AS k", "id + (1L << 60) AS v", "if(id % 3 = 0, null, repeat('x', 400)) AS t")
+    dbs = archives.to_sqlite(df, "x", "k").selectExpr("part", "content", "length(content) AS size").cache()
+    sizes = dbs.select("part", "size").collect()
+    assert len({r.part for r in sizes}) == 40 and len(sizes) > 40 and max(r.size for r in sizes) < 5 << 20
+    rows = lambda got: Counter(map(tuple, got.collect()))
+    assert rows(archives.from_sqlite(dbs, "x", "k long, v long, t string")) == rows(df)
+    assert rows(archives.from_sqlite(dbs, "x", "k long, v long, t string", "k = ?", (7,))) == rows(df.filter("k = 7"))
+    dbs.unpersist()
+    assert archives.to_sqlite(df.limit(0), "x", "k").count() == 0
+
+
 def test_revisions_are_pruned(spark, tmp_path):
     from evergrain.sources.tables import pin, snapshot
 
